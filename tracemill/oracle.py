@@ -1,0 +1,8 @@
+"""DuckDB SQL for the queries of ``registry``."""
+
+SQL = {
+    "rl_transitions": """
+SELECT conv_id, turn, coalesce(lag(text) OVER w, '') AS prev_observation, text, lead(turn) OVER w IS NULL AS done
+FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+""",
+}
