@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tracemill.llm import ngram_join
+from tracemill.llm import ngram_join, pieces
 
 QUERIES = {
     "op5_ngram_jaccard_join": ngram_join.op5_ngram_jaccard_join,
+    "op10_sentencepiece": pieces.op10_sentencepiece,
 }
 ORACLES = {
     "op5_ngram_jaccard_join": ngram_join.ORACLE,
