@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tracemill.llm import ngram_join, pieces
+from tracemill.llm import ngram_join, pieces, quality
 
 QUERIES = {
+    "op3_quality_classifier": quality.op3_quality_classifier,
     "op5_ngram_jaccard_join": ngram_join.op5_ngram_jaccard_join,
     "op10_sentencepiece": pieces.op10_sentencepiece,
 }
