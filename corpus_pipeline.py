@@ -1,19 +1,43 @@
-"""Corpus preparation in stages; each stage's output is written as Parquet and read again as the next one's input."""
+"""Corpus preparation in stages; each stage's output is written as Parquet and read again as the next one's input.
+
+Every stage but the last returns the columns of ``documents``. Rows go for these reasons only: the classifier rejects
+their text, another document of their group of near copies stays, or the training plan has no use for them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import ngram_join
+from tracemill.llm import mixing, ngram_join, pieces, quality
 from tracemill.llm.common import shared_path, table
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a classifier fitted on the labels doesn't reject; null and empty texts are rejected."""
+    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The least doc_id of each group of near copies stays, and all documents that are in no group."""
     return ngram_join.first_of_groups(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in training order, as often as the curriculum uses each."""
+    return mixing.in_training_order(docs)
+
+
+def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``(doc_id, lang, source, ids, n_tokens, round_trip)`` for each row."""
+    return pieces.encode(docs, keep=("lang", "source"))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("source_mixing", source_mixing),
+    ("sentencepiece_encoding", sentencepiece_encoding),
+]
 ORACLE_SQL = None
 
 

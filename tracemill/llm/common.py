@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES, BROADCAST_ROWS = 1 << 20, 300_000
 U64 = np.uint64
 
 
@@ -37,6 +37,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def checked(small: DataFrame) -> DataFrame:
+    """Materialised, and marked for broadcast only if it was counted to be small; else Spark joins by an exchange."""
+    small = cut(small)
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+
+
 def shared_path(spark: SparkSession, stem: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tracemill.llm import ngram_join, pieces, quality
+from tracemill.llm import mixing, ngram_join, pieces, quality
 
 QUERIES = {
     "op3_quality_classifier": quality.op3_quality_classifier,
     "op5_ngram_jaccard_join": ngram_join.op5_ngram_jaccard_join,
+    "op7_source_mixing": mixing.op7_source_mixing,
     "op10_sentencepiece": pieces.op10_sentencepiece,
 }
 ORACLES = {
     "op5_ngram_jaccard_join": ngram_join.ORACLE,
+    "op7_source_mixing": mixing.ORACLE,
 }
