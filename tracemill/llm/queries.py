@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tracemill.llm import mixing, ngram_join, pieces, quality
+from tracemill.llm import mixing, ngram_join, parsing, pieces, quality
 
 QUERIES = {
+    "op1_document_fingerprints": parsing.op1_document_fingerprints,
     "op3_quality_classifier": quality.op3_quality_classifier,
     "op5_ngram_jaccard_join": ngram_join.op5_ngram_jaccard_join,
     "op7_source_mixing": mixing.op7_source_mixing,
