@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tracemill.llm import mixing, ngram_join, parsing, pieces, quality
+from tracemill.llm import mixing, ngram_join, parsing, pieces, quality, token_counts
 
 QUERIES = {
     "op1_document_fingerprints": parsing.op1_document_fingerprints,
     "op3_quality_classifier": quality.op3_quality_classifier,
     "op5_ngram_jaccard_join": ngram_join.op5_ngram_jaccard_join,
     "op7_source_mixing": mixing.op7_source_mixing,
+    "op9_token_counts": token_counts.op9_token_counts,
     "op10_sentencepiece": pieces.op10_sentencepiece,
 }
 ORACLES = {
