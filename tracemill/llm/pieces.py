@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding with a batched numpy Viterbi search.
 
 Texts split into words before each run of spaces that follows something else; no piece crosses there. A worker keeps the
-ids of words it has seen; new words of equal length advance together: hashes of all their substrings probe the sorted
-hashes of the pieces, and for each end position a vectorised maximum over the candidates stores the length of the best
+ids of words it has seen; new words of equal length advance together: hashes of all their substrings probe the
+sorted hashes of the pieces, and for each end position a vectorised maximum over the candidates stores the length of the best
 last piece as backpointer.
 
 The score of a path depends on the model. For a unigram model it is the sum of the pieces' scores. For a BPE model the
@@ -26,7 +26,7 @@ from tracemill.llm.common import U64, mix64, slices, table, text_buffers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHE_WORDS, CACHED_CHARS, BATCH_CHARS = 300_000, 48, 200_000
+CACHE_WORDS, CACHED_CHARS, BATCH_CHARS = 800_000, 48, 200_000
 _MUL = 0x9E3779B97F4A7C15
 
 
@@ -43,20 +43,40 @@ def _name(text: str) -> int:
     return int(substring_names(np.array([ord(c) for c in text], np.uint32))[-1])
 
 
+class SortedKeys:
+    """Distinct uint64 keys, scrambled and sorted, with an index by their top bits; many are probed at once."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        keys = keys * U64(_MUL)
+        order = np.argsort(keys)
+        self.shift = 64 - max(4, int(len(keys) * 4).bit_length())
+        self.keys = np.append(keys[order], U64(2**64 - 1))
+        self.values = np.append(values[order], -1)
+        self.first = np.searchsorted(self.keys[:-1], np.arange(1 << (64 - self.shift), dtype=U64) << U64(self.shift))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The keys' values, -1 for absent ones."""
+        keys = keys * U64(_MUL)
+        at = self.first[(keys >> U64(self.shift)).view(np.int64)]
+        on = np.flatnonzero(self.keys[at] < keys)
+        while len(on):
+            at[on] += 1
+            on = on[self.keys[at[on]] < keys[on]]
+        return np.where(self.keys[at] == keys, self.values[at], -1)
+
+
 @dataclass
 class PieceModel:
     """A model as arrays; ``unknown`` stands for a character that is no piece and is written as bytes."""
 
     kind: str
-    keys: np.ndarray  # sorted hashes of the pieces
-    ids: np.ndarray  # their ids
+    ids: SortedKeys  # by the hash of the piece
     longest: int
     score: np.ndarray  # by id
     created: np.ndarray  # by id: the rank of the merge that makes the piece; -1: a single character
     left: np.ndarray  # by id: what its last merge joins
     right: np.ndarray
-    pairs: np.ndarray  # sorted left * size + right of all merges
-    pair_rank: np.ndarray
+    pairs: SortedKeys  # left * size + right to the rank of their merge
     byte_ids: np.ndarray | None  # by byte
     unk_id: int
     flat: np.ndarray  # what ids decode to: bytes back to back, and where they begin
@@ -91,14 +111,12 @@ class PieceModel:
                     if p[:k] in own and p[k:] in own:
                         pairs[own[p[:k]] * size + own[p[k:]]] = order[i]
         names = np.array([_name(p) for p in usable], U64)
-        by = np.argsort(names)
         texts = [b"" if i in control else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         for i, b in (byte_at or {}).items():
             texts[i] = bytes([b])
         texts[unk_id] = " ⁇ ".encode()
-        pair_keys = np.array(sorted(pairs), np.int64)
         byte_ids = np.array([i for i, _ in sorted(byte_at.items(), key=lambda x: x[1])], np.int32) if byte_at else None
-        return PieceModel(kind, names[by], np.array(list(usable.values()), np.int64)[by], max(map(len, usable), default=1), np.array([*scores, min(scores, default=0) - 10.0]), created, left, right, pair_keys, np.array([pairs[k] for k in pair_keys.tolist()], np.int64), byte_ids, unk_id, np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+        return PieceModel(kind, SortedKeys(names, np.array(list(usable.values()), np.int64)), max(map(len, usable), default=1), np.array([*scores, min(scores, default=0) - 10.0]), created, left, right, SortedKeys(np.array(list(pairs), U64), np.array(list(pairs.values()), np.int64)), byte_ids, unk_id, np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
 
     @staticmethod
     def load(path: str = MODEL) -> PieceModel:
@@ -113,12 +131,6 @@ class PieceModel:
         kind = "bpe" if all(s == int(s) for s in normal) else "unigram"
         return PieceModel.build(pieces, [sp.get_score(i) for i in every], kind, sp.unk_id(), {i for i in every if sp.is_control(i)}, byte_at, {i for i in every if sp.is_unused(i)})
 
-    def probe(self, names: np.ndarray) -> np.ndarray:
-        """Ids of the pieces with these hashes, -1 for none."""
-        at = np.searchsorted(self.keys, names)
-        at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == names, self.ids[at], -1)
-
     def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging a text of the two pieces a, b ends in these two.
 
@@ -129,13 +141,11 @@ class PieceModel:
         a, b, limit = a.copy(), b.copy(), np.full(len(a), np.iinfo(np.int64).max)
         size = len(self.score)
         while len(live):
-            key = a * size + b
-            at = np.searchsorted(self.pairs, key)
-            at[at == len(self.pairs)] = 0
-            bad = (self.pairs[at] == key) & (self.pair_rank[at] < limit) if len(self.pairs) else np.zeros(len(a), bool)
+            rank = self.pairs.find((a * size + b).view(U64))
+            bad = (rank >= 0) & (rank < limit)
             ok[live[bad]] = False
             ra, rb = self.created[a], self.created[b]
-            go = ~bad & ((ra >= 0) | (rb >= 0))
+            go = np.flatnonzero(~bad & ((ra >= 0) | (rb >= 0)))
             live, a, b, ra, rb = live[go], a[go], b[go], ra[go], rb[go]
             first = ra > rb
             a, b, limit = np.where(first, self.right[a], a), np.where(first, b, self.left[b]), np.where(first, ra, rb + 1)
@@ -150,7 +160,7 @@ class PieceModel:
         power = 1
         for k in range(longest):
             power = power * _MUL % (1 << 64)
-            table_[k, :, k:] = self.probe(h[:, k + 1 :] - h[:, : n - k] * U64(power))
+            table_[k, :, k:] = self.ids.find((h[:, k + 1 :] - h[:, : n - k] * U64(power)).ravel()).reshape(count, n - k)
         table_[0][table_[0] < 0] = self.unknown
         last, back = np.full((count, n + 1), -1, np.int64), np.ones((count, n + 1), np.int64)
         best = np.full((count, n + 1), -np.inf)
@@ -191,23 +201,31 @@ class PieceModel:
                 last, back = self.segment(codes)
                 # All words step back together from their ends.
                 end, every, path = np.full(len(part), n), np.arange(len(part)), []
-                while True:
-                    live = end > 0
-                    if not live.any():
-                        break
-                    path.append(np.where(live, last[every, end], -1))
-                    end = np.where(live, end - back[every, end], 0)
+                while (end > 0).any():
+                    i = np.where(end > 0, last[every, end], -1)
+                    if self.byte_ids is not None:
+                        code = codes[every, end - 1]
+                        one = np.flatnonzero((i == self.unknown) & (code < 128))
+                        i[one] = self.byte_ids[code[one]]
+                    path.append(i)
+                    end = np.where(end > 0, end - back[every, end], 0)
                 ids = np.array(path[::-1]).T
-                plain = ~(ids == self.unknown).any(axis=1)
-                for w, row, easy in zip(part, ids, plain.tolist()):
-                    row = row[row >= 0]
-                    out[w] = row.astype("<i4").tobytes() if easy else self._with_bytes(w, row)
+                hard = (ids == self.unknown).any(axis=1)
+                flat = ids[ids >= 0].astype("<i4").tobytes()
+                ends = np.cumsum((ids >= 0).sum(axis=1) * 4).tolist()
+                out.update(zip(part, (flat[a:b] for a, b in zip([0, *ends], ends))))
+                for k in np.flatnonzero(hard).tolist():
+                    out[part[k]] = self._with_bytes(part[k], ids[k][ids[k] >= 0])
         return out
 
     def _with_bytes(self, word: str, row: np.ndarray) -> bytes:
         ids, at = [], 0
+        ascii_ids = set(self.byte_ids[:128].tolist()) if self.byte_ids is not None else set()
         for i in row.tolist():
-            if i != self.unknown:
+            if i in ascii_ids:
+                ids.append(i)
+                at += 1
+            elif i != self.unknown:
                 piece = self.flat[self.flat_at[i] : self.flat_at[i + 1]].tobytes().decode()
                 ids.append(i)
                 at += len(piece)
