@@ -33,14 +33,6 @@ def n(x: Column) -> Column:
     return F.coalesce(x, F.lit(0)).cast("double")
 
 
-def fence(df: DataFrame) -> DataFrame:
-    """``df`` with a filter that all rows pass but that the optimizer can't move others through.
-
-    A predicate on a computed column is otherwise pushed below its computation with the whole expression put in for every
-    mention of it; over scores that build on scores such copies multiply. Columns are still pruned through it."""
-    return df.where(F.rand(0) >= 0)
-
-
 def executed(tests: str = "tests") -> Column:
     """Runs that executed anything; a run without a total counts as none."""
     return F.filter(tests, lambda t: F.coalesce(t["total"], F.lit(0)) > 0)
@@ -50,42 +42,39 @@ def has_label(*labels: str) -> Column:
     return F.coalesce(F.exists("human_feedback", lambda f: F.coalesce(f["label"].isin(*labels), F.lit(False))), F.lit(False))
 
 
-def terminal_test_signal(tests: str = "tests") -> Column:
-    """A4: struct(score, has_tests, blocked) of the last executed run; half credit for a failing rate once it was green."""
-    runs = executed(tests)
-    last = F.try_element_at(runs, F.lit(-1))
+def with_test_signal(df: DataFrame) -> DataFrame:
+    """A4: adds ``_t``, struct(score, has_tests, blocked) of the last executed run; half credit for a failing rate once it
+    was green. Built column by column: within one expression, functions over arrays would be computed at every mention."""
+    last, ok = F.col("_last"), F.coalesce(F.col("_last.ok"), F.lit(False))
     count = n(last["passed"]) + n(last["failed"]) + n(last["errors"])
-    ok = F.coalesce(last["ok"], F.lit(False))
     rate = F.when(count == 0, F.when(ok, 1.0).otherwise(0.0)).otherwise(n(last["passed"]) / count)
-    green = F.exists(runs, lambda t: F.coalesce(t["ok"], F.lit(False)))
-    score = F.when(ok, 1.0).otherwise(F.when(green, rate * 0.5).otherwise(rate))
-    some = F.coalesce(F.size(runs) > 0, F.lit(False))
-    blocked = ~ok & (n(last["errors"]) > 0) & (n(last["passed"]) == 0) & (n(last["failed"]) == 0)
-    return F.when(some, F.struct(F.round(score, 4).alias("score"), F.lit(True).alias("has_tests"), blocked.alias("blocked"))).otherwise(F.struct(F.lit(0.0).alias("score"), F.lit(False).alias("has_tests"), F.lit(False).alias("blocked")))
+    score = F.when(last.isNull(), 0.0).when(ok, 1.0).otherwise(F.when(F.col("_green"), rate * 0.5).otherwise(rate))
+    blocked = last.isNotNull() & ~ok & (n(last["errors"]) > 0) & (n(last["passed"]) == 0) & (n(last["failed"]) == 0)
+    df = df.withColumn("_runs", executed()).withColumns({"_last": F.try_element_at("_runs", F.lit(-1)), "_green": F.exists("_runs", lambda t: F.coalesce(t["ok"], F.lit(False)))})
+    return df.withColumn("_t", F.struct(F.round(score, 4).alias("score"), last.isNotNull().alias("has_tests"), blocked.alias("blocked"))).drop("_last", "_green")
 
 
-def human_label() -> Column:
-    """A5: confidence-weighted mean of label scores; 0 without feedback or weight."""
+def with_human_label(df: DataFrame) -> DataFrame:
+    """A5: adds ``_h``, the confidence-weighted mean of label scores; 0 without feedback or weight."""
     sums = F.aggregate("human_feedback", F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("w")), lambda s, f: F.struct((s["a"] + lookup(f["label"], LABEL_SCORES) * F.coalesce(f["confidence"], F.lit(1.0))).alias("a"), (s["w"] + F.coalesce(f["confidence"], F.lit(1.0))).alias("w")))
-    return F.when(F.coalesce(sums["w"], F.lit(0.0)) == 0, 0.0).otherwise(sums["a"] / sums["w"])
+    return df.withColumn("_s", sums).withColumn("_h", F.when(F.coalesce("_s.w", F.lit(0.0)) == 0, 0.0).otherwise(F.col("_s.a") / F.col("_s.w"))).drop("_s")
 
 
 def deploy_signal() -> Column:
     """R2: production deployments only: -1 if one is known to have failed, 1 if one is verified, else null."""
-    prod = F.filter("deployments", lambda d: d["target_env"] == "prod")
-    return F.when(F.exists(prod, lambda d: d["verified"].eqNullSafe(False)), -1.0).when(F.exists(prod, lambda d: d["verified"].eqNullSafe(True)), 1.0)
+    known = lambda v: F.exists("deployments", lambda d: (d["target_env"] == "prod") & d["verified"].eqNullSafe(v))
+    return F.when(known(False), -1.0).when(known(True), 1.0)
 
 
-def outcome() -> Column:
-    """struct(score, source): an authoritative status, else the deployments, else a mined hint."""
-    status, hint = F.col("outcome.status"), F.col("outcome_hint")
+def with_outcome(df: DataFrame) -> DataFrame:
+    """Adds ``_o``, struct(score, source): an authoritative status, else the deployments, else a mined hint."""
+    status, hint, deploy = F.col("outcome.status"), F.col("outcome_hint"), F.col("_d")
     regressed = F.coalesce(F.col("outcome.caused_regression"), F.lit(False))
-    known = hint["success"].isin(*HINT_SCORES)
+    known = F.coalesce(hint["success"].isin(*HINT_SCORES), F.lit(False))
     mined = lookup(hint["success"], HINT_SCORES) * clamp(F.coalesce(hint["confidence"], F.lit(0.0)))
-    deploy = deploy_signal()
-    base = F.when(status != "open", lookup(status, OUTCOME_SCORES)).when(deploy.isNotNull(), deploy).when(F.coalesce(known, F.lit(False)), mined).otherwise(0.0)
-    source = F.when(status != "open", "authoritative").when(deploy.isNotNull(), "deploy").when(F.coalesce(known, F.lit(False)), "mined").otherwise("none")
-    return F.struct(F.when(regressed, F.least(base, F.lit(-1.0))).otherwise(base).alias("score"), source.alias("source"))
+    base = F.when(status != "open", lookup(status, OUTCOME_SCORES)).when(deploy.isNotNull(), deploy).when(known, mined).otherwise(0.0)
+    source = F.when(status != "open", "authoritative").when(deploy.isNotNull(), "deploy").when(known, "mined").otherwise("none")
+    return df.withColumn("_d", deploy_signal()).withColumn("_o", F.struct(F.when(regressed, F.least(base, F.lit(-1.0))).otherwise(base).alias("score"), source.alias("source"))).drop("_d")
 
 
 def cost_efficiency() -> Column:
@@ -106,39 +95,34 @@ def first_index(*types: str, test_only: bool = False) -> Column:
     return F.array_min(F.transform(F.filter("steps", wanted), lambda s: s["index"]))
 
 
-def rubric(judge_scores: dict[str, str] | None = None) -> Column:
-    """struct(score, base, hard_pass, hard_violations, criteria) of weighted criteria; one that is null doesn't apply.
-
-    ``judge_scores`` maps a judged criterion to the column of its score."""
-    test = terminal_test_signal()
-    edit, run = first_index("file_edit", "file_write"), first_index("shell_command", test_only=True)
-    reads = F.exists("steps", lambda s: (s["type"] == "file_read") & (s["index"] < edit))
-    files = F.size(F.array_distinct(F.filter(F.transform("diffs", lambda d: F.nullif(d["file"], F.lit(""))), lambda x: x.isNotNull())))
-    denials = n(F.col("stats.denials"))
-    judged = judge_scores or {}
+def with_rubric(df: DataFrame, judge_scores: dict[str, str] | None = None) -> DataFrame:
+    """Adds ``_r``, struct(score, base, hard_pass, hard_violations, criteria) of weighted criteria, to rows with
+    ``_t``; a criterion that is null doesn't apply. ``judge_scores`` maps a judged criterion to the column of its score."""
+    test, edit, run, files = F.col("_t"), F.col("_edit"), F.col("_run"), F.col("_files")
+    judged = lambda k: F.col((judge_scores or {})[k]).cast("double") if k in (judge_scores or {}) else F.lit(None).cast("double")
     rows = [
         ("has_test_evidence", "hard", 2, F.when(test["has_tests"], 1.0).otherwise(0.0)),
         ("not_blocked_on_env", "hard", 2, F.when(test["has_tests"], F.when(test["blocked"], 0.0).otherwise(1.0))),
         ("tests_end_green", "principle", 3, F.when(test["has_tests"], test["score"])),
         ("reproduce_before_fix", "principle", 1, F.when(edit.isNotNull() & run.isNotNull(), F.when(run < edit, 1.0).otherwise(0.2))),
-        ("explored_before_edit", "principle", 1, F.when(edit.isNotNull(), F.when(reads, 1.0).otherwise(0.3))),
+        ("explored_before_edit", "principle", 1, F.when(edit.isNotNull(), F.when(F.exists("steps", lambda s: (s["type"] == "file_read") & (s["index"] < edit)), 1.0).otherwise(0.3))),
         ("change_is_scoped", "principle", 1, F.when(files > 0, F.when(files <= 3, 1.0).when(files <= 8, 0.6).otherwise(0.3))),
-        ("low_denials", "principle", 1, F.greatest(F.lit(0.0), 1.0 - 0.25 * denials)),
-        ("explanation_quality", "principle", 2, F.col(judged["explanation_quality"]).cast("double") if "explanation_quality" in judged else F.lit(None).cast("double")),
-        ("correct_beyond_tests", "principle", 2, F.col(judged["correct_beyond_tests"]).cast("double") if "correct_beyond_tests" in judged else F.lit(None).cast("double")),
+        ("low_denials", "principle", 1, F.greatest(F.lit(0.0), 1.0 - 0.25 * n(F.col("stats.denials")))),
+        ("explanation_quality", "principle", 2, judged("explanation_quality")),
+        ("correct_beyond_tests", "principle", 2, judged("correct_beyond_tests")),
     ]
-    criteria = F.array(*(F.struct(F.lit(i).alias("id"), F.lit(k).alias("kind"), F.lit(float(w)).alias("weight"), s.cast("double").alias("satisfied")) for i, k, w, s in rows))
-    used = F.filter(criteria, lambda c: c["satisfied"].isNotNull())
-    total = F.aggregate(used, F.lit(0.0), lambda a, c: a + c["weight"])
-    base = F.aggregate(used, F.lit(0.0), lambda a, c: a + c["weight"] * c["satisfied"]) / total
-    broken = F.transform(F.filter(used, lambda c: (c["kind"] == "hard") & (c["satisfied"] < 1.0)), lambda c: c["id"])
-    score = F.when(F.size(broken) > 0, base * 0.5).otherwise(base)
-    return F.struct(F.round(score, 4).alias("score"), F.round(base, 4).alias("base"), (F.size(broken) == 0).alias("hard_pass"), broken.alias("hard_violations"), criteria.alias("criteria"))
+    df = df.withColumns({"_edit": first_index("file_edit", "file_write"), "_run": first_index("shell_command", test_only=True), "_files": F.size(F.array_distinct(F.filter(F.transform("diffs", lambda d: F.nullif(d["file"], F.lit(""))), lambda x: x.isNotNull())))})
+    df = df.withColumn("_criteria", F.array(*(F.struct(F.lit(i).alias("id"), F.lit(k).alias("kind"), F.lit(float(w)).alias("weight"), s.cast("double").alias("satisfied")) for i, k, w, s in rows)))
+    df = df.withColumn("_used", F.filter("_criteria", lambda c: c["satisfied"].isNotNull()))
+    df = df.withColumns({"_base": F.aggregate("_used", F.lit(0.0), lambda a, c: a + c["weight"] * c["satisfied"]) / F.aggregate("_used", F.lit(0.0), lambda a, c: a + c["weight"]), "_broken": F.transform(F.filter("_used", lambda c: (c["kind"] == "hard") & (c["satisfied"] < 1.0)), lambda c: c["id"])})
+    base, broken = F.col("_base"), F.col("_broken")
+    r = F.struct(F.round(F.when(F.size(broken) > 0, base * 0.5).otherwise(base), 4).alias("score"), F.round(base, 4).alias("base"), (F.size(broken) == 0).alias("hard_pass"), broken.alias("hard_violations"), F.col("_criteria").alias("criteria"))
+    return df.withColumn("_r", r).drop("_edit", "_run", "_files", "_criteria", "_used", "_base", "_broken")
 
 
 def with_reward(episodes: DataFrame, judge_scores: dict[str, str] | None = None) -> DataFrame:
     """Adds ``reward_vector``, built in steps so that no part is computed twice."""
-    e = episodes.withColumns({"_t": terminal_test_signal(), "_h": human_label(), "_o": outcome(), "_c": cost_efficiency(), "_f": edit_focus(), "_r": rubric(judge_scores)})
+    e = with_outcome(with_human_label(with_rubric(with_test_signal(episodes), judge_scores))).withColumns({"_c": cost_efficiency(), "_f": edit_focus()})
     feedback = F.coalesce(F.size("human_feedback") > 0, F.lit(False))
     parts = {
         "test_pass": F.when(F.col("_t.has_tests"), F.col("_t.score")).otherwise(0.5),
@@ -155,7 +139,7 @@ def with_reward(episodes: DataFrame, judge_scores: dict[str, str] | None = None)
         r(F.col("_f")).alias("edit_focus"), F.coalesce("_r.score", F.lit(0.5)).alias("rubric"), r(composite).alias("composite"),
         F.struct(F.struct(*(r(v).alias(k) for k, v in parts.items())).alias("normalized"), F.col("_t.has_tests").alias("has_tests"), feedback.alias("has_feedback"), F.col("_c").isNotNull().alias("has_cost"), F.col("_o.source").alias("outcome_source"), F.col("_r").dropFields("criteria").alias("rubric")).alias("components"),
     )
-    return fence(e.withColumn("reward_vector", vector).drop("_t", "_h", "_o", "_c", "_f", "_r"))
+    return e.withColumn("reward_vector", vector).drop("_t", "_h", "_o", "_c", "_f", "_r", "_runs")
 
 
 def positive_human() -> Column:
@@ -166,18 +150,16 @@ def negative_human() -> Column:
     return has_label(*NEGATIVE) | F.coalesce(F.col("outcome_hint.success") == "no", F.lit(False)) | F.coalesce(F.col("outcome.status").isin("reverted", "failed"), F.lit(False)) | (F.coalesce("reward_vector.human_label", F.lit(0.0)) < -0.1)
 
 
-def validity_flags() -> Column:
-    """Q1: array of struct(code, category, severity) by the nine rules, over an episode with its reward."""
-    tests = executed()
-    ok, bad = F.exists(tests, lambda t: F.coalesce(t["ok"], F.lit(False))), F.exists(tests, lambda t: ~F.coalesce(t["ok"], F.lit(False)))
-    none = F.size(tests) == 0
-    pos, neg = positive_human(), negative_human()
+def with_flags(episodes: DataFrame) -> DataFrame:
+    """Q1: adds ``_flags``, array of struct(code, category, severity) by the nine rules, to episodes with their reward."""
+    ok, bad = F.exists("_runs", lambda t: F.coalesce(t["ok"], F.lit(False))), F.exists("_runs", lambda t: ~F.coalesce(t["ok"], F.lit(False)))
     verified, broken = F.exists("deployments", lambda d: d["verified"].eqNullSafe(True)), F.exists("deployments", lambda d: d["verified"].eqNullSafe(False))
-    high = F.coalesce("reward_vector.composite", F.lit(0.0)) >= 0.5
+    e = with_test_signal(episodes).withColumns({"_ok": ok, "_bad": bad, "_pos": positive_human(), "_neg": negative_human(), "_verified": verified, "_broken": broken})
+    ok, bad, pos, neg, verified, broken = (F.col(c) for c in ("_ok", "_bad", "_pos", "_neg", "_verified", "_broken"))
+    none, high = F.size("_runs") == 0, F.coalesce("reward_vector.composite", F.lit(0.0)) >= 0.5
     source = F.exists("diffs", lambda d: ~F.coalesce(d["file"], F.lit("")).rlike(r"\.(md|txt|rst)\z"))
     touched = F.exists("diffs", lambda d: F.lower(F.coalesce(d["file"], F.lit(""))).contains("test"))
     short = F.length(F.regexp_replace(F.coalesce("intent", F.lit("")), r"^\s+|\s+$", "")) < 40
-    rescued = has_label("needed_human_rescue", "wrong")
     early = F.exists("human_feedback", lambda f: (f["label"] == "wrong") & f["evidence_step_index"].isNotNull() & (f["evidence_step_index"] <= F.greatest(F.lit(1), F.floor(F.size("steps") / 3))))
     flag = lambda code, category, severity: F.struct(F.lit(code).alias("code"), F.lit(category).alias("category"), severity.alias("severity"))
     lit = F.lit
@@ -186,21 +168,22 @@ def validity_flags() -> Column:
         (bad & pos, flag("test_reward_false_negative", "overly_strict_tests", lit("high"))),
         (pos & broken, flag("outcome_contradiction", "reward_contradiction", lit("high"))),
         (neg & verified, flag("outcome_contradiction", "reward_contradiction", lit("high"))),
-        (terminal_test_signal()["blocked"], flag("env_blocked", "low_coverage_tests", lit("medium"))),
+        (F.col("_t.blocked"), flag("env_blocked", "low_coverage_tests", lit("medium"))),
         (high & none & ~verified & ~pos, flag("unverified_success", "low_coverage_tests", lit("medium"))),
         (source & ~touched & none & high, flag("low_coverage_proxy", "low_coverage_tests", lit("medium"))),
-        (short, flag("underspecified_intent", "underspecified_intent", F.when(rescued, "high").otherwise("medium"))),
+        (short, flag("underspecified_intent", "underspecified_intent", F.when(has_label("needed_human_rescue", "wrong"), "high").otherwise("medium"))),
         (early, flag("misleading_early_correction", "misleading_intent", lit("medium"))),
     ]
-    return F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), f) for c, f in rules)), lambda x: x.isNotNull())
+    flags = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), f) for c, f in rules)), lambda x: x.isNotNull())
+    return e.withColumn("_flags", flags).drop("_t", "_runs", "_ok", "_bad", "_pos", "_neg", "_verified", "_broken")
 
 
 def with_validity(episodes: DataFrame) -> DataFrame:
     """Q2-Q5: adds ``validity``: trust tier, worst severity, categories and flags."""
-    e = episodes.withColumn("_flags", validity_flags())
+    e = with_flags(episodes)
     high = F.exists("_flags", lambda f: f["severity"] == "high")
     some = F.size("_flags") > 0
-    return fence(e.withColumn("validity", F.struct(F.when(high, "low").when(some, "medium").otherwise("high").alias("trust"), F.when(high, "high").when(some, "medium").alias("severity"), F.array_sort(F.array_distinct(F.transform("_flags", lambda f: f["category"]))).alias("categories"), F.col("_flags").alias("flags"), F.lit("rules").alias("source"))).drop("_flags"))
+    return e.withColumn("validity", F.struct(F.when(high, "low").when(some, "medium").otherwise("high").alias("trust"), F.when(high, "high").when(some, "medium").alias("severity"), F.array_sort(F.array_distinct(F.transform("_flags", lambda f: f["category"]))).alias("categories"), F.col("_flags").alias("flags"), F.lit("rules").alias("source"))).drop("_flags")
 
 
 def merged_validity(a: Column, b: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracemill import schema
 from tracemill.functions import commands, fidelity, hashing, score, summary
 from tracemill.operators import analytics, datasets, sessions, worldmodel
-from tracemill.sources import logs, tables
+from tracemill.sources import logs, store, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -27,8 +27,8 @@ def rewarded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """And with validity."""
-    return score.with_validity(rewarded(spark, sf_dir))
+    """And with validity; materialised, as their predicates read scores."""
+    return store.materialised(score.with_validity(rewarded(spark, sf_dir)))
 
 
 def conversation_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,18 +41,18 @@ def conversation_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def terminal_test_signal(spark, sf_dir):
-    return tables.episodes(spark, sf_dir).select("id", score.terminal_test_signal().alias("t")).select("id", "t.score", "t.has_tests", "t.blocked")
+    return score.with_test_signal(tables.episodes(spark, sf_dir)).select("id", "_t.score", "_t.has_tests", "_t.blocked")
 
 
 @query
 def human_label_score(spark, sf_dir):
-    return tables.episodes(spark, sf_dir).select("id", F.round(score.human_label(), 4).alias("human_label"))
+    return score.with_human_label(tables.episodes(spark, sf_dir)).select("id", F.round("_h", 4).alias("human_label"))
 
 
 @query
 def outcome_score(spark, sf_dir):
     e = tables.episodes(spark, sf_dir).withColumn("deployments", score.verified_deployments())
-    return e.select("id", score.outcome().alias("o")).select("id", F.round("o.score", 4).alias("score"), "o.source")
+    return score.with_outcome(e).select("id", F.round("_o.score", 4).alias("score"), "_o.source")
 
 
 @query
@@ -68,13 +68,13 @@ def deploy_verify(spark, sf_dir):
 
 @query
 def rubric_score(spark, sf_dir):
-    r = tables.episodes(spark, sf_dir).select("id", score.rubric().alias("r"))
+    r = score.with_rubric(score.with_test_signal(tables.episodes(spark, sf_dir))).select("id", F.col("_r").alias("r"))
     return r.select("id", "r.score", "r.base", "r.hard_pass", F.array_join("r.hard_violations", ",").alias("hard_violations"))
 
 
 @query
 def rubric_criteria(spark, sf_dir):
-    r = tables.episodes(spark, sf_dir).select("id", F.explode(score.rubric()["criteria"]).alias("c"))
+    r = score.with_rubric(score.with_test_signal(tables.episodes(spark, sf_dir))).select("id", F.explode("_r.criteria").alias("c"))
     return r.where("c.satisfied is not null").select("id", F.col("c.id").alias("criterion"), "c.kind", "c.weight", "c.satisfied")
 
 
@@ -106,12 +106,12 @@ def good_and_bad(spark, sf_dir):
 
 @query
 def quality_filter(spark, sf_dir):
-    return rewarded(spark, sf_dir).where(score.quality_kept()).select("id", F.col("reward_vector.composite").alias("composite"))
+    return store.materialised(rewarded(spark, sf_dir)).where(score.quality_kept()).select("id", F.col("reward_vector.composite").alias("composite"))
 
 
 @query
 def quality_stats(spark, sf_dir):
-    return analytics.quality_stats(rewarded(spark, sf_dir))
+    return analytics.quality_stats(store.materialised(rewarded(spark, sf_dir)))
 
 
 @query
@@ -506,13 +506,13 @@ def ranked_holdout(spark, sf_dir):
 
 @query
 def promote_decision(spark, sf_dir):
-    e = rewarded(spark, sf_dir).where(hashing.held_out(F.col("id")))
+    e = store.materialised(rewarded(spark, sf_dir)).where(hashing.held_out(F.col("id")))
     return analytics.promotion(e.select(F.when(F.col("ord") % 7 != 0, F.col("reward_vector.composite")).alias("candidate"), F.col("reward_vector.rubric").alias("base")))
 
 
 @query
 def correlate(spark, sf_dir):
-    e = rewarded(spark, sf_dir)
+    e = store.materialised(rewarded(spark, sf_dir))
     a = e.select("id", F.when(F.col("ord") % 11 != 0, F.col("reward_vector.edit_focus")).alias("x"))
     return analytics.correlate(a, e.where("ord % 5 <> 0").select("id", F.col("reward_vector.composite").alias("y")))
 
@@ -530,7 +530,7 @@ def stratified_split(spark, sf_dir):
 
 @query
 def lift_rollup(spark, sf_dir):
-    e = rewarded(spark, sf_dir)
+    e = store.materialised(rewarded(spark, sf_dir))
     return analytics.lift(e.select(F.col("outcome.status").alias("class"), (F.col("reward_vector.rubric") >= 0.6).alias("base"), (F.col("reward_vector.composite") >= 0.5).alias("tuned")))
 
 
@@ -587,10 +587,10 @@ def dis_masks(spark, sf_dir):
 
 @query
 def jaccard_overlap(spark, sf_dir):
-    e = tables.episodes(spark, sf_dir)
-    files = F.transform("diffs", lambda d: d["file"])
-    edited = F.filter(F.transform("steps", lambda s: F.get_json_object(s["input"], "$.file_path")), lambda x: x.isNotNull())
-    return e.select("id", F.round(analytics.jaccard(F.array_distinct(files), F.array_distinct(edited)), 6).alias("jaccard"), analytics.replay_score(score.terminal_test_signal()["score"], analytics.jaccard(F.array_distinct(files), F.array_distinct(edited))).alias("replay"))
+    files = F.array_distinct(F.transform("diffs", lambda d: d["file"]))
+    edited = F.array_distinct(F.filter(F.transform("steps", lambda s: F.get_json_object(s["input"], "$.file_path")), lambda x: x.isNotNull()))
+    e = score.with_test_signal(tables.episodes(spark, sf_dir)).withColumns({"files": files, "edited": edited}).withColumn("j", analytics.jaccard(F.col("files"), F.col("edited")))
+    return e.select("id", F.round("j", 6).alias("jaccard"), analytics.replay_score(F.col("_t.score"), F.col("j")).alias("replay"))
 
 
 @query
