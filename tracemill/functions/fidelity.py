@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tracemill.functions.commands import lines
+from tracemill.functions.score import r4
 
 RUNTIME = (
     r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?", r"\b\d{2}:\d{2}:\d{2}\b", r"0x[0-9a-fA-F]+",
@@ -66,13 +67,13 @@ def score(predicted: Column, real: Column) -> Column:
     }
     parts = {k: F.when(exact, 1.0).otherwise(v) for k, v in parts.items()}
     composite = sum((F.lit(WEIGHTS[k]) * parts[k] for k in WEIGHTS), F.lit(0.0))
-    return F.struct(*(F.round(v, 4).alias(k) for k, v in parts.items()), F.round(composite, 4).alias("composite"), exact.alias("exact"))
+    return F.struct(*(r4(v).alias(k) for k, v in parts.items()), r4(composite).alias("composite"), exact.alias("exact"))
 
 
 def blend(rule: Column, judge: Column, weight: float = 0.5) -> Column:
     """A judge's dimensions, where present, mixed into the rule's; the composite is weighed anew."""
-    part = {k: F.when(judge[k].isNull(), rule[k]).otherwise(F.round((1 - weight) * rule[k] + weight * judge[k], 4)) for k in WEIGHTS}
-    return F.struct(*(v.alias(k) for k, v in part.items()), F.round(sum((F.lit(WEIGHTS[k]) * part[k] for k in WEIGHTS), F.lit(0.0)), 4).alias("composite"), rule["exact"].alias("exact"))
+    part = {k: F.when(judge[k].isNull(), rule[k]).otherwise(r4((1 - weight) * rule[k] + weight * judge[k])) for k in WEIGHTS}
+    return F.struct(*(v.alias(k) for k, v in part.items()), r4(sum((F.lit(WEIGHTS[k]) * part[k] for k in WEIGHTS), F.lit(0.0))).alias("composite"), rule["exact"].alias("exact"))
 
 
 def realness(text: Column) -> Column:

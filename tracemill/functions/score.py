@@ -33,6 +33,11 @@ def n(x: Column) -> Column:
     return F.coalesce(x, F.lit(0)).cast("double")
 
 
+def r4(x: Column) -> Column:
+    """Four digits. A billionth is added first, so that a tie that binary numbers miss by a hair goes up everywhere."""
+    return F.round(x + 1e-9, 4)
+
+
 def executed(tests: str = "tests") -> Column:
     """Runs that executed anything; a run without a total counts as none."""
     return F.filter(tests, lambda t: F.coalesce(t["total"], F.lit(0)) > 0)
@@ -51,7 +56,7 @@ def with_test_signal(df: DataFrame) -> DataFrame:
     score = F.when(last.isNull(), 0.0).when(ok, 1.0).otherwise(F.when(F.col("_green"), rate * 0.5).otherwise(rate))
     blocked = last.isNotNull() & ~ok & (n(last["errors"]) > 0) & (n(last["passed"]) == 0) & (n(last["failed"]) == 0)
     df = df.withColumn("_runs", executed()).withColumns({"_last": F.try_element_at("_runs", F.lit(-1)), "_green": F.exists("_runs", lambda t: F.coalesce(t["ok"], F.lit(False)))})
-    return df.withColumn("_t", F.struct(F.round(score, 4).alias("score"), last.isNotNull().alias("has_tests"), blocked.alias("blocked"))).drop("_last", "_green")
+    return df.withColumn("_t", F.struct(r4(score).alias("score"), last.isNotNull().alias("has_tests"), blocked.alias("blocked"))).drop("_last", "_green")
 
 
 def with_human_label(df: DataFrame) -> DataFrame:
@@ -116,7 +121,7 @@ def with_rubric(df: DataFrame, judge_scores: dict[str, str] | None = None) -> Da
     df = df.withColumn("_used", F.filter("_criteria", lambda c: c["satisfied"].isNotNull()))
     df = df.withColumns({"_base": F.aggregate("_used", F.lit(0.0), lambda a, c: a + c["weight"] * c["satisfied"]) / F.aggregate("_used", F.lit(0.0), lambda a, c: a + c["weight"]), "_broken": F.transform(F.filter("_used", lambda c: (c["kind"] == "hard") & (c["satisfied"] < 1.0)), lambda c: c["id"])})
     base, broken = F.col("_base"), F.col("_broken")
-    r = F.struct(F.round(F.when(F.size(broken) > 0, base * 0.5).otherwise(base), 4).alias("score"), F.round(base, 4).alias("base"), (F.size(broken) == 0).alias("hard_pass"), broken.alias("hard_violations"), F.col("_criteria").alias("criteria"))
+    r = F.struct(r4(F.when(F.size(broken) > 0, base * 0.5).otherwise(base)).alias("score"), r4(base).alias("base"), (F.size(broken) == 0).alias("hard_pass"), broken.alias("hard_violations"), F.col("_criteria").alias("criteria"))
     return df.withColumn("_r", r).drop("_edit", "_run", "_files", "_criteria", "_used", "_base", "_broken")
 
 
@@ -133,7 +138,7 @@ def with_reward(episodes: DataFrame, judge_scores: dict[str, str] | None = None)
         "cost_efficiency": F.coalesce("_c", F.lit(0.5)),
     }
     composite = sum((F.lit(WEIGHTS[k]) * parts[k] for k in WEIGHTS), F.lit(0.0))
-    r = lambda x: F.round(x, 4)
+    r = r4
     vector = F.struct(
         F.col("_t.score").alias("test_pass"), r(F.col("_h")).alias("human_label"), r(F.col("_o.score")).alias("outcome"), r(F.coalesce("_c", F.lit(0.0))).alias("cost_efficiency"),
         r(F.col("_f")).alias("edit_focus"), F.coalesce("_r.score", F.lit(0.5)).alias("rubric"), r(composite).alias("composite"),

@@ -46,18 +46,18 @@ def terminal_test_signal(spark, sf_dir):
 
 @query
 def human_label_score(spark, sf_dir):
-    return score.with_human_label(tables.episodes(spark, sf_dir)).select("id", F.round("_h", 4).alias("human_label"))
+    return score.with_human_label(tables.episodes(spark, sf_dir)).select("id", score.r4(F.col("_h")).alias("human_label"))
 
 
 @query
 def outcome_score(spark, sf_dir):
     e = tables.episodes(spark, sf_dir).withColumn("deployments", score.verified_deployments())
-    return score.with_outcome(e).select("id", F.round("_o.score", 4).alias("score"), "_o.source")
+    return score.with_outcome(e).select("id", score.r4(F.col("_o.score")).alias("score"), "_o.source")
 
 
 @query
 def cost_and_focus(spark, sf_dir):
-    return tables.episodes(spark, sf_dir).select("id", F.round(score.cost_efficiency(), 4).alias("cost_efficiency"), F.round(score.edit_focus(), 4).alias("edit_focus"))
+    return tables.episodes(spark, sf_dir).select("id", score.r4(score.cost_efficiency()).alias("cost_efficiency"), score.r4(score.edit_focus()).alias("edit_focus"))
 
 
 @query
@@ -116,7 +116,7 @@ def quality_stats(spark, sf_dir):
 
 @query
 def episode_difficulty(spark, sf_dir):
-    return scored(spark, sf_dir).select("id", F.round(score.difficulty(), 4).alias("difficulty"))
+    return scored(spark, sf_dir).select("id", score.r4(score.difficulty()).alias("difficulty"))
 
 
 @query

@@ -166,7 +166,7 @@ def old_ranges(patch: Column) -> Column:
     def spans(b: Column) -> Column:
         start, count = F.regexp_extract_all(b, F.lit(r"(?m)^@@ -(\d+)(?:,(\d+))? "), 1), F.regexp_extract_all(b, F.lit(r"(?m)^@@ -(\d+)(?:,(\d+))? "), 2)
         file = F.trim(F.regexp_extract(b, r"^--- (?:a/)?([^\n\t]*)", 1))
-        return F.zip_with(start, count, lambda s, c: F.struct(file.alias("file"), s.cast("int").alias("start"), F.coalesce(F.nullif(c, F.lit("")).cast("int"), F.lit(1)).alias("count")))
+        return F.zip_with(start, count, lambda s, c: F.named_struct(F.lit("file"), file, F.lit("start"), s.cast("int"), F.lit("count"), F.coalesce(F.nullif(c, F.lit("")).cast("int"), F.lit(1))))
 
     return F.filter(F.flatten(F.transform(files, spans)), lambda r: r["count"] > 0)
 
