@@ -281,6 +281,9 @@ SQL = {
     "feedback_labels": _e("SELECT id, array_to_string(list_sort(list_filter([label, CASE WHEN regressed THEN 'regression' END, CASE prio WHEN '1' THEN 'useful' WHEN '3' THEN 'too_slow' WHEN '5' THEN 'wrong' END, CASE WHEN prio = '3' THEN 'accepted_after_edits' END], lambda x: x IS NOT NULL)), ',') AS labels FROM ep"),
     "patch_parts": "SELECT p_partkey, o.op, o.path, o.body, o.tool FROM (SELECT p_partkey, unnest([{'op': 'Add', 'path': 'a/' || trim(p_name), 'body': '+x', 'tool': 'Write'}, {'op': 'Delete', 'path': 'b', 'body': '', 'tool': 'DeleteFile'}, {'op': 'Update', 'path': 'c', 'body': '-y' || chr(10) || '+z', 'tool': 'Edit'}]) AS o FROM part)",
     "diff_files": "SELECT p_partkey, d.file, d.status, d.a AS additions, d.d AS deletions, 1 AS n_ranges FROM (SELECT p_partkey, unnest([{'file': 'f', 'status': 'modified', 'a': 2, 'd': 1}, {'file': 'g', 'status': 'added', 'a': 1, 'd': 0}]) AS d FROM part)",
+    "prompt_rows": _s("SELECT id AS episode_id, composite AS composite_reward, true AS portable, 'pytest -q' AS test_command, substr(md5(ord::VARCHAR), 1, 7) AS base_commit FROM g WHERE trusted AND NOT bad AND edits > 0 AND remote_url IS NOT NULL"),
+    "dataset_manifest": f"WITH {PAIRS} SELECT count(*) AS rows, (SELECT count(DISTINCT x) FROM (SELECT ch.id AS x FROM dpo UNION ALL SELECT re.id FROM dpo))::INTEGER AS episodes FROM dpo",
+    "flat_export": _s("SELECT id, intent, agent, branch, status AS outcome_status, composite, ts AS test_pass, edits::INTEGER AS file_edits, tests_run::INTEGER AS tests_run, coalesce(list_sum(list_transform(diffs, lambda d: d.additions)), 0)::BIGINT AS additions, coalesce(list_sum(list_transform(diffs, lambda d: d.deletions)), 0)::BIGINT AS deletions FROM s6"),
     "first_json_objects": "SELECT event_id, props AS object FROM events",
 }
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tracemill import schema
 from tracemill.functions import commands, fidelity, hashing, score, summary
-from tracemill.operators import analytics, datasets, sessions, worldmodel
-from tracemill.sources import logs, store, tables
+from tracemill.operators import analytics, datasets, rollouts, sessions, worldmodel
+from tracemill.sources import logs, sinks, store, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -626,3 +627,38 @@ def diff_files(spark, sf_dir):
 def first_json_objects(spark, sf_dir):
     ev = tables.table(spark, sf_dir, "events")
     return ev.select("event_id", logs.first_json_object(F.concat(F.lit("answer: {bad} "), F.col("props"), F.lit(" end}"))).alias("object"))
+
+
+# --- exports and rollouts -------------------------------------------------------------------------------------------
+
+
+@query
+def task_bundles(spark, sf_dir):
+    return sinks.task_files(scored(spark, sf_dir)).select("path", F.md5("content").alias("content_md5"))
+
+
+@query
+def prompt_rows(spark, sf_dir):
+    return sinks.prompt_rows(scored(spark, sf_dir)).select("episode_id", "composite_reward", "portable", F.get_json_object("label", "$.test_command").alias("test_command"), F.get_json_object("label", "$.base_commit").alias("base_commit"))
+
+
+@query
+def dataset_manifest(spark, sf_dir):
+    return sinks.manifest(datasets.dpo_pairs(scored(spark, sf_dir)), "chosen_id", "rejected_id").select("rows", "episodes")
+
+
+@query
+def rollout_scores(spark, sf_dir):
+    """Rollouts of the predictor that repeats what it said, scored turn by turn."""
+    s = turn_samples(spark, sf_dir).select("episode_id", F.col("index").alias("turn_index"), "intent", "action", "target_observation")
+    r = rollouts.rollout(s, rollouts.named("prefix"), max_turns=5)
+    scored_ = r.select("episode_id", "turn_index", fidelity.score(F.col("predicted"), F.col("target"))["composite"].alias("composite"))
+    return scored_.groupBy("episode_id").agg(F.count("*").alias("n"), F.round(F.avg("composite"), 4).alias("mean_composite"))
+
+
+@query
+def flat_export(spark, sf_dir):
+    """SNK6: written as Parquet and read back."""
+    path = f"{store.shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    sinks.export(rewarded(spark, sf_dir), "parquet", path)
+    return spark.read.parquet(path)
