@@ -56,9 +56,12 @@ class Lengths(dict):
 def frequent_pretokens(docs: DataFrame, k: int = FREQUENT, tracked: int = TRACKED) -> list[str]:
     """About the ``k`` most frequent pre-tokens that are a word or number with the space before it, over all documents.
 
-    Executors fold what they read into frequent-item sketches of bounded size; only these are merged."""
+    Executors fold what they read into frequent-item sketches of bounded size; only these are merged, first in groups, so
+    that the last merge reads about the root of the number of tasks."""
     words = docs.select(F.explode(F.expr(r"regexp_extract_all(text, ' ?\\p{L}+| ?\\p{N}+', 0)")).alias("w"))
-    row = words.agg(F.expr(f"approx_top_k(w, {k}, {tracked})").alias("top")).first()
+    groups = max(1, round(docs.rdd.getNumPartitions() ** 0.5))
+    parts = words.groupBy(F.pmod(F.spark_partition_id(), F.lit(groups)).alias("g")).agg(F.expr(f"approx_top_k_accumulate(w, {tracked})").alias("s"))
+    row = parts.agg(F.expr("approx_top_k_combine(s)").alias("s")).select(F.expr(f"approx_top_k_estimate(s, {k})").alias("top")).first()
     return [x.item for x in (row.top or [])]
 
 
