@@ -40,7 +40,8 @@ def ranked_holdout(rows: DataFrame, limit: int = 50) -> DataFrame:
 def pearson(x: str, y: str, degenerate: float | None = None) -> Column:
     """Null, or the value given, for less than two rows or a constant side."""
     flat = (F.count("*") < 2) | (F.stddev_pop(x) < 1e-12) | (F.stddev_pop(y) < 1e-12)
-    return F.when(flat, F.lit(degenerate).cast("double")).otherwise(F.corr(x, y))
+    spread = F.stddev_pop(x) * F.stddev_pop(y)  # not corr(), which fails on a constant side
+    return F.when(flat, F.lit(degenerate).cast("double")).otherwise(F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0)))
 
 
 def with_ranks(rows: DataFrame, *columns: str) -> DataFrame:
