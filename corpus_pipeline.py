@@ -9,17 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tracemill.llm import mixing, ngram_join, pieces, quality
-from tracemill.llm.common import shared_path, table
+from tracemill.llm.common import shared_path, spread, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a classifier fitted on the labels doesn't reject; null and empty texts are rejected."""
-    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return quality.keep_good(spread(docs), quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The least doc_id of each group of near copies stays, and all documents that are in no group."""
-    return ngram_join.first_of_groups(docs)
+    return ngram_join.first_of_groups(spread(docs))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``(doc_id, lang, source, ids, n_tokens, round_trip)`` for each row."""
-    return pieces.encode(docs, keep=("lang", "source"))
+    return pieces.encode(spread(docs), keep=("lang", "source"))
 
 
 STAGES = [

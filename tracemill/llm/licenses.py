@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import slices, table
+from tracemill.llm.common import documents, slices
 from tracemill.llm.license_rules import KINDS, NAMES, TAGS, TEXTS
 
 
@@ -125,4 +125,4 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"))
+    return scan(documents(spark, sf_dir))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import U64, mix64, slices, table, text_buffers
+from tracemill.llm.common import U64, documents, mix64, slices, text_buffers
 
 LEVEL = 4
 _R = U64(0x9FB21C651E98DF25)
@@ -140,4 +140,4 @@ def document_fingerprints(docs: DataFrame, depth: int = LEVEL) -> DataFrame:
 
 
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_fingerprints(table(spark, sf_dir, "documents"))
+    return document_fingerprints(documents(spark, sf_dir))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import U64, mix64, slices, table, text_buffers
+from tracemill.llm.common import U64, documents, mix64, slices, text_buffers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -334,4 +334,4 @@ def decode(tokens: DataFrame, path: str = MODEL) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(table(spark, sf_dir, "documents"))
+    return encode(documents(spark, sf_dir))

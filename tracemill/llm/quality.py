@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import slices, table, text_buffers
+from tracemill.llm.common import documents, slices, table, text_buffers
 
 MAX_TRAIN, MAX_TRAIN_BYTES, EPOCHS, BATCH, RATE, THRESHOLD = 4000, 200_000, 16, 48, 0.004, 0.5
 DIM, STRIDE, FILTERS = 8, 4, 32
@@ -183,5 +183,5 @@ def keep_good(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> Da
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
