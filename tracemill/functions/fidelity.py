@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions.commands import lines
@@ -49,15 +49,19 @@ def classify(text: Column) -> Column:
     return F.struct((F.size(w) - runtime).alias("deterministic"), F.lit(0).alias("pre_existing"), runtime.alias("runtime_metadata"), F.size(lines(text)).alias("lines"), F.length(t(text)).alias("chars"), is_json(text).alias("is_json"), response_type(text).alias("response_type"))
 
 
-def score(predicted: Column, real: Column) -> Column:
-    """Struct of five dimensions, composite and exact."""
-    p, g = t(predicted), t(real)
-    pw, gw = F.array_distinct(words(mask_runtime(p))), F.array_distinct(words(mask_runtime(g)))
-    shared = F.size(F.array_intersect(pw, gw))
-    pl, gl = F.size(lines(p)), F.size(lines(g))
+def scored(df: DataFrame, predicted: str, real: str, name: str = "score") -> DataFrame:
+    """Adds a struct of five dimensions, composite and exact.
+
+    Built column by column: within one expression the word sets would be computed at every mention of them."""
+    p, g = t(F.col(predicted)), t(F.col(real))
+    each = {"_p": p, "_g": g}
+    of = {k: F.col(k) for k in ("_p", "_g", "_pm", "_gm", "_pw", "_gw", "_pl", "_gl", "_shared")}
+    df = df.withColumns(each)
+    df = df.withColumns({"_pm": mask_runtime(of["_p"]), "_gm": mask_runtime(of["_g"]), "_pl": F.size(lines(of["_p"])), "_gl": F.size(lines(of["_g"]))})
+    df = df.withColumns({"_pw": F.array_distinct(words(of["_pm"])), "_gw": F.array_distinct(words(of["_gm"]))}).withColumn("_shared", F.size(F.array_intersect("_pw", "_gw")))
+    p, g, pw, gw, pl, gl, shared = (of[k] for k in ("_p", "_g", "_pw", "_gw", "_pl", "_gl", "_shared"))
     line = 1.0 - F.least(F.lit(1.0), F.abs(pl - gl) / F.greatest(F.lit(1), gl))
     same = lambda a, b: F.when(a == b, 1.0).otherwise(0.0)
-    exact = p == g
     parts = {
         "format": (line + same(is_json(p), is_json(g)) + same(p.rlike(PROMPT), g.rlike(PROMPT))) / 3.0,
         "factuality": F.when(F.size(gw) == 0, 1.0).otherwise(shared / F.size(gw)),
@@ -65,9 +69,10 @@ def score(predicted: Column, real: Column) -> Column:
         "realism": same(response_type(p), response_type(g)),
         "quality": F.when(F.length(g) == 0, F.when(F.length(p) == 0, 1.0).otherwise(0.0)).otherwise(F.greatest(F.lit(0.0), 1.0 - F.abs(F.length(p) - F.length(g)) / F.length(g))),
     }
-    parts = {k: F.when(exact, 1.0).otherwise(v) for k, v in parts.items()}
-    composite = sum((F.lit(WEIGHTS[k]) * parts[k] for k in WEIGHTS), F.lit(0.0))
-    return F.struct(*(r4(v).alias(k) for k, v in parts.items()), r4(composite).alias("composite"), exact.alias("exact"))
+    df = df.withColumn("_exact", p == g).withColumns({f"_{k}": F.when(F.col("_exact"), 1.0).otherwise(v) for k, v in parts.items()})
+    composite = sum((F.lit(WEIGHTS[k]) * F.col(f"_{k}") for k in WEIGHTS), F.lit(0.0))
+    out = F.struct(*(r4(F.col(f"_{k}")).alias(k) for k in parts), r4(composite).alias("composite"), F.col("_exact").alias("exact"))
+    return df.withColumn(name, out).drop(*of, "_exact", *(f"_{k}" for k in parts))
 
 
 def blend(rule: Column, judge: Column, weight: float = 0.5) -> Column:

@@ -287,25 +287,24 @@ def observations(spark, sf_dir) -> DataFrame:
 
 @query
 def fidelity_score(spark, sf_dir):
-    s = observations(spark, sf_dir).select("doc_id", fidelity.score(F.col("fake"), F.col("real")).alias("s"))
-    return s.select("doc_id", "s.*")
+    return fidelity.scored(observations(spark, sf_dir), "fake", "real").select("doc_id", "score.*")
 
 
 @query
 def bench_grouping(spark, sf_dir):
-    return worldmodel.bench(observations(spark, sf_dir).select("domain", "source", fidelity.score(F.col("fake"), F.col("real")).alias("score")))
+    return worldmodel.bench(fidelity.scored(observations(spark, sf_dir), "fake", "real").select("domain", "source", "score"))
 
 
 @query
 def trajectory_scores(spark, sf_dir):
     """Mean, last value and drift of a source's scores in the order of documents."""
-    s = observations(spark, sf_dir).select("source", "doc_id", fidelity.score(F.col("fake"), F.col("real"))["composite"].alias("c"))
+    s = fidelity.scored(observations(spark, sf_dir), "fake", "real").select("source", "doc_id", F.col("score.composite").alias("c"))
     return s.groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg("c"), 4).alias("mean_composite"), F.max_by("c", "doc_id").alias("final_composite"), F.round(F.min_by("c", "doc_id") - F.max_by("c", "doc_id"), 4).alias("drift"))
 
 
 @query
 def blended_scores(spark, sf_dir):
-    o = observations(spark, sf_dir).withColumn("rule", fidelity.score(F.col("fake"), F.col("real"))).withColumn("judge", F.struct(*((F.when(F.col("doc_id") % 3 == i % 3, (F.col("doc_id") % 10) / 10)).alias(k) for i, k in enumerate(fidelity.WEIGHTS))))
+    o = fidelity.scored(observations(spark, sf_dir), "fake", "real", "rule").withColumn("judge", F.struct(*((F.when(F.col("doc_id") % 3 == i % 3, (F.col("doc_id") % 10) / 10)).alias(k) for i, k in enumerate(fidelity.WEIGHTS))))
     return o.select("doc_id", fidelity.blend(F.col("rule"), F.col("judge"))["composite"].alias("composite"))
 
 
@@ -652,7 +651,7 @@ def rollout_scores(spark, sf_dir):
     """Rollouts of the predictor that repeats what it said, scored turn by turn."""
     s = turn_samples(spark, sf_dir).select("episode_id", F.col("index").alias("turn_index"), "intent", "action", "target_observation")
     r = rollouts.rollout(s, rollouts.named("prefix"), max_turns=5)
-    scored_ = r.select("episode_id", "turn_index", fidelity.score(F.col("predicted"), F.col("target"))["composite"].alias("composite"))
+    scored_ = fidelity.scored(r, "predicted", "target").select("episode_id", F.col("score.composite").alias("composite"))
     return scored_.groupBy("episode_id").agg(F.count("*").alias("n"), F.round(F.avg("composite"), 4).alias("mean_composite"))
 
 
