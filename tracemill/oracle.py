@@ -284,6 +284,15 @@ SQL = {
     "prompt_rows": _s("SELECT id AS episode_id, composite AS composite_reward, true AS portable, 'pytest -q' AS test_command, substr(md5(ord::VARCHAR), 1, 7) AS base_commit FROM g WHERE trusted AND NOT bad AND edits > 0 AND remote_url IS NOT NULL"),
     "dataset_manifest": f"WITH {PAIRS} SELECT count(*) AS rows, (SELECT count(DISTINCT x) FROM (SELECT ch.id AS x FROM dpo UNION ALL SELECT re.id FROM dpo))::INTEGER AS episodes FROM dpo",
     "flat_export": _s("SELECT id, intent, agent, branch, status AS outcome_status, composite, ts AS test_pass, edits::INTEGER AS file_edits, tests_run::INTEGER AS tests_run, coalesce(list_sum(list_transform(diffs, lambda d: d.additions)), 0)::BIGINT AS additions, coalesce(list_sum(list_transform(diffs, lambda d: d.deletions)), 0)::BIGINT AS deletions FROM s6"),
+    "verdict_majority": "WITH v AS (SELECT l_orderkey AS id, count(*) AS passes, count_if(l_returnflag = 'R') AS broken, avg(l_discount) AS c, count_if(l_linenumber % 2 = 1) AS odd FROM lineitem GROUP BY l_orderkey) SELECT id, passes, broken < passes // 2 + 1 AS trustworthy, CASE WHEN odd >= passes // 2 + 1 THEN 'low_coverage_tests,' ELSE '' END || 'misleading_intent' AS categories, CASE WHEN broken < passes // 2 + 1 THEN 'medium' ELSE 'high' END AS severity, round(c + 1e-9::DOUBLE, 3) AS confidence, round(greatest(broken, passes - broken) / passes::DOUBLE + 1e-9::DOUBLE, 3) AS agreement, greatest(broken, passes - broken) < passes AS escalate FROM v",
+    "train_valid_split": "WITH r AS (SELECT p_partkey, p_size, row_number() OVER (ORDER BY p_size, p_partkey) AS rn, count(*) OVER () AS n FROM part) SELECT p_partkey, p_size, rn, rn <= greatest(1, round_even(n * 0.1::DOUBLE, 0)) AS valid, rn > greatest(1, round_even(n * 0.1::DOUBLE, 0)) AS train, (rn - 1) // 8 AS batch FROM r",
+    "gate_report": "SELECT o_orderkey AS task, o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 3 <> 2 AS clean FROM orders",
+    "clipped_texts": "SELECT doc_id, md5(CASE WHEN len(text) <= 400 THEN text ELSE left(text, 123) || chr(10) || '...[trajectory truncated]...' || chr(10) || right(text, 247) END) AS clipped_md5 FROM documents",
+    "file_kinds": _e("SELECT DISTINCT file, false AS noise, file LIKE 'tests/%' AS verifier, contains(file, 'test') AS test, suffix(file, '.py') AND NOT contains(file, 'test') AS source FROM (SELECT unnest(list_transform(diffs, lambda d: d.file)) AS file FROM ep)"),
+    "replay_ids": _e("SELECT id, 'rp_' || substr(id, 4) || '_' || substr(sha256(id), 1, 8) AS replay_id FROM ep"),
+    "escalations": "SELECT doc_id, doc_id % 10 = 0 OR len(text) > 3000 AS escalate FROM documents",
+    "applied_regressions": _e("SELECT id, ord % 12 = 0 OR regressed AS caused_regression, concat_ws(',', CASE WHEN ord % 12 = 0 THEN 'c' || (ord % 5) END, CASE WHEN ord % 17 = 0 THEN 'zz' END) AS commits, concat_ws(',', label, CASE WHEN ord % 12 = 0 THEN 'regression' END) AS labels FROM ep"),
+    "turn_notices": "WITH n AS (SELECT user_id AS session_id, event_id AS seq, event_type AS t, CASE WHEN event_id % 2 = 0 THEN 'go' END AS prompt FROM events) SELECT session_id, seq, 0 AS part, 'UserPromptSubmit' AS hook, prompt FROM n WHERE t = 'signup' OR (t = 'error' AND prompt IS NOT NULL) UNION ALL SELECT session_id, seq, CASE WHEN prompt IS NULL THEN 0 ELSE 1 END, 'Stop', NULL FROM n WHERE t = 'error'",
     "first_json_objects": "SELECT event_id, props AS object FROM events",
 }
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracemill import schema
 from tracemill.functions import commands, fidelity, hashing, score, summary
-from tracemill.operators import analytics, datasets, rollouts, sessions, worldmodel
+from tracemill.operators import analytics, datasets, review, rollouts, sessions, worldmodel
 from tracemill.sources import logs, sinks, store, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -661,3 +661,61 @@ def flat_export(spark, sf_dir):
     path = f"{store.shared_folder(spark)}/export-{uuid.uuid4().hex}"
     sinks.export(rewarded(spark, sf_dir), "parquet", path)
     return spark.read.parquet(path)
+
+
+# --- reviews --------------------------------------------------------------------------------------------------------
+
+
+@query
+def verdict_majority(spark, sf_dir):
+    li = tables.table(spark, sf_dir, "lineitem")
+    cats = F.when(F.col("l_linenumber") % 2 == 0, F.array(F.lit("misleading_intent"), F.lit("other"))).otherwise(F.array(F.lit("low_coverage_tests"), F.lit("misleading_intent")))
+    votes = li.select(F.col("l_orderkey").alias("id"), (F.col("l_returnflag") != "R").alias("trustworthy"), cats.alias("categories"), F.col("l_discount").alias("confidence"))
+    return review.verdict_majority(votes)
+
+
+@query
+def train_valid_split(spark, sf_dir):
+    return review.batches(review.train_valid(tables.table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_size", "p_partkey"), 8)
+
+
+@query
+def gate_report(spark, sf_dir):
+    o = tables.table(spark, sf_dir, "orders")
+    runner = F.explode(F.array(*(F.struct(F.lit(n).alias("runner"), c.alias("ok"), s.alias("score")) for n, c, s in (("oracle", F.col("o_orderkey") % 5 != 0, F.lit(1.0)), ("empty", F.col("o_orderkey") % 7 == 0, (F.col("o_orderkey") % 3) / 2), ("broken", F.col("o_orderkey") % 11 == 0, F.lit(0.1))))))
+    return review.gate(o.select(F.col("o_orderkey").alias("task"), runner.alias("r")).select("task", "r.*"))
+
+
+@query
+def clipped_texts(spark, sf_dir):
+    return tables.table(spark, sf_dir, "documents").select("doc_id", F.md5(review.clipped(F.col("text"), 400)).alias("clipped_md5"))
+
+
+@query
+def file_kinds(spark, sf_dir):
+    d = tables.episodes(spark, sf_dir).select(F.explode("diffs").alias("d")).select(F.col("d.file").alias("file")).distinct()
+    return d.select("file", review.noise_path(F.col("file")).alias("noise"), review.verifier_file(F.col("file")).alias("verifier"), summary.is_test_file(F.col("file")).alias("test"), summary.is_source_file(F.col("file")).alias("source"))
+
+
+@query
+def replay_ids(spark, sf_dir):
+    return tables.episodes(spark, sf_dir).select("id", review.replay_id(F.col("id")).alias("replay_id"))
+
+
+@query
+def escalations(spark, sf_dir):
+    return tables.table(spark, sf_dir, "documents").select("doc_id", review.escalates(F.col("text"), F.col("doc_id") % 10 == 0, 3000).alias("escalate"))
+
+
+@query
+def applied_regressions(spark, sf_dir):
+    e = tables.episodes(spark, sf_dir).withColumn("outcome", F.col("outcome").withField("regression_commits", F.when(F.col("ord") % 17 == 0, F.array(F.lit("zz")))))
+    hits = e.where("ord % 12 = 0").select("id", F.concat(F.lit("c"), (F.col("ord") % 5).cast("string")).alias("commit"))
+    r = review.with_regressions(e, hits)
+    return r.select("id", F.col("outcome.caused_regression").alias("caused_regression"), F.array_join("outcome.regression_commits", ",").alias("commits"), F.array_join("labels", ",").alias("labels"))
+
+
+@query
+def turn_notices(spark, sf_dir):
+    ev = tables.table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "signup", "turn-start").when(F.col("event_type") == "error", "turn-complete").otherwise("other").alias("kind"), F.when(F.col("event_id") % 2 == 0, "go").alias("prompt"))
+    return review.notifications(ev)
