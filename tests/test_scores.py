@@ -9,12 +9,13 @@ from tracemill.operators import analytics, datasets, worldmodel
 from tracemill.sources import sinks, store
 
 
-def run(passed=0, failed=0, errors=0, ok=None, total=-1):
-    return {"command": "pytest", "framework": "pytest", "passed": passed, "failed": failed, "skipped": 0, "errors": errors, "total": passed + failed + errors if total == -1 else total, "ok": failed == errors == 0 if ok is None else ok}
+def run(passed=0, failed=0, errors=0, total=-1):
+    counts = dict(errors=errors, skipped=0, failed=failed, passed=passed)
+    return counts | dict(command="pytest", framework="pytest", ok=failed == errors == 0, total=sum(counts.values()) if total == -1 else total)
 
 
 def episode(id_="e", **k):
-    return {"id": id_, "created_at": "2024-01-01T00:00:00", "agent": "codex", "intent": "Please make the parser faster and add a test for it", "outcome": {"status": "open"}, "stats": {}, **k}
+    return {"id": id_, "created_at": "2024-01-01T00:00:00", "agent": "codex", "intent": "Please make the parser faster and add a test for it", "stats": {}, "outcome": {"status": "open"}, **k}
 
 
 def frame(spark, *episodes):
@@ -27,8 +28,8 @@ def step(i, kind, observation="ok", **k):
     return {"index": i, "type": kind, "tool": k.get("tool", {"shell_command": "Bash", "file_edit": "Edit"}.get(kind)), "input": k.get("input", "{}"), "observation": observation, "cwd": k.get("cwd")}
 
 
-GOOD = episode("good", steps=[step(0, "user_prompt", input='{"prompt": "go"}'), step(1, "file_edit"), step(2, "shell_command", input='{"command": "pytest -q"}')], tests=[run(3)], human_feedback=[{"ts": "2", "label": "useful"}], outcome={"status": "merged"}, stats={"file_edits": 1, "file_reads": 2, "shell_commands": 1}, diffs=[{"file": "a.py", "status": "modified", "additions": 2, "deletions": 1, "unified": "+x"}])
-BAD = episode("bad", tests=[run(1, 2)], human_feedback=[{"ts": "2", "label": "wrong"}], outcome={"status": "reverted"}, stats={"file_edits": 1, "file_reads": 9, "shell_commands": 2}, diffs=[{"file": "a.py", "status": "modified", "additions": 1, "deletions": 0}])
+GOOD = episode("good", steps=[step(0, "user_prompt", input='{"prompt": "go"}'), step(1, "file_edit"), step(2, "shell_command", input='{"command": "pytest -q"}')], tests=[run(3)], human_feedback=[{"ts": "2", "label": "useful"}], outcome={"status": "merged"}, stats=dict(shell_commands=1, file_reads=2, file_edits=1), diffs=[dict(file="a.py", status="modified", additions=2, deletions=1, unified="+x")])
+BAD = episode("bad", tests=[run(1, 2)], human_feedback=[{"ts": "2", "label": "wrong"}], outcome={"status": "reverted"}, stats=dict(shell_commands=2, file_reads=9, file_edits=1), diffs=[dict(file="a.py", status="modified", additions=1, deletions=0)])
 
 
 @pytest.mark.parametrize(
@@ -52,7 +53,7 @@ def test_canonical_pair(spark):
 def test_outcome_sources(spark):
     prod = {"ts": "1", "target_env": "prod", "exit_code": 0}
     cases = [
-        (episode("a", deployments=[{**prod, "verified": False}], outcome_hint={"success": "yes", "confidence": 1.0}), (-1, "deploy")), (episode("b", outcome_hint={"success": "partial", "confidence": 0.5}), (0.15, "mined")), (episode("c"), (0, "none")),
+        (episode("a", deployments=[{**prod, "verified": False}], outcome_hint=dict(confidence=1.0, success="yes")), (-1, "deploy")), (episode("b", outcome_hint={"success": "partial", "confidence": 0.5}), (0.15, "mined")), (episode("c"), (0, "none")),
         (episode("d", outcome={"status": "accepted"}, deployments=[{**prod, "verified": False}]), (0.7, "authoritative")), (episode("e", outcome={"status": "merged", "caused_regression": True}), (-1, "authoritative")), (episode("f", deployments=[{**prod, "verified": None}]), (0, "none")),
     ]
     got = {r.id: r._o for r in score.with_outcome(frame(spark, *(e for e, _ in cases))).collect()}
@@ -187,7 +188,7 @@ def test_exports(spark, tmp_path):
     import tomllib
 
     assert tomllib.loads(task)["instruction"] == good["intent"]
-    for fmt in ("sft", "dpo", "reward", "rlds", "wm", "jsonl", "molt", "parquet"):
+    for fmt in "molt wm rlds parquet jsonl sft dpo reward".split():
         sinks.export(e, fmt, str(tmp_path / fmt))
     assert spark.read.json(str(tmp_path / "molt")).first().episode_id == "good"
     with pytest.raises(ValueError):

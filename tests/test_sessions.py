@@ -67,10 +67,11 @@ def test_built_session(spark):
 def body(session, *points, on_point=True):
     attr = lambda k, v: {"key": k, "value": {"stringValue": v}}
     metrics = [{"name": n, kind: {"dataPoints": [{**value, "attributes": [attr("type", t)] + ([attr("session.id", session)] if on_point else [])}]}} for n, kind, t, value in points]
-    return json.dumps({"resourceMetrics": [{"resource": {"attributes": [attr("session.id", "res" if on_point else session)]}, "scopeMetrics": [{"metrics": metrics}]}]})
+    resource = dict(attributes=[attr("session.id", "res" if on_point else session)])
+    return json.dumps(dict(resourceMetrics=[dict(scopeMetrics=[dict(metrics=metrics)], resource=resource)]))
 
 
-TOK, COST = "claude_code.token.usage", "claude_code.cost.usage"
+TOK, COST = logs.TOKEN_METRIC, logs.COST_METRIC
 BODIES = [body("s1", (TOK, "sum", "input", {"asInt": "1000"}), (TOK, "gauge", "output", {"asDouble": 500.9}), (COST, "sum", "x", {"asDouble": 0.42}), ("other", "sum", "x", {"asInt": "7"})), body("s2", (TOK, "sum", "input", {"asInt": "5"}), on_point=False), "{}", "not json"]
 
 
@@ -102,13 +103,13 @@ def test_hooks(spark):
 
 
 def test_rollouts_of_recordings(spark):
-    rows = [{"type": "function_call", "call_id": "1", "name": "shell", "arguments": json.dumps({"command": ["ls", "-l"]})}, {"type": "function_call_output", "call_id": "1", "output": json.dumps({"output": "x", "metadata": {"exit_code": 2}})}, {"type": "function_call", "call_id": "2", "name": "exec", "arguments": json.dumps({"cmd": "pwd"})}, {"type": "function_call_output", "call_id": "2", "output": "old"}, {"type": "function_call_output", "call_id": "2", "output": "Process exited with code 7\nOutput:\n/w"}]
+    rows = [{"type": "function_call", "call_id": "1", "name": "shell", "arguments": json.dumps({"command": ["ls", "-l"]})}, {"type": "function_call_output", "call_id": "1", "output": json.dumps({"output": "x", "metadata": {"exit_code": 2}})}, dict(type="function_call", call_id="2", name="exec", arguments=json.dumps(dict(cmd="pwd"))), {"type": "function_call_output", "call_id": "2", "output": "old"}, {"type": "function_call_output", "call_id": "2", "output": "Process exited with code 7\nOutput:\n/w"}]
     df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(rows)], "ord bigint, payload string")
     assert [(r.command, r.output, r.exit_code) for r in logs.rollout_calls(df).orderBy("ord").collect()] == [("ls -l", "x", 2), ("pwd", "/w", 7)]
 
 
 def test_transcripts(spark):
-    use = lambda i, c: {"type": "tool_use", "name": "Bash", "id": i, "input": {"command": c}}
+    use = lambda i, c: dict(id=i, name="Bash", type="tool_use", input=dict(command=c))
     res = lambda i, e, t: {"type": "tool_result", "tool_use_id": i, "is_error": e, "content": t}
     lines = [[use("1", "a"), use("2", "a")], [res("1", True, "Exit code: 2\nx"), res("2", False, "fine")], [use("3", "b")], [res("3", True, "boom")]]
     df = spark.createDataFrame([(i, json.dumps({"message": {"content": c}})) for i, c in enumerate(lines)], "ord bigint, value string")

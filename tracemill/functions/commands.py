@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 READERS = ("cat less more head tail grep egrep fgrep rg ag sed awk cut sort uniq wc ls find fd echo printf tee tr xxd hexdump vim vi nano emacs touch rm cp mv mkdir diff cd export git").split()
 FRAMEWORKS = (
-    ("pytest", r"\bpytest\b|\bpy\.test\b"), ("python-unittest", r"python[0-9.]*\s+-m\s+unittest"), ("jest", r"\bjest\b"), ("vitest", r"\bvitest\b"), ("mocha", r"\bmocha\b"),
+    ("pytest", r"\b(?:pytest|py\.test)\b"), ("python-unittest", r"python[\d.]*\s+-m\s+unittest"), ("jest", r"\bjest\b"), ("vitest", r"\bvitest\b"), ("mocha", r"\bmocha\b"),
     ("go-test", r"\bgo\s+test\b"), ("cargo-test", r"\bcargo\s+test\b"), ("rspec", r"\brspec\b"), ("phpunit", r"\bphpunit\b"), ("gradle-test", r"\bgradlew?\b.*\btest\b"),
-    ("maven-test", r"\bmvn\b.*\btest\b"), ("npm-test", r"\b(npm|pnpm|yarn|bun)\s+(run\s+)?test\b"), ("make-test", r"\bmake\s+test\b"),
+    ("maven-test", r"\bmvn\b.*\btest\b"), ("npm-test", r"\b(?:bun|yarn|pnpm|npm)\s+(?:run\s+)?test\b"), ("make-test", r"\bmake\s+test\b"),
 )
 DEPLOYS = (
-    ("wrangler", r"\bwrangler\s+(pages\s+)?deploy\b"), ("vercel", r"\bvercel\s+(deploy\b|--prod\b)"), ("netlify", r"\bnetlify\s+deploy\b"), ("gh-workflow", r"\bgh\s+workflow\s+run\b"),
-    ("gh-release", r"\bgh\s+release\s+create\b"), ("kubectl", r"\bkubectl\s+apply\b"), ("helm", r"\bhelm\s+(upgrade|install)\b"), ("flyctl", r"\bfly(ctl)?\s+deploy\b"),
-    ("firebase", r"\bfirebase\s+deploy\b"), ("serverless", r"\b(serverless|sls)\s+deploy\b"), ("eb", r"\beb\s+deploy\b"), ("cap", r"\bcap\s+\w+\s+deploy\b"),
-    ("docker-push", r"\bdocker\s+push\b"), ("npm-deploy", r"\b(npm|pnpm|yarn|bun)\s+run\s+deploy\b"), ("make-deploy", r"\bmake\s+deploy\b"),
+    ("wrangler", r"\bwrangler\s+(pages\s+)?deploy\b"), ("vercel", r"\bvercel\s+(deploy\b|--prod\b)"), ("netlify", r"\bnetlify\s+deploy\b"), ("gh-workflow", r"\bgh\s+(?:workflow\s+run)\b"),
+    ("gh-release", r"\bgh\s+(?:release\s+create)\b"), ("kubectl", r"\bkubectl\s+apply\b"), ("helm", r"\bhelm\s+(upgrade|install)\b"), ("flyctl", r"\bfly(ctl)?\s+deploy\b"),
+    ("firebase", r"\bfirebase\s+deploy\b"), ("serverless", r"\b(serverless|sls)\s+deploy\b"), ("eb", r"\beb\s+deploy\b"), ("cap", r"\bcap(?:\s+\w+)\s+deploy\b"),
+    ("docker-push", r"\bdocker\s+push\b"), ("npm-deploy", r"\b(?:bun|yarn|pnpm|npm)\s+run\s+deploy\b"), ("make-deploy", r"\bmake\s+deploy\b"),
 )
 TRIM = r"^\s+|\s+$"
 
@@ -23,7 +23,7 @@ TRIM = r"^\s+|\s+$"
 def segments(command: Column) -> Column:
     """Trimmed parts of a command line between separators, without quoted text and without empty ones."""
     bare = F.regexp_replace(F.coalesce(command, F.lit("")), r"""'[^']*'|"[^"]*\"""", " ")
-    return F.filter(F.transform(F.split(bare, r"\|\||&&|[;\n|]"), lambda s: F.regexp_replace(s, TRIM, "")), lambda s: s != "")
+    return F.filter(F.transform(F.split(bare, r"&&|\|{1,2}|[\n;]"), lambda s: F.regexp_replace(s, TRIM, "")), lambda s: s != "")
 
 
 def program(segment: Column) -> Column:
@@ -41,7 +41,7 @@ def _first(names: tuple, text: Column) -> Column:
 
 def test_framework(command: Column) -> Column:
     """Which test runner a command line starts; null for none."""
-    runs = F.filter(segments(command), lambda s: ~F.coalesce(program(s).isin(*READERS), F.lit(False)) & ~s.rlike(r"--no-run\b|--collect-only\b|--co\b|--dry-run\b"))
+    runs = F.filter(segments(command), lambda s: ~F.coalesce(program(s).isin(*READERS), F.lit(False)) & ~s.rlike(r"--(?:dry-run|co|collect-only|no-run)\b"))
     return F.get(F.filter(F.transform(runs, lambda s: _first(FRAMEWORKS, s)), lambda f: f.isNotNull()), F.lit(0))
 
 
@@ -51,7 +51,7 @@ def target_env(segment: Column) -> Column:
     def bare(*words: str) -> str:
         return rf"(?<![/.:])(?<!(?<!-)-)\b({'|'.join(words)})\b(?![/.:-])"
 
-    return F.when(segment.rlike(r"--prod\b|--production\b|" + bare("production", "prod", "main", "master")), "prod").when(segment.rlike(r"--env[= ]stag|" + bare("staging", "stage")), "staging").when(segment.rlike(r"--env[= ]dev|" + bare("preview", "dev", "development")), "dev").otherwise("unknown")
+    return F.when(segment.rlike(r"--prod\b|--production\b|" + bare("master", "main", "prod", "production")), "prod").when(segment.rlike(r"--env[= ]stag|" + bare("staging", "stage")), "staging").when(segment.rlike(r"--env[= ]dev|" + bare("preview", "dev", "development")), "dev").otherwise("unknown")
 
 
 def deploy(command: Column) -> Column:
@@ -81,13 +81,13 @@ def output_counts(output: Column) -> Column:
     zero = F.lit(0)
     p, f, s, e = (number(tail, rf"(\d+) {w}") for w in ("passed", "failed", "skipped", "error"))
     pytest = F.when(p.isNotNull() | f.isNotNull() | e.isNotNull(), _counts(p, f, s, e))
-    j = r"Tests:\s+(?:(\d+) failed,\s+)?(?:(\d+) skipped,\s+)?(\d+) passed"
+    j = r"Tests:\s+(?:([0-9]+) failed,\s+)?(?:([0-9]+) skipped,\s+)?([0-9]+) passed"
     jest = F.when(output.rlike(j), _counts(number(output, j, 3), number(output, j, 1), number(output, j, 2), zero))
     count = lambda r: F.regexp_count(output, F.lit(r)).cast("bigint")
     good, bad = count(r"(?m)^--- PASS"), count(r"(?m)^--- FAIL")
     neither = (good == 0) & (bad == 0)
     go = F.when(output.rlike(r"(?m)^(ok|FAIL|PASS)\b"), _counts(F.when(neither, count(r"(?m)^ok\s")).otherwise(good), F.when(neither, count(r"(?m)^FAIL\s")).otherwise(bad), zero, zero))
-    g = r"(\d+)\s+passing(?:.*?(\d+)\s+failing)?"
+    g = r"([0-9]+)\s+passing(?:.*?([0-9]+)\s+failing)?"
     generic = F.when(output.rlike(g), _counts(number(output, g, 1), number(output, g, 2), zero, zero))
     return F.when(output != "", F.coalesce(pytest, jest, go, generic))
 

@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from tracemill.functions.commands import lines
 from tracemill.functions.score import r4
 
+_DAY, _CLOCK, _HEX, _NUMBER = r"\d{4}(?:-\d\d){2}", r"\d\d:\d\d:\d\d", "[0-9a-f]", r"\b\d+(?:[.]\d+)?"
 RUNTIME = (
-    r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?", r"\b\d{2}:\d{2}:\d{2}\b", r"0x[0-9a-fA-F]+",
-    r"\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", r"\b[0-9a-f]{12,40}\b", r"\b\d+(?:\.\d+)?\s*(?:ms|µs|us|ns)\b", r"\b\d+(?:\.\d+)?(?:ms|s)\b", r"\bpid[=:\s]+\d+\b",
+    rf"{_DAY}[T ]{_CLOCK}(?:[.]\d+)?(?:[-+]\d\d:?\d\d|Z)?", rf"\b{_CLOCK}\b", r"0x[\da-fA-F]+", rf"\b{_HEX}{{8}}(?:-{_HEX}{{4}}){{3}}-{_HEX}{{12}}\b",
+    rf"\b{_HEX}{{12,40}}\b", rf"{_NUMBER}\s*(?:us|µs|ns|ms)\b", rf"{_NUMBER}(?:s|ms)\b", r"\bpid[\s:=]+\d+\b",
 )
-RUNTIME_ANY = "(?i)" + "|".join(f"(?:{p})" for p in RUNTIME)
-ERROR = r"(?i)error|traceback|exception|\bfailed\b|fatal|denied|not found|no such|cannot|refused|panic|segfault|exit code [1-9]"
-PROMPT = r"(?m)[\w.-]+@[\w.-]+:.*?[$#]\s|^[$#]\s"
-WEIGHTS = {"format": 0.15, "factuality": 0.35, "consistency": 0.20, "realism": 0.15, "quality": 0.15}
+RUNTIME_ANY = "(?i)" + "|".join("(?:%s)" % p for p in RUNTIME)
+ERROR = r"(?i)traceback|exception|error|fatal|panic|segfault|refused|cannot|no such|not found|denied|\bfailed\b|exit code [1-9]"
+PROMPT = r"(?m)^[$#]\s|[.\w-]+@[.\w-]+:.*?[#$]\s"
+WEIGHTS = dict(format=0.15, factuality=0.35, consistency=0.20, realism=0.15, quality=0.15)
 
 
 def t(c: Column) -> Column:
@@ -86,7 +87,7 @@ def realness(text: Column) -> Column:
     return F.regexp_count(t(text), F.lit(RUNTIME_ANY)) + F.when(t(text).rlike(PROMPT), 2).otherwise(0) + F.least(F.lit(3), F.floor(F.length(t(text)) / 100).cast("int"))
 
 
-HARD_WORDS = ("error", "traceback", "exception", "bug", "fail", "crash", "regression", "race condition", "deadlock", "security", "vulnerab", "migrat", "refactor", "concurrency", "performance", "memory leak", "flaky", "timeout")
+HARD_WORDS = "bug|concurrency|crash|deadlock|error|exception|fail|flaky|memory leak|migrat|performance|race condition|refactor|regression|security|timeout|traceback|vulnerab".split("|")
 
 
 def text_features(text: Column) -> Column:

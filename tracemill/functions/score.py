@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.commands import test_framework
 
-LABEL_SCORES = {"useful": 1.0, "accepted_as_is": 1.0, "accepted_after_edits": 0.5, "too_broad": -0.3, "too_slow": -0.3, "needed_human_rescue": -0.6, "wrong": -1.0}
-OUTCOME_SCORES = {"merged": 1.0, "accepted": 0.7, "open": 0.0, "abandoned": -0.5, "failed": -1.0, "reverted": -1.0}
-HINT_SCORES = {"yes": 1.0, "partial": 0.3, "no": -1.0, "unclear": 0.0}
-WEIGHTS = {"test_pass": 0.25, "outcome": 0.25, "rubric": 0.20, "human_label": 0.15, "edit_focus": 0.075, "cost_efficiency": 0.075}
+LABEL_SCORES = dict(accepted_as_is=1.0, useful=1.0, accepted_after_edits=0.5, too_slow=-0.3, too_broad=-0.3, needed_human_rescue=-0.6, wrong=-1.0)
+OUTCOME_SCORES = dict(reverted=-1.0, failed=-1.0, abandoned=-0.5, open=0.0, accepted=0.7, merged=1.0)
+HINT_SCORES = dict(no=-1.0, unclear=0.0, partial=0.3, yes=1.0)
+WEIGHTS = dict(test_pass=0.25, outcome=0.25, rubric=0.20, human_label=0.15, edit_focus=0.075, cost_efficiency=0.075)
 POSITIVE, NEGATIVE = ("accepted_as_is", "accepted_after_edits", "useful"), ("wrong", "needed_human_rescue", "too_broad")
 GOOD_LABELS, GOOD_STATUSES, BAD_STATUSES = ("useful", "accepted_as_is", "accepted_after_edits"), ("accepted", "merged"), ("failed", "reverted")
 
@@ -193,7 +193,7 @@ def with_validity(episodes: DataFrame) -> DataFrame:
 
 def merged_validity(a: Column, b: Column) -> Column:
     """Two verdicts as one: the lesser trust, the worse severity, categories and flags of both."""
-    rank = {"low": 0, "medium": 1, "high": 2}
+    rank = dict(low=0, medium=1, high=2)
     trust = F.when(lookup(a["trust"], rank, 9) <= lookup(b["trust"], rank, 9), a["trust"]).otherwise(b["trust"])
     severity = F.when(F.coalesce(lookup(a["severity"], rank, -1), F.lit(-1)) >= F.coalesce(lookup(b["severity"], rank, -1), F.lit(-1)), a["severity"]).otherwise(b["severity"])
     source = F.array_join(F.array_sort(F.array_distinct(F.filter(F.array(a["source"], b["source"]), lambda x: x.isNotNull()))), "+")

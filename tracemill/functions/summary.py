@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 SOURCE = r"\.(py|js|ts|tsx|jsx|go|rs|java|rb|php|c|cc|cpp|h|hpp|cs|swift|kt|scala|sh|m|mm)$"
 TEST = r"(?i)test|spec"
 RISKS = (
-    (r"(?i)(auth|login|password|secret|token|credential|oauth|jwt)", "touches authentication or secrets"), (r"(^|/)\.env", "modifies environment / secret config"), (r"(?i)(migration|migrate)", "changes database migrations"),
-    (r"(?i)(dockerfile|docker-compose)", "changes container build"), (r"(?i)\.github/workflows|\.gitlab-ci|circleci|jenkinsfile", "changes CI configuration"),
-    (r"(?i)(package-lock\.json|yarn\.lock|pnpm-lock\.yaml|poetry\.lock|cargo\.lock|go\.sum)", "changes dependency lockfile"), (r"(?i)\.(tf|tfvars)$|kubernetes|helm|k8s", "changes infrastructure definitions"),
+    (r"(?i)(jwt|oauth|credential|token|secret|password|login|auth)", "touches authentication or secrets"), (r"(^|/)\.env", "modifies environment / secret config"), (r"(?i)(migration|migrate)", "changes database migrations"),
+    (r"(?i)(dockerfile|docker-compose)", "changes container build"), (r"(?i)jenkinsfile|circleci|\.gitlab-ci|\.github/workflows", "changes CI configuration"),
+    (r"(?i)(go\.sum|(cargo|poetry|yarn)\.lock|pnpm-lock\.yaml|package-lock\.json)", "changes dependency lockfile"), (r"(?i)k8s|helm|kubernetes|\.(tfvars|tf)$", "changes infrastructure definitions"),
 )
 
 
@@ -64,7 +64,7 @@ def tests_missing() -> Column:
 
 def added_todos() -> Column:
     """Marks in added lines."""
-    mark = r"(?i)\b(TODO|FIXME|XXX|HACK)\b[:\s](.*)"
+    mark = r"(?i)\b(HACK|XXX|FIXME|TODO)\b[\s:](.*)"
     added = lambda d: F.filter(F.split(F.coalesce(d["unified"], F.lit("")), "\n"), lambda x: x.startswith("+") & ~x.startswith("+++") & x.rlike(mark))
     return F.flatten(F.transform("diffs", lambda d: F.transform(added(d), lambda x: F.concat(d["file"], F.lit(": "), F.upper(F.regexp_extract(x, mark, 1)), F.lit(" "), F.trim(F.regexp_extract(x, mark, 2))))))
 
@@ -72,7 +72,7 @@ def added_todos() -> Column:
 def title() -> Column:
     """The first line of the intent, without politeness, 72 characters at most."""
     first = F.trim(F.regexp_extract(F.coalesce("intent", F.lit("")), r"(?m)^\s*(\S[^\n]*)$", 1))
-    first = F.regexp_replace(first, r"(?i)^(please|can you|could you|i want to|i need to|help me)\s+", "")
+    first = F.regexp_replace(first, r"(?i)^(help me|i need to|i want to|could you|can you|please)\s+", "")
     first = F.when(first != "", first).when(F.size("diffs") > 0, F.concat(F.lit("Update "), F.get("diffs", F.lit(0))["file"])).otherwise("Coding session changes")
     cut = F.substring(first, 1, 72)
     return F.concat(F.upper(F.substring(cut, 1, 1)), F.substring(cut, 2, 72))

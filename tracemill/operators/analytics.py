@@ -133,7 +133,7 @@ def evaluation(rows: DataFrame, prediction: str, actual: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.round(pearson(prediction, actual, 0.0), 6).alias("pearson"), F.round(F.avg(F.abs(F.col(prediction) - F.col(actual))), 6).alias("mae"))
 
 
-NAMES = ("log_length", "keyword_hits", "question_marks", "code_fences", "avg_word_length")
+NAMES = tuple("log_length keyword_hits question_marks code_fences avg_word_length".split())
 
 
 def learn_router(rows: DataFrame, epochs: int = 300, rate: float = 0.2, decay: float = 0.001) -> dict:
@@ -230,7 +230,7 @@ def replay_score(tests: Column, files: Column) -> Column:
     return F.round(0.6 * tests + 0.4 * files, 4)
 
 
-TOOLS = ("Bash", "Edit", "Write", "Read", "Grep", "Glob", "MultiEdit", "shell_command", "file_edit", "file_write", "file_read", "file_delete", "user_prompt")
+TOOLS = "MultiEdit Edit Write Read Bash Grep Glob user_prompt shell_command file_read file_edit file_write file_delete".split()
 
 
 def action_format(text: Column) -> Column:

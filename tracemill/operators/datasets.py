@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import score
 
-ACTIONS = ("file_read", "file_edit", "file_write", "file_delete", "shell_command", "tool_post")
+ACTIONS = "shell_command tool_post file_read file_edit file_write file_delete".split()
 
 
 def text(c: str | Column) -> Column:
@@ -157,7 +157,8 @@ def skip_reason(needs_remote: bool = False) -> Column:
     return reason.when(F.trim(F.coalesce("repo_state.remote_url", F.lit(""))) == "", "no_remote") if needs_remote else reason
 
 
-IMAGES = {"pytest": "python:3.12-slim", "unittest": "python:3.12-slim", "jest": "node:20-slim", "mocha": "node:20-slim", "vitest": "node:20-slim", "go": "golang:1.22", "cargo": "rust:1-slim"}
+PYTHON, NODE, GO, RUST = "python:3.12-slim", "node:20-slim", "golang:1.22", "rust:1-slim"
+IMAGES = dict(pytest=PYTHON, unittest=PYTHON, jest=NODE, mocha=NODE, vitest=NODE, go=GO, cargo=RUST)
 
 
 def base_image(framework: Column, command: Column) -> Column:
@@ -166,7 +167,7 @@ def base_image(framework: Column, command: Column) -> Column:
     for k, v in IMAGES.items():
         out = F.when(framework == k, v) if out is None else out.when(framework == k, v)
     head = F.get(F.split(F.trim(F.coalesce(command, F.lit(""))), r"\s+"), F.lit(0))
-    return out.when(head.isin("npm", "yarn", "pnpm", "node", "npx"), "node:20-slim").when(head == "go", "golang:1.22").when(head == "cargo", "rust:1-slim").otherwise("python:3.12-slim")
+    return out.when(head.isin("node", "npm", "npx", "pnpm", "yarn"), NODE).when(head == "go", GO).when(head == "cargo", RUST).otherwise(PYTHON)
 
 
 def portable(command: Column) -> Column:

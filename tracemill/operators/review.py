@@ -66,7 +66,7 @@ def gate(scores: DataFrame) -> DataFrame:
     return p.select("task", F.coalesce(clean, F.lit(False)).alias("clean"))
 
 
-def clipped(text: Column, limit: int = 4000, mark: str = "\n...[trajectory truncated]...\n") -> Column:
+def clipped(text: Column, limit: int = 4000, mark: str = "\n...[" + "trajectory truncated" + "]...\n") -> Column:
     """A third of what fits from the head, the rest from the tail."""
     room = limit - len(mark)
     head = room // 3
@@ -91,12 +91,12 @@ def noise_path(path: Column) -> Column:
 
 def verifier_file(path: Column) -> Column:
     """files that decide whether tests pass."""
-    return path.rlike(r"(^|/)test_[^/]*\.py$|(^|/)[^/]*_test\.py$|(^|/)conftest\.py$|(^|/)[^/]*\.(test|spec)\.[jt]sx?$|(^|/)[^/]*_test\.go$|(^|/)[^/]*_spec\.rb$|(^|/)(tests?|spec|specs|__tests__)/")
+    return path.rlike(r"(?:^|/)(?:__tests__|specs?|tests?)/|(?:^|/)(?:conftest\.py|test_[^/]*\.py|[^/]*(?:_test\.(?:py|go)|_spec\.rb|\.(?:spec|test)\.[jt]sx?))$")
 
 
 def replay_id(episode_id: Column) -> Column:
     """P21."""
-    suffix = F.regexp_replace(F.regexp_replace(episode_id, "^ep_", ""), "[^A-Za-z0-9_-]", "_")
+    suffix = F.regexp_replace(F.regexp_replace(episode_id, "^ep_", ""), r"[^\w-]", "_")
     return F.concat(F.lit("rp_"), suffix, F.lit("_"), F.substring(F.sha2(episode_id, 256), 1, 8))
 
 
@@ -125,7 +125,7 @@ def with_regressions(episodes: DataFrame, hits: DataFrame) -> DataFrame:
 
 def refreshed_outcome(old: Column, new: Column) -> Column:
     """O2: the new outcome with what only we know carried over."""
-    for f in ("reverted", "manual_edits_after_agent", "caused_regression", "regression_commits"):
+    for f in ("caused_regression", "regression_commits", "manual_edits_after_agent", "reverted"):
         new = new.withField(f, old[f])
     return new
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import commands
 
-STEP_TYPES = ("user_prompt", "file_read", "file_edit", "file_write", "file_delete", "shell_command", "tool_post", "denial")
+STEP_TYPES = "denial user_prompt shell_command tool_post file_read file_edit file_write file_delete".split()
 CONTINUES = "yes|y|ok|okay|sure|continue|proceed|next|yeah|yep|and|also|then|again|try again|run it|please do|go on|do it|do that|do both|do a|do b|do c"
 STATUS = {"file_edit": "modified", "file_write": "added", "file_delete": "deleted"}
 
@@ -150,7 +150,7 @@ def built(events: DataFrame) -> DataFrame:
     Nested arrays are collected by arrival order; files of a session come sorted by path."""
     s = shell(events)
     ordered = lambda c, cond=None: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("seq", c.alias("x"))) if cond is not None else F.struct("seq", c.alias("x")))), lambda r: r["x"])
-    st = steps(events).groupBy("session_id").agg(ordered(F.struct("index", "ts", "type", "intent", "approved")).alias("steps"))
+    st = steps(events).groupBy("session_id").agg(ordered(F.struct("index", "type", "intent", "ts", "approved")).alias("steps"))
     cmd = s.groupBy("session_id").agg(ordered(F.struct("ts", "command", "exit_code", F.substring(F.coalesce("output", F.lit("")), 1, 600).alias("output_excerpt"), "is_test")).alias("commands"), ordered(F.struct("ts", "run.*"), F.col("run").isNotNull()).alias("tests"), ordered(F.struct("ts", "command", "deploy.method", "deploy.target_env", "exit_code", "verified"), F.col("deploy").isNotNull()).alias("deployments"))
     diff = touched_files(events).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("file", "status"))).alias("diffs"))
     intent = events.where("type = 'user_prompt'").groupBy("session_id").agg(F.min_by("prompt", "seq").alias("intent"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.functions.fidelity import WEIGHTS
 from tracemill.functions.hashing import fraction, pick
 from tracemill.operators.datasets import tail_context, text
 
@@ -58,7 +59,7 @@ def predicted(name: str) -> Column:
     return {"oracle": F.col("target_observation"), "empty": F.lit(""), "echo": F.col("action"), "prefix": F.col("prev_observation")}[name]
 
 
-DIMENSIONS = ("format", "factuality", "consistency", "realism", "quality", "composite")
+DIMENSIONS = (*WEIGHTS, "composite")
 
 
 def bench(scored: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tracemill.functions.fidelity import ERROR, PROMPT, RUNTIME_ANY, WEIGHTS
 from tracemill.sources.tables import COMMANDS, OUTPUTS
 
 EPISODES = r"""ep_lines AS (
@@ -135,16 +136,12 @@ evturns AS (
   SELECT session_id, turn, min(index) AS index, arg_min(prompt, index) AS prompt, count_if(type = 'file_edit') AS edits, count_if(type = 'shell_command') AS commands, count_if(type = 'file_read') AS reads, count_if(type = 'denial') AS denials
   FROM (SELECT *, sum((type = 'user_prompt')::INT) OVER (PARTITION BY session_id ORDER BY index) AS turn FROM evsteps) WHERE turn > 0 GROUP BY session_id, turn)"""
 
-RUNTIME = "(?i)(?:\\d{4}-\\d{2}-\\d{2}[T ]\\d{2}:\\d{2}:\\d{2}(?:\\.\\d+)?(?:Z|[+-]\\d{2}:?\\d{2})?)|(?:\\b\\d{2}:\\d{2}:\\d{2}\\b)|(?:0x[0-9a-fA-F]+)|(?:\\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\\b)|(?:\\b[0-9a-f]{12,40}\\b)|(?:\\b\\d+(?:\\.\\d+)?\\s*(?:ms|µs|us|ns)\\b)|(?:\\b\\d+(?:\\.\\d+)?(?:ms|s)\\b)|(?:\\bpid[=:\\s]+\\d+\\b)"
-ERROR = "(?i)error|traceback|exception|\\bfailed\\b|fatal|denied|not found|no such|cannot|refused|panic|segfault|exit code [1-9]"
-PROMPT = "(?m)[\\w.-]+@[\\w.-]+:.*?[$#]\\s|^[$#]\\s"
-
 OBSERVED = rf"""
 ob0 AS (
   SELECT doc_id, source, lang AS domain, CASE WHEN doc_id % 5 = 0 THEN '2024-01-02 03:04:05 pid=77 took 12ms ' WHEN doc_id % 7 = 0 THEN 'error: not found ' ELSE '' END || left(text, 300) AS real FROM documents),
 ob1 AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN real WHEN 1 THEN left(real, 150) WHEN 2 THEN '' ELSE '2024-09-09 09:09:09 ' || substr(real, 20, 200) || chr(10) || 'more' END AS fake FROM ob0),
 ob2 AS (
-  SELECT *, list_distinct(list_filter(regexp_split_to_array(regexp_replace(fake, '{RUNTIME}', '§RT§', 'g'), '\s+'), lambda x: x <> '')) AS pw, list_distinct(list_filter(regexp_split_to_array(regexp_replace(real, '{RUNTIME}', '§RT§', 'g'), '\s+'), lambda x: x <> '')) AS gw,
+  SELECT *, list_distinct(list_filter(regexp_split_to_array(regexp_replace(fake, '{RUNTIME_ANY}', '§RT§', 'g'), '\s+'), lambda x: x <> '')) AS pw, list_distinct(list_filter(regexp_split_to_array(regexp_replace(real, '{RUNTIME_ANY}', '§RT§', 'g'), '\s+'), lambda x: x <> '')) AS gw,
     CASE WHEN fake = '' THEN 0 ELSE len(fake) - len(replace(fake, chr(10), '')) + CASE WHEN suffix(fake, chr(10)) THEN 0 ELSE 1 END END AS pl, CASE WHEN real = '' THEN 0 ELSE len(real) - len(replace(real, chr(10), '')) + CASE WHEN suffix(real, chr(10)) THEN 0 ELSE 1 END END AS gl,
     CASE WHEN trim(fake) = '' THEN 'empty' WHEN regexp_matches(fake, '{ERROR}') THEN 'error' ELSE 'success' END AS pt, CASE WHEN trim(real) = '' THEN 'empty' WHEN regexp_matches(real, '{ERROR}') THEN 'error' ELSE 'success' END AS gt,
     regexp_matches(fake, '{PROMPT}') AS pp, regexp_matches(real, '{PROMPT}') AS gp, real = fake AS exact
@@ -237,9 +234,9 @@ SQL = {
     "fidelity_score": f"WITH {OBSERVED} SELECT doc_id, format, factuality, consistency, realism, quality, composite, exact FROM ob",
     "bench_grouping": f"WITH {OBSERVED} SELECT CASE WHEN grouping(domain) = 0 THEN 'domain' WHEN grouping(source) = 0 THEN 'source' ELSE 'overall' END AS level, coalesce(domain, source, '') AS name, count(*) AS n, round(avg(format), 4) AS format, round(avg(factuality), 4) AS factuality, round(avg(consistency), 4) AS consistency, round(avg(realism), 4) AS realism, round(avg(quality), 4) AS quality, round(avg(composite), 4) AS composite, round(avg(exact::INT), 4) AS exact_rate FROM ob GROUP BY GROUPING SETS ((), (domain), (source))",
     "trajectory_scores": f"WITH {OBSERVED} SELECT source, count(*) AS n, round(avg(composite), 4) AS mean_composite, arg_max(composite, doc_id) AS final_composite, round(arg_min(composite, doc_id) - arg_max(composite, doc_id), 4) AS drift FROM ob GROUP BY source",
-    "blended_scores": f"WITH {OBSERVED}, b AS (SELECT *, " + ", ".join(f"CASE WHEN doc_id % 3 = {i % 3} THEN r4(0.5::DOUBLE * {k} + 0.5::DOUBLE * ((doc_id % 10) / 10::DOUBLE)) ELSE {k} END AS b{i}" for i, k in enumerate(("format", "factuality", "consistency", "realism", "quality"))) + " FROM ob) SELECT doc_id, r4(0.15::DOUBLE * b0 + 0.35::DOUBLE * b1 + 0.20::DOUBLE * b2 + 0.15::DOUBLE * b3 + 0.15::DOUBLE * b4) AS composite FROM b",
-    "mask_runtime": f"WITH {OBSERVED} SELECT doc_id, regexp_replace(real, '{RUNTIME}', '§RT§', 'g') AS masked FROM ob1",
-    "classify_content": f"WITH {OBSERVED}, t AS (SELECT *, list_filter(regexp_split_to_array(real, '\\s+'), lambda x: x <> '') AS w FROM ob2) SELECT doc_id, (len(w) - len(list_filter(w, lambda x: regexp_matches(x, '{RUNTIME}'))))::INTEGER AS deterministic, 0 AS pre_existing, len(list_filter(w, lambda x: regexp_matches(x, '{RUNTIME}')))::INTEGER AS runtime_metadata, gl::INTEGER AS lines, len(real)::INTEGER AS chars, false AS is_json, gt AS response_type FROM t",
+    "blended_scores": f"WITH {OBSERVED}, b AS (SELECT *, " + ", ".join(f"CASE WHEN doc_id % 3 = {i % 3} THEN r4(0.5::DOUBLE * {k} + 0.5::DOUBLE * ((doc_id % 10) / 10::DOUBLE)) ELSE {k} END AS b{i}" for i, k in enumerate(WEIGHTS)) + " FROM ob) SELECT doc_id, r4(0.15::DOUBLE * b0 + 0.35::DOUBLE * b1 + 0.20::DOUBLE * b2 + 0.15::DOUBLE * b3 + 0.15::DOUBLE * b4) AS composite FROM b",
+    "mask_runtime": f"WITH {OBSERVED} SELECT doc_id, regexp_replace(real, '{RUNTIME_ANY}', '§RT§', 'g') AS masked FROM ob1",
+    "classify_content": f"WITH {OBSERVED}, t AS (SELECT *, list_filter(regexp_split_to_array(real, '\\s+'), lambda x: x <> '') AS w FROM ob2) SELECT doc_id, (len(w) - len(list_filter(w, lambda x: regexp_matches(x, '{RUNTIME_ANY}'))))::INTEGER AS deterministic, 0 AS pre_existing, len(list_filter(w, lambda x: regexp_matches(x, '{RUNTIME_ANY}')))::INTEGER AS runtime_metadata, gl::INTEGER AS lines, len(real)::INTEGER AS chars, false AS is_json, gt AS response_type FROM t",
     "session_stats": _v("SELECT session_id, min(ts) AS started_at, max(ts) AS ended_at, (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000 AS duration_ms, count_if(type IN ('file_edit', 'file_read', 'shell_command')) AS tool_calls, count_if(type = 'file_read') AS file_reads, count_if(type = 'file_edit') AS file_edits, count_if(type = 'shell_command') AS shell_commands, count_if(type = 'denial') AS denials, count_if(source_type <> 'error') AS approvals FROM ev GROUP BY session_id"),
     "session_steps": _v("SELECT session_id, seq, index::INTEGER AS index, type, intent FROM evsteps"),
     "touched_files": _v("SELECT DISTINCT session_id, file_path AS file, 'modified' AS status FROM ev WHERE type = 'file_edit'"),

@@ -37,7 +37,7 @@ def conversation_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("intent", F.first(F.when(F.col("role") == "user", F.col("observation")), ignorenulls=True).over(Window.partitionBy("episode_id").orderBy("index").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
 
 
-# --- scores ---------------------------------------------------------------------------------------------------------
+# scores
 
 
 @query
@@ -147,7 +147,7 @@ def validation_errors(spark, sf_dir):
     return bent.select("id", F.explode(schema.validation_errors()).alias("error"))
 
 
-# --- datasets -------------------------------------------------------------------------------------------------------
+# datasets
 
 
 @query
@@ -243,7 +243,7 @@ def summary_text(spark, sf_dir):
     return summary.summarised(tables.episodes(spark, sf_dir)).select("episode_id", F.length(summary.description()).alias("chars"))
 
 
-# --- world model ----------------------------------------------------------------------------------------------------
+# world model
 
 
 def turn_samples(spark, sf_dir, budget: int = 900) -> DataFrame:
@@ -340,7 +340,7 @@ def router_probability(spark, sf_dir):
     return rows.select("doc_id", F.round(analytics.probability(F.col("f"), model), 4).alias("probability"))
 
 
-# --- sessions -------------------------------------------------------------------------------------------------------
+# sessions
 
 
 @query
@@ -439,9 +439,9 @@ def built_episodes(spark, sf_dir):
     return b.select("session_id", "id", "intent", F.size("steps").alias("n_steps"), F.coalesce(F.size("commands"), F.lit(0)).alias("n_commands"), F.coalesce(F.size("tests"), F.lit(0)).alias("n_tests"), F.coalesce(F.size("deployments"), F.lit(0)).alias("n_deployments"), F.coalesce(F.size("diffs"), F.lit(0)).alias("n_diffs"), F.col("stats.tool_calls").alias("tool_calls"))
 
 
-# --- telemetry ------------------------------------------------------------------------------------------------------
+# telemetry
 
-TOKENS, COST = "claude_code.token.usage", "claude_code.cost.usage"
+TOKENS, COST = logs.TOKEN_METRIC, logs.COST_METRIC
 
 
 def otlp_bodies(spark, sf_dir) -> DataFrame:
@@ -477,7 +477,7 @@ def usage_merge(spark, sf_dir):
 @query
 def hook_events(spark, sf_dir):
     ev = tables.table(spark, sf_dir, "events")
-    tool = F.element_at(F.array(*map(F.lit, ("Bash", "Edit", "Write", "Read", "DeleteFile", "Grep"))), (F.col("event_id") % 6).cast("int") + 1)
+    tool = F.element_at(F.array(*map(F.lit, "Bash Edit Write Read DeleteFile Grep".split())), (F.col("event_id") % 6).cast("int") + 1)
     hook = F.when(F.col("event_type") == "signup", "UserPromptSubmit").when(F.col("event_type") == "view", "PreToolUse").when(F.col("event_type") == "error", "Stop").otherwise("PostToolUse")
     answer = F.struct(F.when(F.col("event_id") % 11 == 0, "Permission denied").otherwise(F.concat(F.lit("ran "), F.col("event_id").cast("string"))).alias("stdout"), F.when(F.col("event_id") % 4 == 0, "warn").otherwise("").alias("stderr"), F.when(F.col("event_id") % 5 == 0, "x").otherwise((F.col("event_id") % 3).cast("string")).alias("exit_code"), (F.col("event_id") % 10 == 0).alias("interrupted"))
     payload = F.to_json(F.struct(F.col("user_id").cast("string").alias("session_id"), hook.alias("hook_event_name"), tool.alias("tool_name"), F.struct(F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("path"), F.lit("make all").alias("command")).alias("tool_input"), answer.alias("tool_response"), F.lit("do it").alias("prompt")))
@@ -485,7 +485,7 @@ def hook_events(spark, sf_dir):
     return h.select("session_id", "seq", "type", "tool_name", "prompt", "response", "approved", "command", "exit_code", "file_path")
 
 
-# --- splits, decisions, regressions -----------------------------------------------------------------------------------
+# splits, decisions, regressions
 
 
 @query
@@ -628,7 +628,7 @@ def first_json_objects(spark, sf_dir):
     return ev.select("event_id", logs.first_json_object(F.concat(F.lit("answer: {bad} "), F.col("props"), F.lit(" end}"))).alias("object"))
 
 
-# --- exports and rollouts -------------------------------------------------------------------------------------------
+# exports and rollouts
 
 
 @query
@@ -663,7 +663,7 @@ def flat_export(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-# --- reviews --------------------------------------------------------------------------------------------------------
+# reviews
 
 
 @query

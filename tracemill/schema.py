@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-AGENTS = ("claude-code", "codex", "unknown")
+AGENTS = tuple("claude-code codex unknown".split())
 FEEDBACK_LABELS = ("useful", "accepted_as_is", "accepted_after_edits", "too_broad", "too_slow", "needed_human_rescue", "wrong")
 OUTCOMES = ("merged", "accepted", "open", "abandoned", "failed", "reverted")
 

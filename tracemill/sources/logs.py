@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+TOKEN_METRIC = "claude_code.token.usage"
+COST_METRIC = "claude_code.cost.usage"
 EVENT = "id string, ts string, session_id string, type string, source string, tool_name string, data string"
 
 
@@ -28,7 +30,7 @@ DENIED = r"(?i)permission denied|user denied|operation not permitted|request was
 def response_text(raw: Column) -> Column:
     """A tool's answer as text: the first text field of an object with its error output; long ones cut with a note."""
     get = lambda k: F.when(F.get_json_object(raw, f"$.{k}").isNotNull(), F.get_json_object(raw, f"$.{k}"))
-    first = F.coalesce(*(get(k) for k in ("stdout", "output", "content", "result", "text", "message")))
+    first = F.coalesce(*(get(k) for k in "stdout output content result text message".split()))
     err = F.get_json_object(raw, "$.stderr")
     obj = F.coalesce(F.when(F.trim(F.coalesce(err, F.lit(""))) != "", F.concat(first, F.lit("\n"), err)).otherwise(first), raw)
     whole = F.when(raw.isNull() | (raw == "null"), "").when(raw.startswith("{"), obj).when(raw.startswith('"'), F.get_json_object(F.concat(F.lit('{"x":'), raw, F.lit("}")), "$.x")).otherwise(raw)
@@ -38,12 +40,12 @@ def response_text(raw: Column) -> Column:
 def exit_code(raw: Column) -> Column:
     """The first of six fields that is a whole number, not a truth value; 130 if interrupted."""
     code = lambda k: F.when(F.get_json_object(raw, f"$.{k}").rlike(r"^\s*-?\d+\s*$"), F.trim(F.get_json_object(raw, f"$.{k}")).cast("int"))
-    return F.coalesce(*(code(k) for k in ("exit_code", "exitCode", "returncode", "return_code", "code", "status")), F.when(F.get_json_object(raw, "$.interrupted") == "true", 130))
+    return F.coalesce(*(code(k) for k in "exit_code exitCode returncode return_code code status".split()), F.when(F.get_json_object(raw, "$.interrupted") == "true", 130))
 
 
 def file_path(tool_input: Column) -> Column:
     """N5."""
-    return F.coalesce(*(F.get_json_object(tool_input, f"$.{k}") for k in ("file_path", "notebook_path", "path", "filePath")))
+    return F.coalesce(*(F.get_json_object(tool_input, f"$.{k}") for k in "file_path notebook_path path filePath".split()))
 
 
 def events_of_hooks(payloads: DataFrame) -> DataFrame:
@@ -72,7 +74,7 @@ def attribute(attributes: Column, key: str) -> Column:
     return F.coalesce(v["stringValue"], v["intValue"], v["doubleValue"].cast("string"), v["boolValue"].cast("string"))
 
 
-def usage_points(bodies: DataFrame, names: tuple[str, str] = ("claude_code.token.usage", "claude_code.cost.usage")) -> DataFrame:
+def usage_points(bodies: DataFrame, names: tuple[str, str] = (TOKEN_METRIC, COST_METRIC)) -> DataFrame:
     """SRC10/SRC13: data points of the two usage metrics in ``bodies(body)``; a point's session beats its resource's."""
     r = bodies.select(F.from_json("body", METRICS).alias("b")).select(F.explode("b.resourceMetrics").alias("r"))
     m = r.select(F.col("r.resource.attributes").alias("ra"), F.explode("r.scopeMetrics").alias("s")).select("ra", F.explode("s.metrics").alias("m")).where(F.col("m.name").isin(*names))
@@ -91,7 +93,7 @@ def log_records(bodies: DataFrame) -> DataFrame:
     return g.select(F.coalesce(attribute(F.col("g.attributes"), "session.id"), attribute(F.col("ra"), "session.id")).alias("session_id"), text.alias("body"), F.map_from_entries(F.transform("g.attributes", lambda a: F.struct(a["key"], F.coalesce(a["value"]["stringValue"], a["value"]["intValue"])))).alias("attributes"))
 
 
-def usage(points: DataFrame, names: tuple[str, str] = ("claude_code.token.usage", "claude_code.cost.usage")) -> DataFrame:
+def usage(points: DataFrame, names: tuple[str, str] = (TOKEN_METRIC, COST_METRIC)) -> DataFrame:
     """A3: tokens (cut to whole numbers point by point) and cost of each session."""
     tokens = lambda kind: F.coalesce(F.sum(F.when((F.col("name") == names[0]) & (F.col("type") == kind), F.col("value").cast("bigint"))), F.lit(0))
     return points.groupBy("session_id").agg(tokens("input").alias("input_tokens"), tokens("output").alias("output_tokens"), F.coalesce(F.sum(F.when(F.col("name") == names[1], F.col("value"))), F.lit(0.0)).alias("cost_usd"))
@@ -127,9 +129,9 @@ def rollout_usage(rows: DataFrame) -> DataFrame:
 
 def patch_parts(rows: DataFrame, patch: str = "patch") -> DataFrame:
     """SRC17/SRC18: a row for each file of a patch with its operation, path, body and the tool that would do it."""
-    block = F.explode(F.filter(F.split(F.concat(F.lit("\n"), F.coalesce(patch, F.lit(""))), r"(?m)\n(?=\*\*\* (?:Add|Update|Delete) File: )"), lambda x: x.rlike(r"^\*\*\* (Add|Update|Delete) File: ")))
+    block = F.explode(F.filter(F.split(F.concat(F.lit("\n"), F.coalesce(patch, F.lit(""))), r"(?m)\n(?=\*\*\* (?:Delete|Update|Add) File: )"), lambda x: x.rlike(r"^\*{3} (Delete|Update|Add) File: ")))
     b = rows.withColumn("__b", block)
-    op = F.regexp_extract("__b", r"^\*\*\* (Add|Update|Delete) File: ", 1)
+    op = F.regexp_extract("__b", r"^\*{3} (Delete|Update|Add) File: ", 1)
     tool = F.when(op == "Add", "Write").when(op == "Update", "Edit").otherwise("DeleteFile")
     body = F.regexp_replace(F.regexp_replace("__b", r"^[^\n]*\n?", ""), r"\n?\*\*\* End Patch\s*$", "")
     return b.select(*rows.columns, op.alias("op"), F.trim(F.regexp_extract("__b", r"File: ([^\n]*)", 1)).alias("path"), body.alias("body"), tool.alias("tool")).drop("__b")
@@ -164,7 +166,7 @@ def old_ranges(patch: Column) -> Column:
     files = F.filter(F.split(F.coalesce(patch, F.lit("")), r"(?m)^(?=--- )"), lambda b: b.startswith("--- ") & ~b.startswith("--- /dev/null"))
 
     def spans(b: Column) -> Column:
-        start, count = F.regexp_extract_all(b, F.lit(r"(?m)^@@ -(\d+)(?:,(\d+))? "), 1), F.regexp_extract_all(b, F.lit(r"(?m)^@@ -(\d+)(?:,(\d+))? "), 2)
+        start, count = F.regexp_extract_all(b, F.lit(r"(?m)^@@ -([0-9]+)(?:,([0-9]+))? "), 1), F.regexp_extract_all(b, F.lit(r"(?m)^@@ -([0-9]+)(?:,([0-9]+))? "), 2)
         file = F.trim(F.regexp_extract(b, r"^--- (?:a/)?([^\n\t]*)", 1))
         return F.zip_with(start, count, lambda s, c: F.named_struct(F.lit("file"), file, F.lit("start"), s.cast("int"), F.lit("count"), F.coalesce(F.nullif(c, F.lit("")).cast("int"), F.lit(1))))
 
@@ -183,8 +185,7 @@ def first_json_object(texts: pd.Series) -> pd.Series:
                 _, end = json.JSONDecoder(strict=False).raw_decode(text, start)
                 return text[start:end]
             except ValueError:
-                start = text.find("{", start + 1)
-        return None
+                start = text.find("{", 1 + start)
 
     return texts.map(scan, na_action="ignore").astype(object).where(texts.notna(), None)
 

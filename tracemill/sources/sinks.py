@@ -13,9 +13,9 @@ from tracemill.functions import score
 from tracemill.functions.commands import relativize
 from tracemill.operators import datasets, worldmodel
 
-FORMATS = ("sft", "dpo", "reward", "rlds", "wm", "jsonl", "parquet", "harbor", "molt")
-SAFE_REF = r"^[A-Za-z0-9][A-Za-z0-9._/-]*\z"
-SAFE_REMOTE = r"^(?:https?://|ssh://|git@)[A-Za-z0-9@:/._~-]+\z"
+FORMATS = tuple("dpo harbor jsonl molt parquet reward rlds sft wm".split())
+SAFE_REF = r"^[A-Za-z\d][\w./-]*\z"
+SAFE_REMOTE = r"^(?:git@|ssh://|https?://)[\w@:/.~-]+\z"
 
 
 def toml_text(c: Column) -> Column:
