@@ -46,7 +46,7 @@ def none(spark):
     return spark.createDataFrame([], EMPTY)
 
 
-# --- 5: n-gram join -------------------------------------------------------------------------------------------------
+# 5: n-gram join
 
 
 def grams(text, n):
@@ -115,7 +115,7 @@ def test_words_do_not_run_across_texts():
     assert at.tolist() == [0, 1, 3, 3]
 
 
-# --- 1: fingerprints ------------------------------------------------------------------------------------------------
+# 1: fingerprints
 
 
 def prints(*texts, depth=3):
@@ -166,7 +166,7 @@ def test_fingerprints_do_not_depend_on_the_batch(spark, docs, none):
     assert parsing.document_fingerprints(none).count() == 0
 
 
-# --- 10: SentencePiece ----------------------------------------------------------------------------------------------
+# 10: SentencePiece
 
 
 @pytest.fixture(scope="module")
@@ -229,7 +229,7 @@ def test_unigram_scores_against_brute_force():
         assert "".join(names[i] for i in ids) == "▁" + w
 
 
-# --- 9: token counts ------------------------------------------------------------------------------------------------
+# 9: token counts
 
 
 def test_counts_equal_the_tokenizer(spark, docs, none):
@@ -242,7 +242,7 @@ def test_counts_equal_the_tokenizer(spark, docs, none):
     assert sum(map(few.__getitem__, [" a", " bcdxyz", " a", "qq", " zzzz"])) == sum(len(own.encode_ordinary(t)) for t in [" a", " bcdxyz", " a", "qq", " zzzz"])
 
 
-# --- 3: quality -----------------------------------------------------------------------------------------------------
+# 3: quality
 
 
 def sample(n):
@@ -298,7 +298,7 @@ def test_scores_of_awkward_rows(spark, docs, none):
     assert all(r.keep or r.probability == 0 for r in quality.score(docs, quality.train(docs, labels.where("quality = 5"))).collect())
 
 
-# --- 4: licenses ----------------------------------------------------------------------------------------------------
+# 4: licenses
 
 
 def test_license_rules():
@@ -334,7 +334,7 @@ def test_license_scan_of_awkward_rows(spark, docs, none):
     assert licenses.scan(none).count() == 0
 
 
-# --- 6: chat --------------------------------------------------------------------------------------------------------
+# 6: chat
 
 
 def brute_plan(tokens, budget, history):
@@ -371,7 +371,7 @@ def test_windows_of_awkward_rows(spark):
     assert chat.windows(df.limit(0)).count() == 0
 
 
-# --- 7: mixing ------------------------------------------------------------------------------------------------------
+# 7: mixing
 
 
 def test_positions_follow_the_schedule(spark):
@@ -403,7 +403,7 @@ def test_mixing_of_awkward_rows(spark, docs, none):
     assert mixing.in_training_order(none).count() == 0
 
 
-# --- 8: embeddings --------------------------------------------------------------------------------------------------
+# 8: embeddings
 
 
 def test_hadamard_is_orthogonal():
@@ -432,7 +432,7 @@ def test_embeddings_of_awkward_rows(spark):
     assert embedding_dedup.near_pairs(df.limit(0)).count() == 0
 
 
-# --- 2: WARC --------------------------------------------------------------------------------------------------------
+# 2: WARC
 
 
 def test_round_trip_through_files(spark, tmp_path):
