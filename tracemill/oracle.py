@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tracemill.functions.fidelity import ERROR, PROMPT, RUNTIME_ANY, WEIGHTS
+from tracemill.functions.fidelity import ERROR, HARD_WORDS, PROMPT, RUNTIME_ANY, WEIGHTS
+from tracemill.operators.worldmodel import SYSTEM
 from tracemill.sources.tables import COMMANDS, OUTPUTS
 
 EPISODES = r"""ep_lines AS (
@@ -290,6 +291,11 @@ SQL = {
     "escalations": "SELECT doc_id, doc_id % 10 = 0 OR len(text) > 3000 AS escalate FROM documents",
     "applied_regressions": _e("SELECT id, ord % 12 = 0 OR regressed AS caused_regression, concat_ws(',', CASE WHEN ord % 12 = 0 THEN 'c' || (ord % 5) END, CASE WHEN ord % 17 = 0 THEN 'zz' END) AS commits, concat_ws(',', label, CASE WHEN ord % 12 = 0 THEN 'regression' END) AS labels FROM ep"),
     "turn_notices": "WITH n AS (SELECT user_id AS session_id, event_id AS seq, event_type AS t, CASE WHEN event_id % 2 = 0 THEN 'go' END AS prompt FROM events) SELECT session_id, seq, 0 AS part, 'UserPromptSubmit' AS hook, prompt FROM n WHERE t = 'signup' OR (t = 'error' AND prompt IS NOT NULL) UNION ALL SELECT session_id, seq, CASE WHEN prompt IS NULL THEN 0 ELSE 1 END, 'Stop', NULL FROM n WHERE t = 'error'",
+    "text_features": "WITH w AS (SELECT doc_id, text, lower(text) AS low, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents) SELECT doc_id, round(ln(1 + len(text)), 6) AS log_length, round((" + " + ".join(f"(len(low) - len(replace(low, '{k}', ''))) / {len(k)}::DOUBLE" for k in HARD_WORDS) + "), 6) AS keyword_hits, (len(text) - len(replace(text, '?', '')))::DOUBLE AS question_marks, (len(text) - len(replace(text, '```', ''))) / 3::DOUBLE AS code_fences, round(CASE WHEN len(w) > 0 THEN list_sum(list_transform(w, lambda x: len(x)))::DOUBLE / len(w) ELSE 0 END, 6) AS avg_word_length FROM w",
+    "turing_test": f"WITH {OBSERVED}, r AS (SELECT doc_id, real, fake, len(regexp_extract_all(real, '{RUNTIME_ANY}')) + 2 * gp::INT + least(3, len(real) // 100) AS a, len(regexp_extract_all(fake, '{RUNTIME_ANY}')) + 2 * pp::INT + least(3, len(fake) // 100) AS b, ('0x' || substr(sha256('0:' || doc_id), 1, 8))::BIGINT % 2 AS slot FROM ob2), c AS (SELECT CASE WHEN real = fake THEN 0.5::DOUBLE WHEN (slot = 0 AND a >= b) OR (slot = 1 AND NOT b >= a) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS p FROM r) SELECT count(*) AS n, round(avg(p), 4) AS accuracy, round(1 - abs(avg(p) - 0.5::DOUBLE) * 2, 4) AS indistinguishability FROM c",
+    "wm_messages": f"WITH {SAMPLES} SELECT episode_id, turn_index, m.place AS place, m.role AS role, md5(m.content) AS content_md5 FROM (SELECT episode_id, turn_index, unnest([{{'place': 0, 'role': 'system', 'content': '{SYSTEM}'}}, {{'place': 1, 'role': 'user', 'content': history}}, {{'place': 2, 'role': 'assistant', 'content': target_observation}}]) AS m FROM samples)",
+    "built_episodes": _v(f", s AS (SELECT *, seq % {len(COMMANDS)} AS c, seq % {len(OUTPUTS)} AS o FROM ev) SELECT session_id, 'ep_' || substr(sha1(session_id::VARCHAR), 1, 12) AS id, coalesce(arg_min(prompt, seq) FILTER (WHERE type = 'user_prompt'), '') AS intent, count(*)::INTEGER AS n_steps, count_if(type = 'shell_command')::INTEGER AS n_commands, count_if(type = 'shell_command' AND c IN (0, 1, 3, 5, 6, 7, 14) AND NOT (o = 6 AND exit_code IS NULL))::INTEGER AS n_tests, count_if(type = 'shell_command' AND c IN (8, 9, 10, 12, 13))::INTEGER AS n_deployments, count(DISTINCT file_path) FILTER (WHERE type = 'file_edit')::INTEGER AS n_diffs, count_if(type IN ('file_edit', 'file_read', 'shell_command')) AS tool_calls FROM s GROUP BY session_id"),
+    "target_environments": _v(f"SELECT command, m AS method, t AS target_env, count(*) AS n FROM (SELECT command, CASE seq % {len(COMMANDS)} WHEN 8 THEN 'kubectl' WHEN 9 THEN 'wrangler' WHEN 10 THEN 'flyctl' WHEN 12 THEN 'helm' WHEN 13 THEN 'docker-push' END AS m, CASE seq % {len(COMMANDS)} WHEN 9 THEN 'prod' WHEN 10 THEN 'prod' WHEN 12 THEN 'staging' ELSE 'unknown' END AS t FROM ev WHERE type = 'shell_command') WHERE m IS NOT NULL GROUP BY ALL"),
     "first_json_objects": "SELECT event_id, props AS object FROM events",
 }
 

@@ -129,7 +129,7 @@ def reward_features(spark, sf_dir):
 @query
 def reward_model_eval(spark, sf_dir):
     """The model is fitted on the sums of products and evaluated on the rows it was fitted on."""
-    e = rewarded(spark, sf_dir).select(score.reward_features().alias("f"), F.col("reward_vector.composite").alias("y"))
+    e = store.materialised(rewarded(spark, sf_dir).select(score.reward_features().alias("f"), F.col("reward_vector.composite").alias("y")), "features")
     model = analytics.fit_reward_model(e, F.col("f"), F.col("y"))
     return analytics.evaluation(e.select("y", analytics.predicted(F.col("f"), model["weights"] or [0.0] * 7).alias("p")), "p", "y").withColumn("r2", F.lit(model["r2"]))
 
