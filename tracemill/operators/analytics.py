@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import score
 from tracemill.functions.hashing import held_out
+from tracemill.operators.ordering import running_sum
 
 
 def audit(episodes: DataFrame) -> DataFrame:
@@ -47,10 +48,9 @@ def pearson(x: str, y: str, degenerate: float | None = None) -> Column:
 def with_ranks(rows: DataFrame, *columns: str) -> DataFrame:
     """Average ranks of columns, ties in the middle, as ``rank_<column>``."""
     for c in columns:
-        # Ranks come from counts of each value: a window over distinct values, not over all rows.
-        v = rows.groupBy(c).agg(F.count("*").alias("__n"))
-        before = F.coalesce(F.sum("__n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        v = v.select(F.col(c).alias("__v"), (before + (F.col("__n") + 1) / 2).alias(f"rank_{c}"))
+        # Ranks come from running counts of the distinct values.
+        v = running_sum(rows.groupBy(c).agg(F.count("*").alias("__n")), "__n", c, name="__upto")
+        v = v.select(F.col(c).alias("__v"), (F.col("__upto") - (F.col("__n") - 1) / 2).alias(f"rank_{c}"))
         rows = rows.join(v, F.col(c).eqNullSafe(F.col("__v"))).drop("__v")
     return rows
 

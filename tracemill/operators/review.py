@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions import score
-from tracemill.sources.store import materialised
+from tracemill.operators.ordering import numbered
 
 CATEGORIES = ("overly_strict_tests", "underspecified_intent", "low_coverage_tests", "misleading_intent", "reward_contradiction")
 
@@ -35,16 +35,6 @@ def cached(rows: DataFrame, cache: DataFrame, key: str, compute) -> DataFrame:
     return hit.unionByName(compute(rows.join(cache, key, "left_anti")).select(hit.columns))
 
 
-def numbered(df: DataFrame, *order: str, name: str = "rn") -> DataFrame:
-    """Rows numbered from 1 in one order, without one partition of all rows: they are range-sorted and written, counted by
-    partition, and numbered by the counts before."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    s = materialised(df.repartitionByRange(n, *order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__i")), "numbered")
-    w = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each partition
-    counts = s.groupBy("__p").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(w), F.lit(0))).select("__p", "__before")
-    return s.join(counts, "__p").withColumn(name, F.col("__before") + F.col("__i") + 1).drop("__p", "__i", "__before")
-
-
 def train_valid(df: DataFrame, *order: str, share: float = 0.1) -> DataFrame:
     """Adds ``valid`` for the first max(1, round(n share)) rows; a single row is both (``train`` stays true)."""
     rows = numbered(df, *order)
