@@ -61,8 +61,9 @@ def frequent_pretokens(docs: DataFrame, k: int = FREQUENT, tracked: int = TRACKE
     words = docs.select(F.explode(F.expr(r"regexp_extract_all(text, ' ?\\p{L}+| ?\\p{N}+', 0)")).alias("w"))
     groups = max(1, round(docs.rdd.getNumPartitions() ** 0.5))
     parts = words.groupBy(F.pmod(F.spark_partition_id(), F.lit(groups)).alias("g")).agg(F.expr(f"approx_top_k_accumulate(w, {tracked})").alias("s"))
-    row = parts.agg(F.expr("approx_top_k_combine(s)").alias("s")).select(F.expr(f"approx_top_k_estimate(s, {k})").alias("top")).first()
-    return [x.item for x in (row.top or [])]
+    # Grouped by a constant: combining no sketches at all fails, a group that isn't there gives no row.
+    row = parts.groupBy(F.lit("all").alias("every")).agg(F.expr("approx_top_k_combine(s)").alias("s")).select(F.expr(f"approx_top_k_estimate(s, {k})").alias("top")).first()
+    return [x.item for x in row.top or []] if row else []
 
 
 def count_tokens(docs: DataFrame, path: str = RANKS, frequent: int = FREQUENT) -> DataFrame:
