@@ -6,7 +6,6 @@ from __future__ import annotations
 
 import argparse
 import json
-import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +39,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--id")
     p.add_argument("--format", choices=sinks.FORMATS, default="sft")
     p.add_argument("--out")
-    p.add_argument("--seed", type=int, default=0)
+    p.add_argument("--seed", default=0, type=int)
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("tracemill").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.command == "validate":
@@ -69,4 +68,4 @@ def main(argv: list[str] | None = None) -> int:
 
 
 if __name__ == "__main__":
-    sys.exit(main())
+    raise SystemExit(main())
