@@ -26,7 +26,7 @@ from tracemill.llm.common import U64, documents, mix64, slices, text_buffers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHE_WORDS, CACHED_CHARS, BATCH_CHARS = 800_000, 48, 200_000
+CACHE_WORDS, CACHED_CHARS, BATCH_CHARS = 400_000, 48, 200_000
 _MUL = 0x9E3779B97F4A7C15
 
 
