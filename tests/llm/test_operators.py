@@ -312,6 +312,47 @@ def test_license_rules():
     assert licenses.candidates("der Hund mit dem Knochen") == []
 
 
+def examples(tree):
+    """Texts that a parsed regular expression matches, with each of its alternatives in one of them at least."""
+    found = [""]
+    for op, v in tree:
+        name = str(op)
+        if name == "LITERAL":
+            part = [chr(v)]
+        elif name == "IN":
+            part = [chr(x) if str(o) == "LITERAL" else {"CATEGORY_SPACE": "\u00a0"}.get(str(x), "x") if str(o) == "CATEGORY" else "~" for o, x in v]
+        elif name == "BRANCH":
+            part = [x for branch in v[1] for x in examples(branch)]
+        elif name == "SUBPATTERN":
+            part = examples(v[3])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            part = [x * n for x in examples(v[2]) for n in sorted({v[0], max(v[0], 1)})]
+        else:
+            part = {"ANY": ["\""]}.get(name, [""])
+        found = [a + b for i, a in enumerate(found) for j, b in enumerate(part) if not i or not j or len(found) * len(part) <= 400]
+    return found
+
+
+def test_every_alternative_passes_the_gate():
+    for r in licenses.rules():
+        texts = [t for t in examples(re._parser.parse(r.pattern.pattern, re.IGNORECASE)) if r.pattern.search(t)]
+        assert texts, r.name
+        for t in texts:
+            for x in (t, t.upper(), t.replace("\u00a0", " "), t.replace("\u00a0", " \x0b\u2003\r\n"), t.replace("i", "\u0131").replace("s", "\u017f"), t.replace("i", "\u0130")):
+                assert not r.pattern.search(x) or r.number in licenses.candidates(x), (r.name, x)
+
+
+def test_names_that_the_gate_lost():
+    cases = {
+        "CreativeML Open RAIL-M": "OpenRAIL", "BigScience Open RAIL-M License": "OpenRAIL", "This product includes software developed by the OpenSSL Project": "OpenSSL", "see perlfoundation.org/artistic_license_2_0": "Artistic-2.0",
+        "Open Data Commons Database License": "ODbL-1.0", "the GNU\rGeneral\u00a0Public License": "LicenseRef-GPL",
+    }
+    for text, want in cases.items():
+        assert [licenses.rules()[n].license for n, *_ in licenses.resolve(licenses.matches(text, licenses.candidates(text)))] == [want]
+    for text in ("licensed under the MIT license", "distributed under the terms of the MIT License"):
+        assert licenses.resolve(licenses.matches(text, licenses.candidates(text)))[0][1:] == (0, len(text))
+
+
 def test_prefilter_loses_nothing_and_overlaps_are_resolved():
     parts = [
         "Apache License, Version 2.0", "GNU General Public License, version 3", "under the MIT license", "SPDX-License-Identifier: (MIT", "CC BY-SA 4.0", "https://opensource.org/licenses/BSD-3-Clause",

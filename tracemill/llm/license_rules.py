@@ -1,7 +1,7 @@
-"""Signature rules of the license scan: license, keyword in lower case, and what to look for.
+"""Signature rules of the license scan: license, keywords in lower case, and what to look for.
 
-A keyword must occur in a text (in any case) wherever the rule's regular expression can match; regular expressions ignore
-case. Kinds, from the strongest: ``tag`` (a machine-readable identifier), ``text`` (words of the license itself), ``url``,
+One of a rule's keywords (separated by ";") must occur in a text (in any case, with any white space as one space) wherever
+the rule's regular expression can match; regular expressions ignore case. Kinds, from the strongest: ``tag`` (a machine-readable identifier), ``text`` (words of the license itself), ``url``,
 ``name`` (a mention). Of one kind, the rule listed first is preferred.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 KINDS = {"tag": 100, "text": 80, "url": 60, "name": 40}
 
-#: license | keyword | name | url (an empty field: no such rule)
+#: license | keywords | name | url (an empty field: no such rule)
 NAMES = r"""
 Apache-2.0 | apache | \bapache(?:\s+software)?\s+licen[cs]e,?\s*\(?(?:version|ver\.?|v\.?)?\s*2(?:\.0)?\b | apache\.org/licenses/license-2\.0(?:\.txt|\.html)?
 Apache-1.1 | apache | \bapache\s+software\s+licen[cs]e,?\s*(?:version|v\.?)?\s*1\.1\b | apache\.org/licenses/license-1\.1
@@ -73,7 +73,7 @@ CC0-1.0 | cc0 | \bcc0(?:\s+1\.0)?(?:\s+universal)?\b |
 CC0-1.0 | creative | \bcreative\s+commons\s+(?:zero|cc0)\b(?:\s+v?1\.0)?(?:\s+universal)? |
 CC0-1.0 | creativecommons | | creativecommons\.org/publicdomain/zero/1\.0
 CC-PDDC | creativecommons | | creativecommons\.org/licenses/publicdomain
-CC-BY-4.0 | cc by | \bcc[- ]by[- ]4\.0\b |
+CC-BY-4.0 | cc by; cc-by | \bcc[- ]by[- ]4\.0\b |
 CC-BY-4.0 | cc-by | \bcc-by[- ]4\.0\b |
 CC-BY-3.0 | cc by | \bcc\s+by[- ]3\.0\b |
 CC-BY-3.0 | cc-by | \bcc-by[- ]3\.0\b |
@@ -128,7 +128,7 @@ UPL-1.0 | universal permissive | \buniversal\s+permissive\s+licen[cs]e\b(?:,?\s*
 PostgreSQL | postgresql | \bpostgresql\s+licen[cs]e\b | postgresql\.org/about/licence
 Vim | vim licen | \bvim\s+licen[cs]e\b | vimdoc\.sourceforge\.net/htmldoc/uganda
 LPPL-1.3c | latex project | \blatex\s+project\s+public\s+licen[cs]e\b(?:,?\s*(?:version|v\.?)?\s*1\.3c?)? | latex-project\.org/lppl
-ODbL-1.0 | open database | \bopen\s+(?:data\s+commons\s+)?(?:open\s+)?database\s+licen[cs]e\b | opendatacommons\.org/licenses/odbl
+ODbL-1.0 | database licen | \bopen\s+(?:data\s+commons\s+)?(?:open\s+)?database\s+licen[cs]e\b | opendatacommons\.org/licenses/odbl
 ODC-By-1.0 | open data commons | \bopen\s+data\s+commons\s+attribution\s+licen[cs]e\b | opendatacommons\.org/licenses/by
 PDDL-1.0 | public domain dedication | \bpublic\s+domain\s+dedication\s+and\s+licen[cs]e\b | opendatacommons\.org/licenses/pddl
 OGL-UK-3.0 | open government | \bopen\s+government\s+licen[cs]e\b(?:,?\s*v?3\.0)? | nationalarchives\.gov\.uk/doc/open-government-licence
@@ -142,7 +142,7 @@ JSON | json | \bjson\s+licen[cs]e\b | json\.org/license\.html
 Beerware | beer | \bbeer-?ware\s+licen[cs]e\b | people\.freebsd\.org/~phk
 BlueOak-1.0.0 | blue oak | \bblue\s+oak\s+model\s+licen[cs]e\b(?:\s+1\.0\.0)? | blueoakcouncil\.org/license/1\.0\.0
 MulanPSL-2.0 | mulan | \bmulan\s+(?:permissive\s+software\s+licen[cs]e|psl),?\s*v?(?:ersion)?\s*2\b | license\.coscl\.org\.cn/mulanpsl2
-OpenRAIL | openrail | \b(?:creativeml\s+|bigscience\s+)?open\s?rail(?:\+\+)?-?m?(?:\s+licen[cs]e)?\b | huggingface\.co/spaces/\w+/license
+OpenRAIL | openrail; open rail | \b(?:creativeml\s+|bigscience\s+)?open\s?rail(?:\+\+)?-?m?(?:\s+licen[cs]e)?\b | huggingface\.co/spaces/\w+/license
 LicenseRef-Proprietary | proprietary | \bproprietary\s+(?:and\s+confidential|licen[cs]e|software)\b |
 LicenseRef-AllRightsReserved | all rights | \ball\s+rights\s+reserved\b |
 LicenseRef-AllRightsReserved | alle rechte | \balle\s+rechte\s+vorbehalten\b |
@@ -150,11 +150,11 @@ LicenseRef-AllRightsReserved | tous droits | \btous\s+droits\s+r[ée]serv[ée]s\
 LicenseRef-AllRightsReserved | todos los derechos | \btodos\s+los\s+derechos\s+reservados\b |
 """
 
-#: license | keyword | words of the license or of its notice
+#: license | keywords | words of the license or of its notice
 TEXTS = r"""
 MIT | permission is hereby granted | permission\s+is\s+hereby\s+granted,\s+free\s+of\s+charge,\s+to\s+any\s+person\s+obtaining\s+a\s+copy
 MIT | permission notice | the\s+above\s+copyright\s+notice\s+and\s+this\s+permission\s+notice\s+shall\s+be\s+included
-MIT | released under | (?:released|licensed|distributed)\s+under\s+(?:the\s+terms\s+of\s+)?the\s+mit\s+licen[cs]e
+MIT | the mit licen | (?:released|licensed|distributed)\s+under\s+(?:the\s+terms\s+of\s+)?the\s+mit\s+licen[cs]e
 ISC | permission to use | permission\s+to\s+use,\s+copy,\s+modify,\s+and(?:/or)?\s+distribute\s+this\s+software\s+for\s+any\s+purpose\s+with\s+or\s+without\s+fee
 Apache-2.0 | apache | licensed\s+under\s+the\s+apache\s+licen[cs]e,?\s+version\s+2\.0(?:\s+\(the\s+.licen[cs]e.\))?
 Apache-2.0 | except in compliance | you\s+may\s+not\s+use\s+this\s+file\s+except\s+in\s+compliance\s+with\s+the\s+licen[cs]e
@@ -188,7 +188,7 @@ OFL-1.1 | open font | this\s+font\s+software\s+is\s+licen[cs]ed\s+under\s+the\s+
 WTFPL | do what the | you\s+just\s+do\s+what\s+the\s+f\S{1,3}k\s+you\s+want\s+to
 JSON | for good, not evil | the\s+software\s+shall\s+be\s+used\s+for\s+good,\s+not\s+evil
 Beerware | buy me a beer | as\s+long\s+as\s+you\s+retain\s+this\s+notice\s+you\s+can\s+do\s+whatever.{0,120}?buy\s+me\s+a\s+beer
-OpenSSL | openssl toolkit | this\s+product\s+includes\s+software\s+developed\s+by\s+the\s+openssl\s+project
+OpenSSL | the openssl project | this\s+product\s+includes\s+software\s+developed\s+by\s+the\s+openssl\s+project
 LicenseRef-Proprietary | unauthorized copying | unauthorized\s+copying\s+of\s+this\s+file.{0,60}?is\s+strictly\s+prohibited
 LicenseRef-Proprietary | without the prior written | (?:reproduced|distributed|copied)\b.{0,80}?without\s+the\s+prior\s+written\s+(?:permission|consent)
 LicenseRef-Proprietary | trade secret | contains?\s+(?:the\s+)?(?:confidential\s+information\s+and\s+)?trade\s+secrets?\s+of

@@ -27,35 +27,39 @@ class Rule:
     name: str
     license: str
     priority: int
-    keywords: tuple[str, ...]  # all must occur
+    keywords: tuple[tuple[str, ...], ...]  # of each group, one must occur
     pattern: re.Pattern
 
 
 @lru_cache(1)
 def rules() -> tuple[Rule, ...]:
     """All rules, the preferred first within each kind."""
-    found: list[tuple[str, str, str, str]] = []
+    found: list[tuple[str, str, tuple[tuple[str, ...], ...], str]] = []
     for tag in TAGS.split():
         key = re.escape(tag)
-        found.append(("tag", tag, tag.lower(), rf"\bspdx-license-identifier:\s*\(?{key}(?![\w.+-])|\blicen[cs]e\s*[:=]\s*[\"']?{key}(?![\w.+-])"))
+        found.append(("tag", tag, ((tag.lower(),), ("licen",)), rf"\bspdx-license-identifier:\s*\(?{key}(?![\w.+-])|\blicen[cs]e\s*[:=]\s*[\"']?{key}(?![\w.+-])"))
     for line in TEXTS.strip().splitlines():
-        license_, keyword, pattern = (x.strip() for x in line.split(" | "))
-        found.append(("text", license_, keyword, pattern))
+        license_, keywords, pattern = (x.strip() for x in line.split(" | "))
+        found.append(("text", license_, (_any(keywords),), pattern))
     for line in NAMES.strip().splitlines():
-        license_, keyword, name, url = (x.strip() for x in re.split(r"\s\|(?=\s|$)", line + " ", maxsplit=3))
+        license_, keywords, name, url = (x.strip() for x in re.split(r"\s\|(?=\s|$)", line + " ", maxsplit=3))
         if url:
-            found.append(("url", license_, _literal(url), url))
+            found.append(("url", license_, (_hosts(url),), url))
         if name:
-            found.append(("name", license_, keyword, name))
+            found.append(("name", license_, (_any(keywords),), name))
     order = list(KINDS)
     found.sort(key=lambda x: order.index(x[0]))
-    return tuple(Rule(i, f"{kind}:{license_}:{i}", license_, KINDS[kind], (keyword, "licen") if kind == "tag" else (keyword,), re.compile(pattern, re.IGNORECASE)) for i, (kind, license_, keyword, pattern) in enumerate(found))
+    return tuple(Rule(i, f"{kind}:{license_}:{i}", license_, KINDS[kind], keywords, re.compile(pattern, re.IGNORECASE)) for i, (kind, license_, keywords, pattern) in enumerate(found))
 
 
-def _literal(url: str) -> str:
-    """The host that a url's pattern begins with."""
-    m = re.match(r"(?:\(\?:)?([\w-]+)(?:\\\.([\w-]+))*", url)
-    return m[1]
+def _any(keywords: str) -> tuple[str, ...]:
+    return tuple(k.strip() for k in keywords.split(";"))
+
+
+def _hosts(url: str) -> tuple[str, ...]:
+    """The first label of the host that each alternative of a url's pattern begins with."""
+    alternatives = url[3:-1].split("|") if url.startswith("(?:") and url.endswith(")") else [url]
+    return tuple(re.match(r"[\w-]+", x)[0] for x in alternatives)
 
 
 @lru_cache(1)
@@ -63,23 +67,28 @@ def automaton():
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    by: dict[str, list[int]] = {}
+    by: dict[str, list[tuple[int, int]]] = {}
     for r in rules():
-        for k in r.keywords:
-            by.setdefault(k, []).append(r.number)
-    for k, numbers in by.items():
-        a.add_word(k, tuple(numbers))
+        for group, keywords in enumerate(r.keywords):
+            for k in keywords:
+                by.setdefault(k, []).append((r.number, group))
+    for k, groups in by.items():
+        a.add_word(k, tuple(groups))
     a.make_automaton()
     return a
 
 
+def folded(text: str) -> str:
+    """In lower case, with the letters that ``re.IGNORECASE`` takes for i and s, and any white space as one space."""
+    if not text.isascii():
+        text = text.replace("\u0130", "i").replace("\u0131", "i").replace("\u017f", "s")
+    return " ".join(text.lower().split())
+
+
 def candidates(text: str) -> list[int]:
-    """Numbers of the rules whose keyword occurs; any white space counts as one space."""
-    flat = text.lower()
-    if "\n" in flat or "\t" in flat or "  " in flat:
-        flat = " ".join(flat.split())
-    met = {numbers for _, numbers in automaton().iter(flat)}
-    count = Counter(n for numbers in met for n in numbers)
+    """Numbers of the rules of whose keywords one of each group occurs."""
+    met = {groups for _, groups in automaton().iter(folded(text))}
+    count = Counter(n for n, _ in set().union(*met))
     every = rules()
     return sorted(n for n, c in count.items() if c == len(every[n].keywords))
 
