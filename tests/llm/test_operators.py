@@ -353,6 +353,35 @@ def test_names_that_the_gate_lost():
         assert licenses.resolve(licenses.matches(text, licenses.candidates(text)))[0][1:] == (0, len(text))
 
 
+def detected(text):
+    kept = licenses.resolve(licenses.matches(text, licenses.candidates(text)))
+    assert kept == licenses.resolve(licenses.matches(text, list(range(len(licenses.rules())))))
+    return [(licenses.rules()[n].license, text[a:b]) for n, a, b in kept]
+
+
+def test_gaps_hold_line_breaks():
+    gaps = {
+        "BSD-3-Clause": "Neither the name of the copyright holder nor the names of its\ncontributors may be used to endorse or promote products",
+        "Beerware": "As long as you retain this notice you can do whatever you want\nwith this stuff. If we meet some day, you can\nbuy me a beer",
+        "LicenseRef-Proprietary": "Unauthorized copying of this file,\nvia any medium is strictly prohibited",
+    }
+    for want, text in gaps.items():
+        assert detected(text) == [(want, text)]
+    text = "may not be reproduced or\nshown without the prior written permission"
+    assert detected(text) == [("LicenseRef-Proprietary", text[11:])]
+
+
+def test_operands_of_spdx_expressions():
+    head = "SPDX-License-Identifier: "
+    assert detected(head + "MIT OR Apache-2.0") == [("MIT", head + "MIT"), ("Apache-2.0", "Apache-2.0")]
+    assert detected(head + "((MIT AND ISC) OR (MIT AND GPL-2.0-only)) WITH Ruby") == [("MIT", head + "((MIT"), ("ISC", "ISC"), ("MIT", "MIT"), ("GPL-2.0-only", "GPL-2.0-only"), ("Ruby", "Ruby")]
+    assert detected(head + "LicenseRef-x AND Zlib") == [("Zlib", "Zlib")]
+    assert detected('license = "MIT OR ( Apache-2.0 )"') == [("MIT", 'license = "MIT'), ("Apache-2.0", "Apache-2.0")]
+    assert detected(head + "GPL-2.0-only WITH Classpath-exception-2.0 OR MIT\nand so on") == [("GPL-2.0-only", head + "GPL-2.0-only"), ("MIT", "MIT")]
+    assert detected("license: see there, or MIT; and Zlib") == []
+    assert detected(head + "MIT\n" + head + "ISC OR Vim") == [("MIT", head + "MIT"), ("ISC", head + "ISC"), ("Vim", "Vim")]
+
+
 def test_prefilter_loses_nothing_and_overlaps_are_resolved():
     parts = [
         "Apache License, Version 2.0", "GNU General Public License, version 3", "under the MIT license", "SPDX-License-Identifier: (MIT", "CC BY-SA 4.0", "https://opensource.org/licenses/BSD-3-Clause",

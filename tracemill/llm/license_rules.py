@@ -168,7 +168,7 @@ LGPL-2.1-or-later | lesser | gnu\s+lesser\s+general\s+public\s+licen[cs]e\s+as\s
 LGPL-3.0-or-later | lesser | gnu\s+lesser\s+general\s+public\s+licen[cs]e\s+as\s+published\s+by\s+the\s+free\s+software\s+foundation[;,]?\s+either\s+version\s+3
 LicenseRef-GPL | without even the implied | without\s+even\s+the\s+implied\s+warranty\s+of\s+merchantability\s+or\s+fitness\s+for\s+a\s+particular\s+purpose
 BSD-2-Clause | redistribution and use | redistribution\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms,\s+with\s+or\s+without\s+modification
-BSD-3-Clause | endorse or promote | neither\s+the\s+names?\s+of\s+.{1,80}?\s+(?:may|nor)\b.{0,80}?endorse\s+or\s+promote\s+products
+BSD-3-Clause | endorse or promote | neither\s+the\s+names?\s+of\s+[\s\S]{1,80}?\s+(?:may|nor)\b[\s\S]{0,80}?endorse\s+or\s+promote\s+products
 BSD-4-Clause | advertising materials | all\s+advertising\s+materials\s+mentioning\s+features\s+or\s+use\s+of\s+this\s+software
 MPL-2.0 | mozilla | this\s+source\s+code\s+form\s+is\s+subject\s+to\s+the\s+terms\s+of\s+the\s+mozilla\s+public\s+licen[cs]e,?\s+v\.?\s*2\.0
 MPL-1.1 | mozilla | the\s+contents\s+of\s+this\s+file\s+are\s+subject\s+to\s+the\s+mozilla\s+public\s+licen[cs]e\s+version\s+1\.1
@@ -187,10 +187,10 @@ CC-BY-NC-ND-4.0 | licensed under | licensed\s+under\s+(?:a\s+|the\s+)?cc[- ]by-n
 OFL-1.1 | open font | this\s+font\s+software\s+is\s+licen[cs]ed\s+under\s+the\s+sil\s+open\s+font\s+licen[cs]e,?\s+version\s+1\.1
 WTFPL | do what the | you\s+just\s+do\s+what\s+the\s+f\S{1,3}k\s+you\s+want\s+to
 JSON | for good, not evil | the\s+software\s+shall\s+be\s+used\s+for\s+good,\s+not\s+evil
-Beerware | buy me a beer | as\s+long\s+as\s+you\s+retain\s+this\s+notice\s+you\s+can\s+do\s+whatever.{0,120}?buy\s+me\s+a\s+beer
+Beerware | buy me a beer | as\s+long\s+as\s+you\s+retain\s+this\s+notice\s+you\s+can\s+do\s+whatever[\s\S]{0,120}?buy\s+me\s+a\s+beer
 OpenSSL | the openssl project | this\s+product\s+includes\s+software\s+developed\s+by\s+the\s+openssl\s+project
-LicenseRef-Proprietary | unauthorized copying | unauthorized\s+copying\s+of\s+this\s+file.{0,60}?is\s+strictly\s+prohibited
-LicenseRef-Proprietary | without the prior written | (?:reproduced|distributed|copied)\b.{0,80}?without\s+the\s+prior\s+written\s+(?:permission|consent)
+LicenseRef-Proprietary | unauthorized copying | unauthorized\s+copying\s+of\s+this\s+file[\s\S]{0,60}?is\s+strictly\s+prohibited
+LicenseRef-Proprietary | without the prior written | (?:reproduced|distributed|copied)\b[\s\S]{0,80}?without\s+the\s+prior\s+written\s+(?:permission|consent)
 LicenseRef-Proprietary | trade secret | contains?\s+(?:the\s+)?(?:confidential\s+information\s+and\s+)?trade\s+secrets?\s+of
 """
 

@@ -29,6 +29,13 @@ class Rule:
     priority: int
     keywords: tuple[tuple[str, ...], ...]  # of each group, one must occur
     pattern: re.Pattern
+    operand: re.Pattern | None = None  # of a tag: the identifier after an operator of an SPDX expression
+
+
+#: What an SPDX expression stands behind, and the expression, a term at least. No term is read in two ways, so none is tried twice.
+HEADER = r"\bspdx-license-identifier:\s*|\blicen[cs]e\s*[:=]\s*[\"']?"
+TERM = r"(?:\(\s*)*+[\w.+:-]++(?:\s*\))*+"
+EXPRESSION = re.compile(rf"(?:{HEADER}){TERM}(?:\s+(?:and|or|with)\s+{TERM})++", re.IGNORECASE)
 
 
 @lru_cache(1)
@@ -37,7 +44,7 @@ def rules() -> tuple[Rule, ...]:
     found: list[tuple[str, str, tuple[tuple[str, ...], ...], str]] = []
     for tag in TAGS.split():
         key = re.escape(tag)
-        found.append(("tag", tag, ((tag.lower(),), ("licen",)), rf"\bspdx-license-identifier:\s*\(?{key}(?![\w.+-])|\blicen[cs]e\s*[:=]\s*[\"']?{key}(?![\w.+-])"))
+        found.append(("tag", tag, ((tag.lower(),), ("licen",)), rf"(?:{HEADER})(?:\(\s*)*{key}(?![\w.+-])"))
     for line in TEXTS.strip().splitlines():
         license_, keywords, pattern = (x.strip() for x in line.split(" | "))
         found.append(("text", license_, (_any(keywords),), pattern))
@@ -49,7 +56,8 @@ def rules() -> tuple[Rule, ...]:
             found.append(("name", license_, (_any(keywords),), name))
     order = list(KINDS)
     found.sort(key=lambda x: order.index(x[0]))
-    return tuple(Rule(i, f"{kind}:{license_}:{i}", license_, KINDS[kind], keywords, re.compile(pattern, re.IGNORECASE)) for i, (kind, license_, keywords, pattern) in enumerate(found))
+    operand = lambda tag: re.compile(rf"\s(?:and|or|with)\s+(?:\(\s*)*({re.escape(tag)})(?![\w.+-])", re.IGNORECASE)
+    return tuple(Rule(i, f"{kind}:{license_}:{i}", license_, KINDS[kind], keywords, re.compile(pattern, re.IGNORECASE), operand(license_) if kind == "tag" else None) for i, (kind, license_, keywords, pattern) in enumerate(found))
 
 
 def _any(keywords: str) -> tuple[str, ...]:
@@ -94,9 +102,14 @@ def candidates(text: str) -> list[int]:
 
 
 def matches(text: str, numbers: list[int]) -> list[tuple[int, int, int]]:
-    """(rule, start, end) of all matches of these rules that aren't empty."""
+    """(rule, start, end) of all matches of these rules that aren't empty. Of an SPDX expression, the first identifier is
+    matched with what it stands behind, each of the others by itself."""
     every = rules()
-    return [(n, m.start(), m.end()) for n in numbers for m in every[n].pattern.finditer(text) if m.end() > m.start()]
+    found = [(n, m.start(), m.end()) for n in numbers for m in every[n].pattern.finditer(text) if m.end() > m.start()]
+    if tags := [n for n in numbers if every[n].operand]:
+        for e in EXPRESSION.finditer(text):
+            found += [(n, *m.span(1)) for n in tags for m in every[n].operand.finditer(text, e.start(), e.end())]
+    return found
 
 
 def resolve(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
