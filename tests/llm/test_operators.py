@@ -242,6 +242,14 @@ def test_counts_equal_the_tokenizer(spark, docs, none):
     assert sum(map(few.__getitem__, [" a", " bcdxyz", " a", "qq", " zzzz"])) == sum(len(own.encode_ordinary(t)) for t in [" a", " bcdxyz", " a", "qq", " zzzz"])
 
 
+def test_counts_of_very_long_letter_runs(spark):
+    own = token_counts.encoding(token_counts.load_ranks())
+    runs = ["a" * 1_000_000, "".join(R.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000)), " a b", "é" * 2000]
+    got = token_counts.count_tokens(documents(spark, [(i, t, "a") for i, t in enumerate(runs)])).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in got) == [(i, len(own.encode_ordinary(t))) for i, t in enumerate(runs)]
+    assert max(r.n_tokens for r in got) > 65_535 and sorted(token_counts.frequent_pretokens(documents(spark, [(1, runs[0] + runs[2], "a")]))) == [" a", " b"]
+
+
 # 3: quality
 
 

@@ -21,7 +21,7 @@ from tracemill.llm.common import documents, slices
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-FREQUENT, TRACKED, CACHE = 16_384, 65_536, 500_000
+FREQUENT, TRACKED, CACHE, LONGEST = 16_384, 65_536, 500_000, 1024
 
 
 def load_ranks(path: str = RANKS) -> dict[bytes, int]:
@@ -55,10 +55,11 @@ class Lengths(dict):
 
 def frequent_pretokens(docs: DataFrame, k: int = FREQUENT, tracked: int = TRACKED) -> list[str]:
     """About the ``k`` most frequent pre-tokens that are a word or number with the space before it, over all documents.
+    Those of more than ``LONGEST`` characters are left to the workers, so that sketches and table stay small.
 
     Executors fold what they read into frequent-item sketches of bounded size; only these are merged, first in groups, so
     that the last merge reads about the root of the number of tasks."""
-    words = docs.select(F.explode(F.expr(r"regexp_extract_all(text, ' ?\\p{L}+| ?\\p{N}+', 0)")).alias("w"))
+    words = docs.select(F.explode(F.expr(r"regexp_extract_all(text, ' ?\\p{L}+| ?\\p{N}+', 0)")).alias("w")).where(F.length("w") <= LONGEST)
     groups = max(1, round(docs.rdd.getNumPartitions() ** 0.5))
     parts = words.groupBy(F.pmod(F.spark_partition_id(), F.lit(groups)).alias("g")).agg(F.expr(f"approx_top_k_accumulate(w, {tracked})").alias("s"))
     # Grouped by a constant: combining no sketches at all fails, a group that isn't there gives no row.
@@ -76,7 +77,7 @@ def count_tokens(docs: DataFrame, path: str = RANKS, frequent: int = FREQUENT) -
     ranks = load_ranks(path)
     own = encoding(ranks)
     top = frequent_pretokens(docs, frequent) if frequent else []
-    compact = context.broadcast(("\n".join(top), np.array([len(own.encode_ordinary(t)) for t in top], np.uint16)))
+    compact = context.broadcast(("\n".join(top), np.array([len(own.encode_ordinary(t)) for t in top], np.uint32)))
     shared = context.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
