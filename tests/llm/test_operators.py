@@ -89,6 +89,40 @@ def test_pairs_against_brute_force(spark, threshold, n, share, block):
     assert found_pairs(documents(spark, rows), n=n, threshold=threshold, share=share, block=block) == pytest.approx(brute_pairs(rows, n, threshold))
 
 
+def test_rows_of_one_id_with_other_texts_stay(spark):
+    a, b, c = prose(50), prose(50), prose(50)
+    rows = [(1, a, "s"), (1, b, "s"), (2, b + " more", "s"), (3, c, "s"), (3, c, "t"), (3, c, "s"), (4, None, "s"), (4, None, "s"), (None, a, "s")]
+    docs = documents(spark, rows)
+    assert set(found_pairs(docs)) == {(1, 2)}
+    kept = ngram_join.first_of_groups(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text), r.source) for r in kept.collect()) == sorted((str(i), str(t), s) for i, t, s in [(1, a, "s"), (1, b, "s"), (3, c, "s"), (4, None, "s"), (4, None, "s"), (None, a, "s")])
+
+
+def test_chains_are_left_to_their_grams(spark, monkeypatch):
+    """Many documents, each with a half of the next: one component, which is compared gram by gram, with the same result."""
+    used = []
+    units = ngram_join._units
+    monkeypatch.setattr(ngram_join, "_units", lambda *a: used.append(units(*a)) or used[-1])
+    parts = [" ".join(f"w{k}x{i}" for i in range(12)) for k in range(61)]
+    rows = [(k, parts[k] + " " + parts[k + 1], "s") for k in range(60)] + [(100 + k, parts[k] + " " + parts[k + 1] + f" end{k}", "s") for k in range(0, 60, 7)]
+    assert found_pairs(documents(spark, rows), threshold=0.25, block=120) == pytest.approx(brute_pairs(rows, 3, 0.25))
+    assert used[0][1]
+
+
+def test_a_gram_in_half_of_the_documents(spark):
+    base = "the passage that half of the documents share"
+    rows = [(k, (base + " " if k % 2 else "") + " ".join(f"u{k}x{i}" for i in range(8 if k % 2 else 12)), "s") for k in range(80)]
+    rows += [(200 + k, rows[k][1] + " more", "s") for k in range(0, 80, 9)]
+    assert found_pairs(documents(spark, rows), threshold=0.5, block=100) == pytest.approx(brute_pairs(rows, 3, 0.5))
+
+
+def test_all_pairs_follow_from_the_classes(docs):
+    sets = {r.doc_id: grams(r.text, 3) for r in docs.where("doc_id is not null and text is not null").collect()}
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] & sets[b]}
+    assert found_pairs(docs, all_pairs=True) == {k: v for k, v in want.items() if v >= 0.6}
+
+
 def test_one_of_each_group_stays(docs):
     kept = ngram_join.first_of_groups(docs)
     assert kept.columns == docs.columns

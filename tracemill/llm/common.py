@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,8 +13,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType
 
-SLICE_BYTES, BROADCAST_ROWS = 1 << 20, 300_000
+SLICE_BYTES, BROADCAST_ROWS, BROADCAST_BYTES = 1 << 20, 300_000, 32 << 20
 U64 = np.uint64
 
 
@@ -32,9 +34,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where the session names none."""
+    """The folder all executors share (``spark.checkpoint.dir``); where the session names none, a temporary one on a local
+    master, and an error on a cluster, whose executors share no temporary folder."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="tracemill-shared-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
@@ -48,9 +53,24 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def checked(small: DataFrame) -> DataFrame:
-    """Materialised, and marked for broadcast only if it was counted to be small; else Spark joins by an exchange."""
+    """Materialised, and marked for broadcast only if its rows and the bytes of its texts were counted to be few; else Spark joins by an exchange."""
     small = cut(small)
-    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+    wide = [F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0)) for f in small.schema.fields if not isinstance(f.dataType, (NumericType, BooleanType))]
+    n, width = small.agg(F.count("*"), F.coalesce(F.sum(sum(wide, F.lit(0))), F.lit(0))).first()
+    return F.broadcast(small) if n <= BROADCAST_ROWS and width <= BROADCAST_BYTES else small
+
+
+def expanded(near: DataFrame, equal: DataFrame) -> DataFrame:
+    """All pairs that follow from ``near``, pairs of the least ids of classes, and ``equal``, each class's least id with its others.
+
+    Both have two ids, the lesser first, and a value, which is 1 within a class; pairs between two classes have that of their least ids."""
+    a, b, value = near.columns
+    reps = near.select(F.col(a).alias("id")).union(near.select(b)).union(equal.select(a)).distinct()
+    members = cut(reps.select(F.col("id").alias("rep"), "id").union(equal.select(a, b)))
+    one, two = members.select(F.col("rep").alias("r1"), F.col("id").alias("x")), members.select(F.col("rep").alias("r2"), F.col("id").alias("y"))
+    across = near.join(one, F.col(a) == F.col("r1")).join(two, F.col(b) == F.col("r2"))
+    inside = one.join(two, F.col("r1") == F.col("r2")).where("x < y").select(F.col("x").alias(a), F.col("y").alias(b), F.lit(1.0).alias(value))
+    return across.select(F.least("x", "y").alias(a), F.greatest("x", "y").alias(b), value).union(inside)
 
 
 def shared_path(spark: SparkSession, stem: str) -> str:
