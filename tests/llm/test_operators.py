@@ -523,24 +523,78 @@ def test_hadamard_is_orthogonal():
     assert np.allclose(embedding_dedup.hadamard(embedding_dedup.hadamard(x)), x, atol=1e-5)
 
 
+def vectors(spark, rows):
+    return spark.createDataFrame([(i, [float(x) for x in v], "clash", 0) for i, v in rows], "vec_id bigint, embedding array<float>, bucket string, first int")
+
+
+def brute_cosines(x, threshold):
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    c = unit @ unit.T
+    return {(i, j): c[i, j] for i in range(len(x)) for j in range(i + 1, len(x)) if c[i, j] >= threshold}
+
+
 def test_recall_against_brute_force(spark):
     r = np.random.default_rng(4)
     base = r.normal(size=(150, 24))
-    vectors = np.vstack([base, base + r.normal(scale=0.12, size=base.shape), base[:20]]).astype(np.float32)
-    df = spark.createDataFrame([(i, [float(x) for x in v], "clash") for i, v in enumerate(vectors)], "vec_id bigint, embedding array<float>, bucket string")
-    got = {(x.vec_a, x.vec_b): x.cosine for x in embedding_dedup.near_pairs(df).collect()}
-    unit = vectors.astype(np.float64) / np.linalg.norm(vectors, axis=1)[:, None]
-    c = unit @ unit.T
-    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if c[i, j] >= 0.95}
+    x = np.vstack([base, base + r.normal(scale=0.12, size=base.shape), base[:20]]).astype(np.float32)
+    got = {(p.vec_a, p.vec_b): p.cosine for p in embedding_dedup.near_pairs(vectors(spark, enumerate(x))).collect()}
+    want = {p for p in brute_cosines(x, 0.95) if p[1] < 300}
     assert len(want & set(got)) >= 0.95 * len(want)
-    assert all(c[i, j] >= 0.95 - 1e-6 for i, j in got)
+    assert all(c >= 0.95 for c in got.values())
     assert all(got[i, 300 + i] == 1 for i in range(20))
+    full = {(p.vec_a, p.vec_b): p.cosine for p in embedding_dedup.near_pairs(vectors(spark, enumerate(x)), all_pairs=True).collect()}
+    want = brute_cosines(x, 0.95)
+    assert len(want.keys() & full.keys()) >= 0.95 * len(want) and full.keys() <= want.keys() | {(i, 300 + i) for i in range(20)}
+
+
+@pytest.mark.parametrize("count", [500, 5_000, 50_000])
+def test_recall_right_at_the_threshold_at_three_sizes(count):
+    """Pairs of a cosine of 0.95 exactly meet as often in a table of any size: buckets look at nothing but the vector."""
+    r = np.random.default_rng(count)
+    x, y = r.normal(size=(2, count, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.95 * x + (1 - 0.95**2) ** 0.5 * y / np.linalg.norm(y, axis=1, keepdims=True)
+    k = embedding_dedup.HASHES
+    tables = embedding_dedup.tables_for(64, 0.95, embedding_dedup.RECALL, k, k)
+    a, b = (embedding_dedup.buckets(v, tables, k, k, embedding_dedup.SEED) for v in (x, y))
+    met = ((a[:, :, :1] == b).any(axis=2) | (b[:, :, :1] == a).any(axis=2)).any(axis=1)
+    assert met.mean() > 0.96
+
+
+def test_a_pair_does_not_depend_on_the_other_vectors(spark):
+    r = np.random.default_rng(9)
+    base = r.normal(size=(60, 16))
+    x = np.vstack([base, base + r.normal(scale=0.2, size=base.shape)]).astype(np.float32)
+    more = r.normal(size=(2000, 16)).astype(np.float32)
+    few = {(p.vec_a, p.vec_b) for p in embedding_dedup.near_pairs(vectors(spark, enumerate(x))).collect()}
+    many = {(p.vec_a, p.vec_b) for p in embedding_dedup.near_pairs(vectors(spark, enumerate(np.vstack([x, more])))).collect()}
+    assert few and few == {p for p in many if p[1] < len(x)}
+
+
+def test_a_bucket_with_half_of_the_vectors(spark):
+    """A dense cluster is cut into parts, and gives every pair that it gives uncut."""
+    r = np.random.default_rng(2)
+    x = np.vstack([1 + r.normal(scale=0.01, size=(90, 12)), r.normal(size=(90, 12))]).astype(np.float32)
+    df = vectors(spark, enumerate(x))
+    whole, cut = ({(p.vec_a, p.vec_b) for p in embedding_dedup.near_pairs(df, part=p).collect()} for p in (10_000, 7))
+    assert whole == cut and {p for p in itertools.combinations(range(90), 2)} <= whole
+
+
+def test_huge_and_tiny_numbers(spark):
+    r = np.random.default_rng(1)
+    x = r.normal(size=64).astype(np.float32)
+    y = x + r.normal(scale=1e-4, size=64).astype(np.float32)
+    for scale in (np.float32(1e38) / np.abs(x).max(), np.float32(1e-38)):
+        got = embedding_dedup.near_pairs(vectors(spark, [(1, x * scale), (2, y * scale), (3, -x * scale)])).collect()
+        assert [(p.vec_a, p.vec_b) for p in got] == [(1, 2)] and got[0].cosine == pytest.approx(1, abs=1e-5)
 
 
 def test_embeddings_of_awkward_rows(spark):
-    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [float("nan"), 1.0]), (8, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (9, [None, 1.0]), (10, [5.0])]
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, -0.0]), (3, [1.0, 0.0]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [float("nan"), 1.0]), (8, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (9, [None, 1.0]), (10, [5.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
     assert {(r.vec_a, r.vec_b) for r in embedding_dedup.near_pairs(df).collect()} == {(1, 2), (1, 3)}
+    assert {(r.vec_a, r.vec_b) for r in embedding_dedup.near_pairs(df, all_pairs=True).collect()} == {(1, 2), (1, 3), (2, 3)}
     assert embedding_dedup.near_pairs(df.limit(0)).count() == 0
 
 
