@@ -470,24 +470,118 @@ def test_windows_against_brute_force(tokens, budget, history):
 
 
 def test_windows_of_awkward_rows(spark):
-    turns = [(1, 0, "system", "be kind"), (1, 1, "user", "w " * 20), (1, 2, "assistant", "w " * 20), (1, 3, "user", "w " * 10), (1, 4, "assistant", "w " * 10), (1, 4, "assistant", "w " * 10), (2, 0, "assistant", None), (2, 1, None, "x"), (3, 0, "system", "only"), (None, 0, "assistant", "w " * 100), (0, 0, "user", "other")]
-    df = spark.createDataFrame([(*t, "clash") for t in turns], "conv_id bigint, turn bigint, role string, text string, window string")
+    turns = [(1, 0, "system", "be kind"), (1, 1, "user", "w " * 20), (1, 2, "assistant", "w " * 20), (1, 3, "user", "w " * 10), (1, 4, "assistant", "w " * 10), (1, 4, "assistant", "w " * 10), (2, 0, "assistant", None), (2, 1, None, "x"), (3, 0, "system", "only"), (None, 0, "assistant", "w " * 100), (None, 1, "assistant", "alone"), (0, 0, "user", "other")]
+    df = spark.createDataFrame([(*t, "clash") for t in turns], "conv_id bigint, turn bigint, role string, text string, n_tokens string")
     rows = chat.windows(df, budget=60, history=20).collect()
     one = sorted((r for r in rows if r.conv_id == 1), key=lambda r: r.window)
     assert [r.turns for r in one] == [[0, 1, 2], [0, 3, 4]] and [r.is_target for r in one] == [[False, False, True], [False, False, True]]
     assert all(r.roles[0] == "system" for r in one)
     targets = [(r.conv_id, t) for r in rows for t, x in zip(r.turns, r.is_target) if x]
-    assert len(targets) == len(set(targets)) == 4
+    assert len(targets) == len(set(targets)) == 5
     by = {r.conv_id: r for r in rows}
-    assert by[None].over_budget and by[3].turns == [0] and by[2].texts == [None, "x"] and by[0].turns == [0] and not by[0].over_budget
+    assert sorted((r.turns, r.over_budget) for r in rows if r.conv_id is None) == [([0], True), ([1], False)] and by[3].turns == [0] and by[2].texts == [None, "x"] and by[0].turns == [0] and not by[0].over_budget
     assert chat.windows(df.limit(0)).count() == 0
 
 
+CHINESE = "数据管道把文档按来源混合，再把它们切成训练窗口。" * 8
+
+
+def test_windows_agree_with_the_tokenizer(spark):
+    own = token_counts.encoding(token_counts.load_ranks())
+    turns = [(c, t, ("user", "assistant")[t % 2], CHINESE[: 20 * t + c] if c % 2 else prose(10 * t + 1)) for c in range(6) for t in range(8)]
+    for length in (None, "size"):
+        cost = {(c, t): (len(own.encode_ordinary(x)) if length is None else len(x)) + chat.OVERHEAD for c, t, _, x in turns}
+        df = spark.createDataFrame([(*t, len(t[3])) for t in turns], "conv_id bigint, turn bigint, role string, text string, size int")
+        rows = chat.windows(df, budget=200, history=50, length=length).collect()
+        for c in range(6):
+            one = sorted((r for r in rows if r.conv_id == c), key=lambda r: r.window)
+            assert [r.turns for r in one] == [list(range(a, z)) for a, _, z in brute_plan([cost[c, t] for t in range(8)], 200, 50)]
+            assert all(r.n_tokens == sum(cost[c, t] for t in r.turns) and r.over_budget == (r.n_tokens > 200) for r in one)
+        if length is None:  # texts without spaces count as well
+            assert {r.conv_id for r in rows if r.over_budget} >= {1, 3, 5}
+
+
 # 7: mixing
 
+BY_WORDS = """
+WITH docs AS (
+  SELECT doc_id, source, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f]+')) AS n_tokens, ('0x' || substr(md5('11:' || doc_id), 1, 15))::BIGINT AS draw
+  FROM documents),
+used AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source ORDER BY draw, doc_id) - n_tokens / 2.0 AS middle FROM docs WHERE n_tokens > 0),
+totals AS (SELECT source, sum(n_tokens)::DOUBLE AS total FROM used GROUP BY source),
+shares AS (SELECT source, total, total / sum(total) OVER () AS s0, sqrt(total) / sum(sqrt(total)) OVER () AS s1, sum(total) OVER () AS budget FROM totals),
+knots AS (SELECT source, total, budget, knot, (1 - knot) * s0 + knot * s1 AS share FROM shares CROSS JOIN (VALUES (0.0::DOUBLE), (0.5), (1.0)) k(knot)),
+steps AS (SELECT *, lead(knot) OVER w AS next_knot, lead(share) OVER w AS next_share FROM knots WINDOW w AS (PARTITION BY source ORDER BY knot)),
+areas AS (SELECT *, (share + next_share) / 2 * (next_knot - knot) * budget AS area FROM steps WHERE next_knot IS NOT NULL),
+segments AS (SELECT *, sum(area) OVER (PARTITION BY source ORDER BY knot) AS stop FROM areas),
+uses AS (
+  SELECT u.doc_id, u.source, u.n_tokens, r.n AS repeat, u.middle + r.n * t.total AS at
+  FROM used u JOIN totals t USING (source) CROSS JOIN (SELECT unnest(range(0, 1000)) AS n) r
+  WHERE u.middle + r.n * t.total < (SELECT max(stop) FROM segments s WHERE s.source = u.source))
+SELECT doc_id, source, n_tokens::BIGINT AS n_tokens, repeat::INTEGER AS repeat,
+  round(knot + least(1.0, 2 * part / (share + sqrt(greatest(share * share + 2 * (next_share - share) * part, 0.0)))) * (next_knot - knot), 9) AS position
+FROM (
+  SELECT u.doc_id, u.source, u.n_tokens, u.repeat, s.knot, s.next_knot, s.share, s.next_share, (u.at - (s.stop - s.area)) / s.area * (s.share + s.next_share) / 2 AS part
+  FROM uses u JOIN segments s ON s.source = u.source AND u.at >= s.stop - s.area AND u.at < s.stop)
+"""
+
+
+def brute_positions(rows):
+    """Where the demand of each use is reached, by bisection of the integrated shares."""
+    import hashlib
+
+    total, out = {}, {}
+    for _, s, n in rows:
+        total[s] = total.get(s, 0) + n
+    budget, roots = sum(total.values()), sum(v**0.5 for v in total.values())
+    for s in total:
+        natural, root, upto = total[s] / budget, total[s] ** 0.5 / roots, 0
+        demand = lambda x, a=natural, b=root: budget * (a * x + (b - a) * x * x / 2)
+        mine = sorted(((int(hashlib.md5(f"11:{i}".encode()).hexdigest()[:15], 16), i, n) for i, z, n in rows if z == s))
+        for _, i, n in mine:
+            at, k = upto + n / 2, 0
+            upto += n
+            while at < demand(1):
+                lo, hi = 0.0, 1.0
+                for _ in range(60):
+                    lo, hi = ((lo + hi) / 2, hi) if demand((lo + hi) / 2) < at else (lo, (lo + hi) / 2)
+                out[i, k] = lo
+                at, k = at + total[s], k + 1
+    return out
+
+
+def test_positions_against_brute_force(spark):
+    own = token_counts.encoding(token_counts.load_ranks())
+    rows = [(i, CHINESE[: 1 + i % 50] if i % 4 else prose(i % 30 + 1), "zh" if i % 4 else ("en", "de")[i % 8 == 0]) for i in range(200)]
+    got = mixing.positions(documents(spark, rows), buckets=7).collect()
+    sizes = {i: len(own.encode_ordinary(t)) for i, t, _ in rows}
+    assert {(r.doc_id, r["repeat"]): r.position for r in got} == pytest.approx(brute_positions([(i, s, sizes[i]) for i, _, s in rows]), abs=1e-9)
+    assert all(r.n_tokens == sizes[r.doc_id] for r in got) and len({r["repeat"] for r in got}) > 1
+
+
+def test_positions_against_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    at = "/root/testdata/sf0.001/documents.parquet"
+    docs = spark.read.parquet(at).selectExpr("*", r"regexp_count(text, '[^ \\t\\n\\r\\f]+') as words")
+    con = duckdb.connect()
+    con.execute(f"create view documents as from '{at}'")
+    want = {(i, k): (s, n, p) for i, s, n, k, p in con.execute("select doc_id, source, n_tokens, repeat, position from (" + BY_WORDS + ")").fetchall()}
+    got = {(r.doc_id, r["repeat"]): (r.source, r.n_tokens, r.position) for r in mixing.positions(docs, length="words").collect()}
+    assert got.keys() == want.keys() and all(got[k][:2] == want[k][:2] and got[k][2] == pytest.approx(want[k][2], abs=2e-9) for k in want)
+
+
+def test_positions_close_together_keep_their_order(spark):
+    """Positions that agree in more than nine digits are told apart, in the plan and in the sorted rows."""
+    df = spark.createDataFrame([(i, "x", "a", 10**12 if i == 99 else 1, 0.0) for i in range(100)], "doc_id bigint, text string, source string, size bigint, __position double")
+    plan = {r.doc_id: r.position for r in mixing.positions(df, length="size", budget_tokens=10**12 + 99).collect()}
+    small = [plan[i] for i in plan if i != 99]
+    assert len(set(small)) == len(small) and len({round(p, 9) for p in small}) < len(small)
+    rows = mixing.in_training_order(df, length="size", budget_tokens=10**12 + 99)
+    assert rows.columns == df.columns and [r.doc_id for r in rows.collect()] == sorted(plan, key=plan.get)
+
 
 def test_positions_follow_the_schedule(spark):
-    rows = [(i, "w " * (i % 7 + 1), "ab"[i % 3 == 0]) for i in range(600)]
+    rows = [(i, " ".join("w" * (i % 7 + 1)), "ab"[i % 3 == 0]) for i in range(600)]
     plan = mixing.positions(documents(spark, rows), buckets=5).collect()
     total = sum(r.n_tokens for r in plan)
     supply = {s: sum(i % 7 + 1 for i, _, x in rows if x == s) for s in "ab"}

@@ -2,7 +2,8 @@
 
 Prefix sums of the turns' tokens choose spans of whole turns: each window starts with the conversation's system turns,
 repeats the turns just before its new ones as far as a history budget goes, and takes as many new turns as then fit. Only
-assistant turns are targets, and each in one window only: where it is repeated as history, it is masked.
+assistant turns are targets, and each in one window only: where it is repeated as history, it is masked. Tokens are
+byte-pair tokens, counted as ``token_counts`` counts them, unless a column of lengths is named.
 """
 
 from __future__ import annotations
@@ -11,20 +12,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import groups, partitions, table
+from tracemill.llm.token_counts import count_tokens
 
 BUDGET, HISTORY, OVERHEAD = 256, 64, 3
 SCHEMA = "conv_id bigint, window int, first_turn bigint, last_turn bigint, n_tokens bigint, n_target_tokens bigint, turns array<bigint>, roles array<string>, texts array<string>, is_target array<boolean>, over_budget boolean"
 
 
-def turn_tokens(text: str = "text") -> Column:
-    """Runs of characters that aren't white space, and what the template adds to a turn."""
-    return (F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^ \t\n\r\f]+")), F.lit(0)) + OVERHEAD).cast("bigint")
-
-
 def plan(tokens: np.ndarray, budget: int, history: int) -> list[tuple[int, int, int]]:
     """(history start, first new, end) of each window over the turns that aren't system turns; budget: what those leave."""
     upto = np.concatenate([[0], np.cumsum(tokens)])
@@ -41,19 +38,23 @@ def plan(tokens: np.ndarray, budget: int, history: int) -> list[tuple[int, int,
     return out
 
 
-def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, length: str | None = None) -> DataFrame:
     """Windows of ``turns(conv_id, turn, role, text)``, one row each: the fields of ``SCHEMA``.
 
     ``turns`` lists a window's turn numbers (system turns, history, new turns), with roles, texts and whether each is
-    trained on. Turns are never cut: one that doesn't fit with the system turns is a window of its own, marked
-    ``over_budget``. A conversation of system turns only gives one window without targets. A null conv_id is a
-    conversation of its own; null turn numbers come first; a null role is no target; a null text counts as an empty one
-    and stays null. Equal repeated rows count once; turns of one number keep an order by role and text. An empty table
-    gives no rows. Other columns are left out."""
+    trained on. A turn's tokens are its text's byte-pair tokens, or the column ``length`` names (null or negative: 0), and
+    ``OVERHEAD`` for the template. Turns are never cut: one that doesn't fit with the system turns is a window of its own,
+    marked ``over_budget``. A conversation of system turns only gives one window without targets. A turn with a null
+    conv_id is a conversation of its own; null turn numbers come first; a null role is no target; a null
+    text counts as an empty one and stays null. Equal repeated rows count once; turns of one number keep an order by role
+    and text. An empty table gives no rows. Other columns are left out, whatever their names."""
     parts = partitions(turns.sparkSession)
-    rows = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    rows = rows.select("*", F.col("conv_id").isNull().alias("null_id"), F.coalesce("conv_id", F.lit(0)).alias("key"))
-    rows = rows.repartition(parts, "key", "null_id").sortWithinPartitions("null_id", "key", "turn", "role", "text").withColumn("n", turn_tokens())
+    rows = turns.select(F.col("conv_id").cast("bigint").alias("doc_id"), F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), *([] if length is None else [F.col(length).cast("bigint").alias("n_tokens")]))
+    if length is None:
+        rows = count_tokens(rows.withColumn("content", F.col("text")), frequent=0, keep=("turn", "role", "content")).withColumnRenamed("content", "text")
+    rows = rows.select(F.col("doc_id").alias("conv_id"), "turn", "role", "text", (F.greatest(F.coalesce("n_tokens", F.lit(0)), F.lit(0)) + OVERHEAD).alias("n"))
+    rows = rows.select(F.col("conv_id").isNull().alias("null_id"), F.coalesce("conv_id", F.xxhash64("turn", "role", "text")).alias("key"), "*")
+    rows = rows.repartition(parts, "null_id", "key").sortWithinPartitions("null_id", "key", "turn", "role", "text")
     names = [f.split()[0] for f in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +81,7 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
 
     i64 = pa.int64()
     kinds = [i64, pa.int32(), i64, i64, i64, i64, pa.list_(i64), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.bool_()]
-    return rows.select("null_id", "key", "conv_id", "turn", "role", "text", "n").mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(run, SCHEMA)
 
 
 def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,6 +73,14 @@ def expanded(near: DataFrame, equal: DataFrame) -> DataFrame:
     return across.select(F.least("x", "y").alias(a), F.greatest("x", "y").alias(b), value).union(inside)
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    have, name = {c.lower() for c in df.columns}, f"__{stem}"
+    while name in have:
+        name += "_"
+    return name
+
+
 def shared_path(spark: SparkSession, stem: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
 

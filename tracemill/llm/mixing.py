@@ -1,7 +1,8 @@
 """Mixing sources to target weights along a curriculum.
 
 A schedule gives each source its share of the training tokens as a piecewise linear function of progress (0 to 1). The
-integral of a source's share, times the token budget, is its cumulative demand. Its documents stand in a random order
+integral of a source's share, times the token budget, is its cumulative demand. Tokens are byte-pair tokens, counted as
+``token_counts`` counts them, unless a column of lengths is named. Its documents stand in a random order
 fixed by a hash; a document whose tokens begin after C tokens of its source is trained on where the demand reaches the
 middle of it, so the inverse of the demand gives its position. A source with less tokens than demanded is repeated; what
 a source has beyond its demand is left out.
@@ -12,14 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import checked, cut, partitions, table
+from tracemill.llm.common import checked, cut, documents, fresh, partitions
+from tracemill.llm.token_counts import count_tokens
 
-SEED, TOKENS = 11, r"[^ \t\n\r\f]+"
-
-
-def token_count(text: Column | str) -> Column:
-    """Number of runs of characters that aren't white space, 0 for null."""
-    return F.coalesce(F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(TOKENS)), F.lit(0)).cast("bigint")
+SEED = 11
 
 
 def flattening_schedule(totals: DataFrame) -> DataFrame:
@@ -43,17 +40,20 @@ def demand_segments(schedule: DataFrame, budget: Column) -> DataFrame:
     return s.withColumn("area", area).withColumn("end", F.sum("area").over(w)).withColumn("begin", F.col("end") - F.col("area"))
 
 
-def positions(docs: DataFrame, schedule: DataFrame | None = None, budget_tokens: int | None = None, seed: int = SEED, buckets: int | None = None) -> DataFrame:
+def positions(docs: DataFrame, schedule: DataFrame | None = None, budget_tokens: int | None = None, seed: int = SEED, buckets: int | None = None, length: str | None = None) -> DataFrame:
     """``(doc_id, source, n_tokens, repeat int, position double)``: the training plan of ``docs(doc_id, text, source)``.
 
     ``repeat`` counts a document's uses from 0; ``position`` lies in [0, 1]. ``budget_tokens`` defaults to all tokens of
-    ``docs``; ``schedule(source, knot, share)`` to ``flattening_schedule``. A source that the schedule lacks gets no
-    position. Nulls: a null source is a source of its own; a null doc_id is like any other id; null, empty and blank
-    texts have no tokens, so nothing of them is trained on and they get no position. Repeated rows count as documents
-    each, in an order that doesn't matter as they are equal. An empty table gives no rows."""
+    ``docs``; ``schedule(source, knot, share)`` to ``flattening_schedule``. ``length`` names a column of ``docs`` with the
+    documents' lengths; by default the texts' byte-pair tokens are counted. A source that the schedule lacks gets no
+    position. Nulls: a null source is a source of its own; a null doc_id is like any other id; null, empty and blank texts,
+    and null lengths or such below 1, have no tokens, so nothing of them is trained on and they get no position. Repeated rows
+    count as documents each, in an order that doesn't matter as they are equal. An empty table gives no rows. Other
+    columns are ignored, whatever their names."""
     spark = docs.sparkSession
     buckets = buckets or max(64, partitions(spark))
-    rows = docs.select("doc_id", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("source"), token_count("text").alias("n_tokens")).where("n_tokens > 0")
+    counted = count_tokens(docs.where(F.col("text").rlike(r"[^ \t\n\r\f]")), frequent=0, keep=("source",)) if length is None else docs.select("doc_id", "source", F.col(length).cast("bigint").alias("n_tokens"))
+    rows = counted.select("doc_id", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("source"), "n_tokens").where("n_tokens > 0")
     order = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "doc_id")), 1, 15), 16, 10).cast("bigint")
     rows = cut(rows.withColumn("draw", order).withColumn("bucket", F.floor(F.shiftright("draw", 30) * buckets / 2**30).cast("int")))
     # Running sums in two steps, so that one large source is not one task.
@@ -85,38 +85,15 @@ def positions(docs: DataFrame, schedule: DataFrame | None = None, budget_tokens:
 
 
 def in_training_order(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` as often as the plan uses them, with their own columns, range-sorted by position.
+    """The rows of ``docs`` as often as the plan uses them, with their own columns, range-sorted by position, ties by doc_id.
 
     Documents of which nothing is trained on (no tokens, no demand left) go. Rows that share a doc_id are used as their
-    ids are: each such row, for each use that the plan has for the id, once."""
-    plan = positions(docs, **options).groupBy("doc_id", "repeat").agg(F.min("position").alias("__position")).select(F.col("doc_id").alias("__doc_id"), "__position")
-    joined = docs.join(checked(plan), F.col("doc_id").eqNullSafe(F.col("__doc_id")))
-    return joined.orderBy("__position", "__doc_id").select(docs.columns)
+    ids are: each such row, for each use that the plan has for the id, once. Columns may have any names."""
+    position, doc = fresh(docs, "position"), fresh(docs, "doc")
+    plan = positions(docs, **options).groupBy("doc_id", "repeat").agg(F.min("position").alias(position)).select(F.col("doc_id").alias(doc), position)
+    joined = docs.join(checked(plan), docs["doc_id"].eqNullSafe(F.col(doc)))
+    return joined.orderBy(position, doc).select(docs.columns)
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = positions(table(spark, sf_dir, "documents"))
-    return plan.withColumn("position", F.round("position", 9)).orderBy("position", "doc_id", "repeat")
-
-
-ORACLE = f"""
-WITH docs AS (
-  SELECT doc_id, source, len(regexp_extract_all(text, '{TOKENS}')) AS n_tokens, ('0x' || substr(md5('{SEED}:' || doc_id), 1, 15))::BIGINT AS draw
-  FROM documents),
-used AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source ORDER BY draw, doc_id) - n_tokens / 2.0 AS middle FROM docs WHERE n_tokens > 0),
-totals AS (SELECT source, sum(n_tokens)::DOUBLE AS total FROM used GROUP BY source),
-shares AS (SELECT source, total, total / sum(total) OVER () AS s0, sqrt(total) / sum(sqrt(total)) OVER () AS s1, sum(total) OVER () AS budget FROM totals),
-knots AS (SELECT source, total, budget, knot, (1 - knot) * s0 + knot * s1 AS share FROM shares CROSS JOIN (VALUES (0.0::DOUBLE), (0.5), (1.0)) k(knot)),
-steps AS (SELECT *, lead(knot) OVER w AS next_knot, lead(share) OVER w AS next_share FROM knots WINDOW w AS (PARTITION BY source ORDER BY knot)),
-areas AS (SELECT *, (share + next_share) / 2 * (next_knot - knot) * budget AS area FROM steps WHERE next_knot IS NOT NULL),
-segments AS (SELECT *, sum(area) OVER (PARTITION BY source ORDER BY knot) AS stop FROM areas),
-uses AS (
-  SELECT u.doc_id, u.source, u.n_tokens, r.n AS repeat, u.middle + r.n * t.total AS at
-  FROM used u JOIN totals t USING (source) CROSS JOIN (SELECT unnest(range(0, 1000)) AS n) r
-  WHERE u.middle + r.n * t.total < (SELECT max(stop) FROM segments s WHERE s.source = u.source))
-SELECT doc_id, source, n_tokens::BIGINT AS n_tokens, repeat::INTEGER AS repeat,
-  round(knot + least(1.0, 2 * part / (share + sqrt(greatest(share * share + 2 * (next_share - share) * part, 0.0)))) * (next_knot - knot), 9) AS position
-FROM (
-  SELECT u.doc_id, u.source, u.n_tokens, u.repeat, s.knot, s.next_knot, s.share, s.next_share, (u.at - (s.stop - s.area)) / s.area * (s.share + s.next_share) / 2 AS part
-  FROM uses u JOIN segments s ON s.source = u.source AND u.at >= s.stop - s.area AND u.at < s.stop)
-"""
+    return positions(documents(spark, sf_dir)).orderBy("position", "doc_id", "repeat")

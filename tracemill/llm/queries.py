@@ -19,5 +19,4 @@ QUERIES = {
 ORACLES = {
     "op2_warc": warc.ORACLE,
     "op5_ngram_jaccard_join": ngram_join.ORACLE,
-    "op7_source_mixing": mixing.ORACLE,
 }

@@ -16,12 +16,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracemill.llm.common import documents, slices
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-FREQUENT, TRACKED, CACHE, LONGEST = 16_384, 65_536, 500_000, 1024
+FREQUENT, TRACKED, CACHE, LONGEST = 16_384, 65_536, 500_000, 64
 
 
 def load_ranks(path: str = RANKS) -> dict[bytes, int]:
@@ -46,7 +47,7 @@ class Lengths(dict):
         n = self.met.get(token)
         if n is None:
             n = len(self.encode(token))
-            if len(token) <= 64:
+            if len(token) <= LONGEST:
                 if len(self.met) >= self.limit:
                     self.met = {}
                 self.met[token] = n
@@ -67,29 +68,31 @@ def frequent_pretokens(docs: DataFrame, k: int = FREQUENT, tracked: int = TRACKE
     return [x.item for x in row.top or []] if row else []
 
 
-def count_tokens(docs: DataFrame, path: str = RANKS, frequent: int = FREQUENT) -> DataFrame:
-    """``(doc_id, n_tokens bigint)`` for each row of ``docs(doc_id, text)``: the length of its byte-pair encoding.
+def count_tokens(docs: DataFrame, path: str = RANKS, frequent: int = FREQUENT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, *keep, n_tokens bigint)`` for each row of ``docs(doc_id, text)``: the length of its byte-pair encoding.
 
     A null text has a null count, an empty one 0. Strings of special tokens count as ordinary text. Repeated rows are
     counted each; an empty table gives no rows; other columns are left out. ``frequent`` = 0 does without the table."""
     context = docs.sparkSession.sparkContext
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ranks = load_ranks(path)
     own = encoding(ranks)
-    top = frequent_pretokens(docs, frequent) if frequent else []
+    top = frequent_pretokens(docs.select(F.col("text").cast("string").alias("text")), frequent) if frequent else []
     compact = context.broadcast(("\n".join(top), np.array([len(own.encode_ordinary(t)) for t in top], np.uint32)))
     shared = context.broadcast(ranks)
+    chosen = docs.select("doc_id", *keep, F.col("text").cast("string").alias("__text"))
+    names = chosen.columns[:-1]
+    schema = T.StructType([*chosen.schema.fields[:-1], T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, sizes = compact.value
-        lengths = Lengths(dict(zip(words.split("\n"), sizes.tolist())), encoding(shared.value).encode_ordinary)
+        lengths = Lengths(dict(zip(words.split("\n"), sizes.tolist())) if words else {}, encoding(shared.value).encode_ordinary)
         find, length = regex.compile(PATTERN).findall, lengths.__getitem__
         for batch in batches:
-            for part in slices(batch, "text"):
-                counts = [None if t is None else sum(map(length, find(t))) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
+            for part in slices(batch, "__text"):
+                counts = [None if t is None else sum(map(length, find(t))) for t in part.column(len(names)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(names))), pa.array(counts, pa.int64())], [*names, "n_tokens"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_tokens bigint")
+    return chosen.mapInArrow(run, schema)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
