@@ -34,10 +34,12 @@ def digest(data: bytes) -> str:
 
 
 def record(kind: str, url: str | None, block: bytes, record_id: str, date: str, content_type: str, payload: bytes | None = None) -> bytes:
-    """One record as a gzip member. Line ends in the url, which would break the header, are percent-encoded."""
+    """One record as a gzip member. The url is written as it is; line ends in it would break the header and are refused."""
+    if url is not None and re.search(r"[\r\n]", url):
+        raise ValueError(f"line end in the url {url!r}")
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{record_id}>", f"WARC-Date: {date}"]
     if url is not None:
-        lines.append("WARC-Target-URI: " + url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A"))
+        lines.append("WARC-Target-URI: " + url)
     lines += [f"WARC-Block-Digest: {digest(block)}"]
     if payload is not None:
         lines.append(f"WARC-Payload-Digest: {digest(payload)}")
@@ -79,8 +81,9 @@ def _members(stream: BinaryIO) -> Iterator[tuple[int, bytes, str | None]]:
             held, offset = held[at:], offset + at
 
 
-def _decode_url(url: str | None) -> str | None:
-    return None if url is None else re.sub("%(25|0D|0A)", lambda m: chr(int(m[1], 16)), url)
+def _target(url: str | None) -> str | None:
+    """The url as it stands in the header, without the angle brackets that version 1.0 puts around it."""
+    return url[1:-1] if url and url.startswith("<") and url.endswith(">") else url
 
 
 def parse(content: bytes) -> dict:
@@ -89,7 +92,13 @@ def parse(content: bytes) -> dict:
     lines = head.decode("utf-8", "replace").split("\r\n")
     if not end or not lines[0].startswith("WARC/"):
         return {"error": "no WARC header"}
-    fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
+    folded: list[str] = []
+    for line in lines[1:]:  # a line that begins with white space goes on with the field before it
+        if line[:1] in (" ", "\t") and folded:
+            folded[-1] += " " + line.strip()
+        else:
+            folded.append(line)
+    fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in folded)}
     length = fields.get("content-length", "")
     if not re.fullmatch(r"\d+", length):
         return fields | {"error": "no Content-Length"}
@@ -111,9 +120,26 @@ def payload_of(fields: dict) -> bytes:
     return block
 
 
+def _agrees(named: str, data: bytes) -> bool | None:
+    """Whether a digest, in base 32 or in hexadecimal, is that of the data; null for an algorithm that isn't known."""
+    algorithm, _, value = named.partition(":")
+    algorithm = algorithm.strip().lower().replace("-", "")
+    if algorithm not in ("md5", "sha1", "sha256", "sha512"):
+        return None
+    own, value = hashlib.new(algorithm, data, usedforsecurity=False), value.strip()
+    if len(value) == 2 * own.digest_size:
+        return value.lower() == own.hexdigest()
+    return value.upper().rstrip("=") == base64.b32encode(own.digest()).decode().rstrip("=")
+
+
 def check_digests(fields: dict, payload: bytes) -> bool | None:
-    """Whether the digests agree (only sha1 is known); null without one that can be checked."""
-    checked = [digest(data) == "sha1:" + named.partition(":")[2].upper() for key, data in (("warc-block-digest", fields.get("block", b"")), ("warc-payload-digest", payload)) if (named := fields.get(key, "")).lower().startswith("sha1:")]
+    """Whether the digests agree; null without one that can be checked.
+
+    The payload digest of a revisit record, and of a segment, is that of another record's or of the whole payload: not checked."""
+    named = [("warc-block-digest", fields.get("block", b""))]
+    if fields.get("warc-type", "").lower() not in ("revisit", "continuation") and "warc-segment-number" not in fields:
+        named.append(("warc-payload-digest", payload))
+    checked = [a for key, data in named if key in fields and (a := _agrees(fields[key], data)) is not None]
     return all(checked) if checked else None
 
 
@@ -122,11 +148,22 @@ def read_stream(stream: BinaryIO, name: str) -> Iterator[tuple]:
     for offset, content, error in _members(stream):
         fields = parse(content)
         payload = payload_of(fields)
-        yield (name, offset, fields.get("warc-record-id"), fields.get("warc-type"), _decode_url(fields.get("warc-target-uri")), fields.get("warc-date"), fields.get("content-type"), len(fields.get("block", b"")), payload, check_digests(fields, payload), error or fields["error"])
+        yield (name, offset, fields.get("warc-record-id"), fields.get("warc-type"), _target(fields.get("warc-target-uri")), fields.get("warc-date"), fields.get("content-type"), len(fields.get("block", b"")), payload, check_digests(fields, payload), error or fields["error"])
 
 
 def _file_system(path: str):
-    return pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), os.path.abspath(path))
+    """The file system that Spark would take for the path, and the path in it: the driver resolves paths without a scheme."""
+    if re.match(r"[a-z][a-z0-9+.-]*:", path):
+        return pyarrow.fs.FileSystem.from_uri(path)
+    return pyarrow.fs.LocalFileSystem(), os.path.abspath(path)
+
+
+def resolved(spark: SparkSession, path: str) -> str:
+    """The path with its scheme: one without lies on the cluster's default file system, as anything Spark writes there."""
+    if re.match(r"[a-z][a-z0-9+.-]*:", path):
+        return path
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    return jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf).makeQualified(jvm.org.apache.hadoop.fs.Path(path)).toString()
 
 
 def read_warc(paths: DataFrame) -> DataFrame:
@@ -163,10 +200,16 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def write_warc(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Writes ``pages(page_id, url, html)`` as response records, one file for each partition; returns ``(path)``.
 
-    Record ids follow from page_id. A null html is written as an empty payload, a null url as no target. Each
+    Record ids follow from page_id. A null html is written as an empty payload, a null url as no target. A url is written as
+    it is, so that other readers see it, but for line ends, which no record can hold: they are percent-encoded, and come
+    back so. Repeated rows are
+    records each, with equal ids; an empty table gives no files; other columns are left out, whatever their names. Each
     task attempt writes a name of its own, and only files of attempts that succeeded are named in the result, which is
     materialised, so that an executor lost later loses nothing."""
 
+    spark = pages.sparkSession
+    folder = resolved(spark, folder)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, at = _file_system(folder)
         fs.create_dir(at, recursive=True)
@@ -177,20 +220,22 @@ def write_warc(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z"
                 for page, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
                     body = (html or "").encode()
                     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: " + str(page).encode() + b"\r\n\r\n" + body
-                    out.write(record("response", url, block, str(uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page}")), date, "application/http; msgtype=response", body))
+                    target = None if url is None else url.replace("\r", "%0D").replace("\n", "%0A")
+                    out.write(record("response", target, block, str(uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page}")), date, "application/http; msgtype=response", body))
                     count += 1
         if count:
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder.rstrip('/')}/{name}"])], ["path"])
 
     written = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, "path string")
-    spark = pages.sparkSession
     at = shared_path(spark, "warc-files")
     written.write.parquet(at)
     return spark.read.parquet(at)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages written to WARC files in the shared folder, read back record by record."""
+    """Pages written to WARC files in the shared folder, read back record by record: a row for each row of ``pages``.
+
+    A null html comes back as an empty text; repeated rows come back each; an empty table gives no rows."""
     files = write_warc(table(spark, sf_dir, "pages"), shared_path(spark, "warc"))
     count = files.count()
     return read_warc(files.repartition(max(1, count))).select("url", F.col("payload").cast("string").alias("html"), "type", F.octet_length("payload").cast("bigint").alias("payload_bytes"), "digest_ok", "error")
