@@ -8,10 +8,12 @@ goes if it lies inside a kept one, or overlaps one of a stronger kind.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -114,12 +116,32 @@ def matches(text: str, numbers: list[int]) -> list[tuple[int, int, int]]:
 
 def resolve(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Detections that stay, by place. In order of kind, length, place and rule, each stays unless it lies inside one that
-    stayed or overlaps one that stayed of a stronger kind."""
+    stayed or overlaps one that stayed of a stronger kind.
+
+    Of one kind, no detection that stays lies inside another, so that the last to begin before a place ends last; what
+    stronger kinds cover is kept as intervals apart from each other. Both are found by bisection."""
     every = rules()
     kept: list[tuple[int, int, int]] = []
-    for n, a, b in sorted(found, key=lambda d: (-every[d[0]].priority, d[1] - d[2], d[1], d[0])):
-        if not any((x <= a and b <= y) or (a < y and x < b and every[k].priority > every[n].priority) for k, x, y in kept):
-            kept.append((n, a, b))
+    begins: list[int] = []  # of what stronger kinds cover
+    ends: list[int] = []
+    for _, kind in groupby(sorted(found, key=lambda d: (-every[d[0]].priority, d[1] - d[2], d[1], d[0])), key=lambda d: every[d[0]].priority):
+        here: list[tuple[int, int, int]] = []  # (begin, end, rule)
+        for n, a, b in kind:
+            over = bisect_left(begins, b) - 1
+            if over >= 0 and ends[over] > a:
+                continue
+            at = bisect_right(here, (a, float("inf"), 0))
+            if at and here[at - 1][1] >= b:
+                continue
+            here.insert(at, (a, b, n))
+        kept += [(n, a, b) for a, b, n in here]
+        covered: list[list[int]] = []
+        for a, b in sorted([*zip(begins, ends), *((a, b) for a, b, _ in here)]):
+            if covered and a < covered[-1][1]:
+                covered[-1][1] = max(covered[-1][1], b)
+            else:
+                covered.append([a, b])
+        begins, ends = [a for a, _ in covered], [b for _, b in covered]
     return sorted(kept, key=lambda d: (d[1], d[2], d[0]))
 
 
@@ -127,7 +149,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """``(doc_id, license, rule, priority, start, end, matched)``: a row for each detection in ``docs(doc_id, text)``.
 
     ``start`` and ``end`` count characters. Null and empty texts, and texts without a detection, give no rows; repeated
-    rows give theirs each; an empty table gives none. Other columns are ignored."""
+    rows give theirs each; an empty table gives none. Texts are scanned whole, however long. Other columns are ignored,
+    whatever their names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every = rules()
