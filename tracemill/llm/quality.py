@@ -12,19 +12,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import documents, slices, table, text_buffers
 
-MAX_TRAIN, MAX_TRAIN_BYTES, EPOCHS, BATCH, RATE, THRESHOLD = 4000, 200_000, 16, 48, 0.004, 0.5
+MAX_TRAIN, MAX_TRAIN_BYTES, MAX_TOTAL_BYTES, EPOCHS, BATCH, RATE, THRESHOLD = 4000, 200_000, 64_000_000, 16, 48, 0.004, 0.5
 DIM, STRIDE, FILTERS = 8, 4, 32
 BLOCK, CHUNK, HOP = 16, 8, 7  # positions in a block; blocks in a chunk; blocks from a chunk to the next
 _SPAN = BLOCK * STRIDE
 
 
 def _layout(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts padded with zero bytes to whole blocks (4 zeros at least, so that no filter sees two texts), and the offsets of their blocks."""
+    """Texts padded with zero bytes to whole blocks (4 zeros at least), and the offsets of their blocks."""
     blocks = -(-(np.diff(offsets) + STRIDE) // _SPAN)
     at = np.concatenate([[0], np.cumsum(blocks)])
     out = np.zeros(int(at[-1]) * _SPAN + STRIDE, np.uint8)
@@ -58,11 +58,14 @@ class Network:
         normal = lambda scale, *shape: r.normal(0, scale, shape).astype(np.float32)
         return Network(normal(0.5, 256, DIM), normal(0.18, STRIDE * DIM, FILTERS), normal(0.18, STRIDE * DIM, FILTERS), np.zeros(FILTERS, np.float32), normal(0.1, 2 * FILTERS), np.zeros(1, np.float32))
 
-    def pooled(self, padded: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Embedded bytes by position, rectified filter outputs, and their maxima by block."""
+    def pooled(self, padded: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Embedded bytes by position, rectified filter outputs, and their maxima by block.
+
+        At a text's last position the filters see zeros, not the text that follows in the batch."""
         x = self.vectors[padded].reshape(-1, STRIDE * DIM)
-        out = x[:-1] @ self.low
-        out += x[1:] @ self.high
+        out = x[1:] @ self.high
+        out[at[1:] * BLOCK - 1] = np.tile(self.vectors[0], STRIDE) @ self.high
+        out += x[:-1] @ self.low
         out += self.bias
         np.maximum(out, 0, out=out)
         return x, out, out.reshape(-1, BLOCK, FILTERS).max(axis=1)
@@ -77,13 +80,13 @@ class Network:
         if len(offsets) < 2:
             return np.zeros(0)
         padded, at = _layout(data, offsets)
-        z = self.features(self.pooled(padded)[2], at)[0] @ self.weights + self.offset
+        z = self.features(self.pooled(padded, at)[2], at)[0] @ self.weights + self.offset
         p = 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -60, 60)))
         return np.where(np.diff(offsets) > 0, p, 0.0)
 
     def gradients(self, data: np.ndarray, offsets: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
         padded, at = _layout(data, offsets)
-        x, out, blocks = self.pooled(padded)
+        x, out, blocks = self.pooled(padded, at)
         f, top, start, of = self.features(blocks, at)
         dz = ((1 / (1 + np.exp(-np.clip(f @ self.weights + self.offset, -60, 60))) - y) / len(y)).astype(np.float32)
         df = dz[:, None] * self.weights
@@ -100,17 +103,20 @@ class Network:
         block, filters, g = block[live], filters[live], dtop[live].astype(np.float32)
         position = block * BLOCK + out.reshape(-1, BLOCK, FILTERS)[block, :, filters].argmax(axis=1)
         dlow, dhigh = np.zeros_like(self.low), np.zeros_like(self.high)
+        last = np.isin(position, at[1:] * BLOCK - 1)
+        after = np.where(last, len(x), position + 1)
+        x = np.vstack([x, np.tile(self.vectors[0], STRIDE)])
         order = np.argsort(filters, kind="stable")
         cuts = np.searchsorted(filters[order], np.arange(FILTERS + 1))
         for k in range(FILTERS):
             o = order[cuts[k] : cuts[k + 1]]
             dlow[:, k] = g[o] @ x[position[o]]
-            dhigh[:, k] = g[o] @ x[position[o] + 1]
+            dhigh[:, k] = g[o] @ x[after[o]]
         dvec = np.zeros((256, DIM), np.float32)
-        codes = padded.reshape(-1, STRIDE)
-        for w, shift in ((self.low, 0), (self.high, 1)):
+        codes = np.vstack([padded.reshape(-1, STRIDE), np.zeros((1, STRIDE), np.uint8)])
+        for w, where in ((self.low, position), (self.high, after)):
             each = (g[:, None] * w.T[filters]).reshape(-1, DIM)
-            which = codes[position + shift].ravel()
+            which = codes[where].ravel()
             for d in range(DIM):
                 dvec[:, d] += np.bincount(which, each[:, d], 256).astype(np.float32)
         return [dvec, dlow, dhigh, np.bincount(filters, g, FILTERS).astype(np.float32), f.T @ dz, dz.sum(keepdims=True)]
@@ -141,15 +147,21 @@ def fit(texts: list[bytes], good: np.ndarray, epochs: int = EPOCHS, seed: int =
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = MAX_TRAIN_BYTES) -> Network:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = MAX_TRAIN_BYTES, max_total: int = MAX_TOTAL_BYTES) -> Network:
     """Fits on at most ``max_train`` labelled documents, half of them of each quality where there are as many, the first by a hash of doc_id.
 
-    Labels of null quality or doc_id, and documents longer than ``max_bytes``, are passed over here (never in scoring)."""
+    Of these, as many are taken in that order as hold ``max_total`` bytes. Labels of a null doc_id, labels other than 0 and
+    1, ids with labels of both kinds, and documents longer than ``max_bytes``, are passed over here (never in scoring); of
+    several rows of one doc_id, the least text is taken; repeated labels count once."""
+    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other")
     chosen = None
     for quality in (0, 1):
-        part = labels.where(F.col("quality") == quality).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(quality).alias("quality")).where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train // 2)
+        part = known.where(F.col("quality") == quality).select("doc_id", F.lit(quality).alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train // 2)
         chosen = part if chosen is None else chosen.union(part)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where((F.length("text") > 0) & (F.octet_length("text") <= max_bytes)).join(F.broadcast(chosen), "doc_id").collect()
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where((F.length("text") > 0) & (F.octet_length("text") <= max_bytes)).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    upto = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # of max_train rows at most
+    rows = rows.withColumn("upto", upto).where(F.col("upto") <= max_total).select("doc_id", "quality", "text").collect()
     rows.sort(key=lambda r: (r.doc_id, r.quality, r.text))
     return fit([r.text.encode() for r in rows], np.array([r.quality for r in rows], np.int64))
 
@@ -171,7 +183,10 @@ def score(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFr
 
 
 def keep_good(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that the network doesn't reject, with all their columns; it sees each row once."""
+    """The rows of ``docs`` that the network doesn't reject, with all their columns; it sees each row once.
+
+    Rows with a null or empty text are rejected (probability 0), if ``threshold`` is above 0; repeated rows are judged
+    each; an empty table gives no rows. Columns may have any names."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
