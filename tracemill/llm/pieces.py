@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding with a batched numpy Viterbi search.
 
-Texts split into words before each run of spaces that follows something else; no piece crosses there. A worker keeps the
+Texts split into words before each run of spaces that follows something else; no piece crosses there. Words with characters
+beyond ASCII, and long ones, are cut besides between two characters that stand side by side in no piece. A worker keeps the
 ids of words it has seen; new words of equal length advance together: hashes of all their substrings probe the
 sorted hashes of the pieces, and for each end position a vectorised maximum over the candidates stores the length of the best
 last piece as backpointer.
@@ -8,7 +9,9 @@ last piece as backpointer.
 The score of a path depends on the model. For a unigram model it is the sum of the pieces' scores. For a BPE model the
 greedy merges decide, which no sum of scores gives; but a segmentation is the one that merging arrives at exactly if each
 two neighbours in it would stay apart when merged alone. So a candidate scores 0 where it may follow the best path's last
-piece, else minus infinity, and the maximum is the library's result.
+piece, else minus infinity, and the maximum is the library's result. Hence long words of a BPE model are cut into overlapping chunks,
+which advance together: two chunks are joined where both have a boundary and the pieces at it may be neighbours, and the
+whole is what the library gives, as all neighbours in it may be.
 """
 
 from __future__ import annotations
@@ -21,12 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracemill.llm.common import U64, documents, mix64, slices, text_buffers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 CACHE_WORDS, CACHED_CHARS, BATCH_CHARS = 400_000, 48, 200_000
+LONG, STEP = 768, 512  # characters of a chunk of a longer word, and from one chunk to the next
 _MUL = 0x9E3779B97F4A7C15
 
 
@@ -81,6 +86,7 @@ class PieceModel:
     unk_id: int
     flat: np.ndarray  # what ids decode to: bytes back to back, and where they begin
     flat_at: np.ndarray
+    bigrams: np.ndarray  # sorted: two characters (the first times 2^32) that stand side by side in a piece
 
     @property
     def unknown(self) -> int:
@@ -116,7 +122,7 @@ class PieceModel:
             texts[i] = bytes([b])
         texts[unk_id] = " ⁇ ".encode()
         byte_ids = np.array([i for i, _ in sorted(byte_at.items(), key=lambda x: x[1])], np.int32) if byte_at else None
-        return PieceModel(kind, SortedKeys(names, np.array(list(usable.values()), np.int64)), max(map(len, usable), default=1), np.array([*scores, min(scores, default=0) - 10.0]), created, left, right, SortedKeys(np.array(list(pairs), U64), np.array(list(pairs.values()), np.int64)), byte_ids, unk_id, np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+        return PieceModel(kind, SortedKeys(names, np.array(list(usable.values()), np.int64)), max(map(len, usable), default=1), np.array([*scores, min(scores, default=0) - 10.0]), created, left, right, SortedKeys(np.array(list(pairs), U64), np.array(list(pairs.values()), np.int64)), byte_ids, unk_id, np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), np.array(sorted({(ord(x) << 32) + ord(y) for p in own for x, y in zip(p, p[1:])}), np.int64))
 
     @staticmethod
     def load(path: str = MODEL) -> PieceModel:
@@ -189,35 +195,92 @@ class PieceModel:
 
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of each word as little-endian int32."""
+        cuts = {w: parts for w in words if (len(w) > CACHED_CHARS or not w.isascii()) and len(parts := self._cut(w)) > 1}
+        short = {p for w in words for p in cuts.get(w, (w,))} if cuts else set(words)
         out: dict[str, bytes] = {}
         by: dict[int, list[str]] = {}
-        for w in words:
-            by.setdefault(len(w), []).append(w)
+        for w in short:
+            if len(w) > LONG and self.kind == "bpe":
+                out[w] = self._stitched(w)
+            else:
+                by.setdefault(len(w), []).append(w)
         for n, same in by.items():
             step = max(1, BATCH_CHARS // n)
             for at in range(0, len(same), step):
                 part = same[at : at + step]
-                codes = np.frombuffer("".join(part).encode("utf-32-le"), np.uint32).reshape(len(part), n)
-                last, back = self.segment(codes)
-                # All words step back together from their ends.
-                end, every, path = np.full(len(part), n), np.arange(len(part)), []
-                while (end > 0).any():
-                    i = np.where(end > 0, last[every, end], -1)
-                    if self.byte_ids is not None:
-                        code = codes[every, end - 1]
-                        one = np.flatnonzero((i == self.unknown) & (code < 128))
-                        i[one] = self.byte_ids[code[one]]
-                    path.append(i)
-                    end = np.where(end > 0, end - back[every, end], 0)
-                ids = np.array(path[::-1]).T
+                ids = self._paths(np.frombuffer("".join(part).encode("utf-32-le"), np.uint32).reshape(len(part), n))
                 hard = (ids == self.unknown).any(axis=1)
                 flat = ids[ids >= 0].astype("<i4").tobytes()
                 ends = np.cumsum((ids >= 0).sum(axis=1) * 4).tolist()
                 out.update(zip(part, (flat[a:b] for a, b in zip([0, *ends], ends))))
                 for k in np.flatnonzero(hard).tolist():
                     out[part[k]] = self._with_bytes(part[k], ids[k][ids[k] >= 0])
+        for w, parts in cuts.items():
+            out[w] = b"".join(map(out.__getitem__, parts))
         return out
 
+    def _paths(self, codes: np.ndarray) -> np.ndarray:
+        """Ids of the best path of each of equally long words, -1 before the first; single ASCII characters that are no piece as bytes."""
+        last, back = self.segment(codes)
+        # All words step back together from their ends.
+        end, every, path = np.full(len(codes), codes.shape[1]), np.arange(len(codes)), []
+        while (end > 0).any():
+            i = np.where(end > 0, last[every, end], -1)
+            if self.byte_ids is not None:
+                code = codes[every, end - 1]
+                one = np.flatnonzero((i == self.unknown) & (code < 128))
+                i[one] = self.byte_ids[code[one]]
+            path.append(i)
+            end = np.where(end > 0, end - back[every, end], 0)
+        return np.array(path[::-1]).T
+
+    def _cut(self, word: str) -> list[str]:
+        """Parts that no piece crosses; two characters in a row that may both be unknown stay together where they'd be one unknown."""
+        codes = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.int64)
+        both = (codes[:-1] << 32) + codes[1:]
+        at = np.minimum(np.searchsorted(self.bigrams, both), max(0, len(self.bigrams) - 1))
+        free = self.bigrams[at] != both if len(self.bigrams) else np.ones(len(both), bool)
+        if self.byte_ids is None:
+            single = self.ids.find(substring_names(codes[:, None].astype(np.uint32))[:, 1]) < 0
+            free &= ~(single[:-1] & single[1:])
+        cuts = [0, *(np.flatnonzero(free) + 1).tolist(), len(word)]
+        return [word[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _stitched(self, word: str) -> bytes:
+        """A long word by overlapping chunks that advance together; by itself, if two of them can't be joined."""
+        codes = np.frombuffer(word.encode("utf-32-le"), np.uint32)
+        n = len(codes)
+        starts = [*range(0, n - LONG, STEP), n - LONG]
+        ids: list[int] = []
+        ends: list[int] = []
+        step = max(1, BATCH_CHARS // LONG)
+        for k in range(0, len(starts), step):
+            last, back = self.segment(np.stack([codes[a : a + LONG] for a in starts[k : k + step]]))
+            for row, start in enumerate(starts[k : k + step]):
+                own, at, end = [], [], LONG
+                while end > 0:
+                    own.append(int(last[row, end]))
+                    at.append(start + end)
+                    end -= int(back[row, end])
+                own, at = own[::-1], at[::-1]
+                if not ids:
+                    ids, ends = own, at
+                    continue
+                begin = {a: j + 1 for j, a in enumerate(at[:-1])}  # the piece that begins there
+                shared = [(i, begin[e]) for i, e in enumerate(ends) if e in begin]
+                shared.sort(key=lambda p: abs(2 * ends[p[0]] - start - ends[-1]))
+                if shared:
+                    a, b = np.array([ids[i] for i, _ in shared]), np.array([own[j] for _, j in shared])
+                    fine = np.flatnonzero(self.apart(a, b))
+                if not shared or not len(fine):
+                    path = self._paths(codes[None])[0]
+                    return self._with_bytes(word, path[path >= 0])
+                i, j = shared[fine[0]]
+                ids[i + 1 :], ends[i + 1 :] = own[j:], at[j:]
+        if self.byte_ids is not None:
+            ids = [int(self.byte_ids[codes[e - 1]]) if i == self.unknown and codes[e - 1] < 128 else i for i, e in zip(ids, ends)]
+        return self._with_bytes(word, np.array(ids)) if self.unknown in ids else np.array(ids, "<i4").tobytes()
+
     def _with_bytes(self, word: str, row: np.ndarray) -> bytes:
         ids, at = [], 0
         ascii_ids = set(self.byte_ids[:128].tolist()) if self.byte_ids is not None else set()
@@ -282,7 +345,8 @@ class Encoder:
 def encode(docs: DataFrame, path: str = MODEL, keep: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, *keep, ids array<int>, n_tokens int, round_trip boolean)`` for each row of ``docs(doc_id, text)``.
 
-    ``ids`` equals the library's encoding of the whole text. ``round_trip``: decoding the ids gives the text back, which
+    ``ids`` equals the library's encoding of the whole text, for a model that neither normalises (NFKC, runs of spaces) nor
+    has pieces of the user's own, as the one at ``MODEL``. ``round_trip``: decoding the ids gives the text back, which
     fails only for texts that hold the space mark U+2581 itself, as the model can't tell it from a space. A null text has
     null results, an empty text no ids; repeated rows are encoded each; an empty table gives no rows. Other columns are
     left out."""
@@ -290,7 +354,7 @@ def encode(docs: DataFrame, path: str = MODEL, keep: tuple[str, ...] = ()) -> Da
     model = spark.sparkContext.broadcast(PieceModel.load(path))
     chosen = docs.select("doc_id", *keep, F.col("text").cast("string").alias("__text"))
     fields = [f for f in chosen.schema.fields if f.name != "__text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", ids array<int>, n_tokens int, round_trip boolean"
+    schema = T.StructType([*fields, *T._parse_datatype_string("ids array<int>, n_tokens int, round_trip boolean").fields])
     names = [*(f.name for f in fields), "ids", "n_tokens", "round_trip"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,8 +379,10 @@ def encode(docs: DataFrame, path: str = MODEL, keep: tuple[str, ...] = ()) -> Da
 
 def decode(tokens: DataFrame, path: str = MODEL) -> DataFrame:
     """``(doc_id, text)`` out of ``tokens(doc_id, ids)``: bytes that are not UTF-8 become U+FFFD; ids out of range and
-    null ids are passed over; null ids arrays give null, empty ones an empty text."""
+    null ids are passed over; null ids arrays give null, empty ones an empty text. doc_id may be of any type; repeated rows
+    are decoded each; other columns are left out."""
     model = tokens.sparkSession.sparkContext.broadcast(PieceModel.load(path))
+    chosen = tokens.select("doc_id", F.col("ids").cast("array<int>").alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
@@ -330,7 +396,7 @@ def decode(tokens: DataFrame, path: str = MODEL) -> DataFrame:
                 texts.append(m.decode_bytes(x, np.array([0, len(x)]))[0].tobytes().decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
+    return chosen.mapInArrow(run, T.StructType([chosen.schema["doc_id"], T.StructField("text", T.StringType())]))
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
