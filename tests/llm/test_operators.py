@@ -33,6 +33,7 @@ BASE = prose(80)
 NEAR = BASE.split()
 NEAR[40] = "changed"
 ROWS = [(1, BASE, "a"), (2, BASE, "a"), (3, " ".join(NEAR), "b"), (4, None, "a"), (5, "", None), (6, "one two", "b"), (7, "One, TWO!", "b"), (8, LONG, "a"), (9, prose(60), "c"), (9, prose(60), "c"), (None, "no id here at all", "c"), (10, "   \n\t ", "c")]
+CHINESE = "数据管道把文档按来源混合，再把它们切成训练窗口。" * 8
 EMPTY = "doc_id bigint, text string, lang string, source string"
 
 
@@ -158,20 +159,49 @@ def prints(*texts, depth=3):
     return [names[a:z].tolist() for a, z in zip(off, off[1:])], [starts[a:z].tolist() for a, z in zip(off, off[1:])], whole.tolist()
 
 
-def brute_level(symbols):
+def brute_level(symbols, tosses=3):
     """One level by its definition, symbol by symbol: names of (run, length) phrases as nested tuples."""
     runs = [(k, len(list(g))) for k, g in itertools.groupby(symbols)]
     lab = [k for k, _ in runs]
-    for _ in range(4):
+    for _ in range(tosses):
         prior = [lab[0] ^ 1, *lab[:-1]] if lab else []
         low = [((a ^ b) & -(a ^ b)).bit_length() - 1 for a, b in zip(prior, lab)]
         lab = [2 * k + (x >> k & 1) for k, x in zip(low, lab)]
-        if max(lab, default=0) < 6 and _ >= 2:
-            break
+    assert max(lab, default=0) < 6
     cut = [i for i in range(len(runs)) if i == 0 or i < len(runs) - 1 and lab[i] > lab[i - 1] and lab[i] > lab[i + 1]]
     return [tuple(runs[a:b]) for a, b in zip(cut, [*cut[1:], len(runs)])]
 
 
+def brute_hierarchy(data, depth):
+    """Phrases of each level as the bytes they stand for, and where they begin; labels by the definition, on the operator's own names."""
+    names, starts, out = list(data), list(range(len(data))), []
+    for k in range(depth):
+        phrases = brute_level(names, 3 if k == 0 else 4)
+        lengths = [sum(n for _, n in p) for p in phrases]
+        at = [sum(lengths[:i]) for i in range(len(lengths))]
+        starts = [starts[a] for a in at]
+        # Names are arbitrary, but what they are decides the next level: they are taken from the operator, after checking that they are equal exactly where the phrases are.
+        got = parsing.fingerprints(np.frombuffer(data, np.uint8), np.array([0, len(data)]), k + 1)
+        own = got[0].tolist()
+        assert got[2].tolist() == starts and len(own) == len(phrases)
+        by = {}
+        assert all(by.setdefault(n, p) == p for n, p in zip(own, phrases)) and len(set(by.values())) == len(by)
+        names = own
+        out.append(own)
+    return out
+
+
+@given(st.one_of(st.lists(st.sampled_from(b"abcd \n"), min_size=1, max_size=400).map(bytes), st.lists(st.sampled_from([b"the ", b"aaa", b"locally ", b"consistent\n", b"x"]), min_size=1, max_size=150).map(b"".join)))
+@settings(max_examples=60, deadline=None)
+def test_four_levels_against_brute_force(data):
+    levels = brute_hierarchy(data, 4)
+    *_, whole = parsing.fingerprints(np.frombuffer(data, np.uint8), np.array([0, len(data)]), 4)
+    again = parsing.fingerprints(np.frombuffer(b"pre" + data + data, np.uint8), np.array([0, 3, 3 + len(data), 3 + 2 * len(data)]), 4)
+    assert again[3][1] == again[3][2] == whole[0] and again[0][again[1][1] : again[1][2]].tolist() == levels[3]
+    other = data[:-1] + bytes([data[-1] ^ 1])
+    assert parsing.fingerprints(np.frombuffer(other, np.uint8), np.array([0, len(other)]), 4)[3][0] != whole[0]
+
+
 @given(st.lists(st.sampled_from(b"abcd \n"), min_size=1, max_size=200).map(bytes))
 @settings(max_examples=60, deadline=None)
 def test_first_level_against_brute_force(data):
@@ -238,6 +268,37 @@ def test_encoding_of_awkward_rows(spark, docs, none, library):
     assert pieces.encode(marked).first().round_trip is False
 
 
+def test_unspaced_texts_equal_the_library(spark, library, model):
+    import time
+
+    letters = "".join(R.choice("abcdefghijklmnopqrstuvwxyzABCXYZ0123456789+/") for _ in range(30_000))
+    texts = [CHINESE * 100, letters, "a" * 5000, "the" * 3000, "Donaudampfschifffahrtsgesellschaft" * 200, "▁" * 3000 + "x", ("ab日" * 4000), "\n".join(["x" * 90] * 90), "=" * 4097, "🙂a" * 2500]
+    began = time.perf_counter()
+    ids, at = pieces.Encoder(model).encode(texts)
+    took = time.perf_counter() - began
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == library.encode(texts)
+    assert took < 30  # some 90,000 characters without a space
+
+
+@given(st.text(st.sampled_from("abcdeinrst日."), min_size=40, max_size=300))
+@settings(max_examples=80, deadline=None)
+def test_stitched_chunks_equal_the_library(library, model, text):
+    long, step = pieces.LONG, pieces.STEP
+    try:
+        pieces.LONG, pieces.STEP = 24, 12
+        ids, _ = pieces.Encoder(model).encode([text])
+    finally:
+        pieces.LONG, pieces.STEP = long, step
+    assert ids.tolist() == library.encode(text)
+
+
+def test_decoding_of_other_ids(spark):
+    df = spark.createDataFrame([("a", [5, None, -1, 10**6], 1), (None, None, 2), ("b", [], 3)], "doc_id string, ids array<int>, text int")
+    rows = pieces.decode(df)
+    assert dict(rows.dtypes) == {"doc_id": "string", "text": "string"}
+    assert {r.doc_id: r.text for r in rows.collect()}.keys() == {"a", None, "b"} and {r.doc_id: r.text for r in rows.collect()}["b"] == ""
+
+
 def test_cache_limits_do_not_change_ids(model, monkeypatch):
     texts = [prose(40) for _ in range(20)]
     want = pieces.Encoder(model).encode(texts)[0].tolist()
@@ -292,6 +353,48 @@ def sample(n):
     return texts, np.arange(n) % 2
 
 
+def brute_probability(net, text):
+    """Position by position in double precision: filters of 8 bytes every 4, maxima by chunk, their mean and maximum."""
+    span = quality.BLOCK * quality.STRIDE
+    blocks = -(-(len(text) + quality.STRIDE) // span)
+    data = np.frombuffer(text.ljust(blocks * span + quality.STRIDE, b"\0"), np.uint8)
+    filters = np.vstack([net.low, net.high]).astype(np.float64)
+    out = [np.maximum(net.vectors[data[4 * p : 4 * p + 8]].astype(np.float64).ravel() @ filters + net.bias, 0) for p in range(blocks * quality.BLOCK)]
+    chunks, at = [], 0
+    while True:
+        chunks.append(np.max(out[at * quality.BLOCK : (at + quality.CHUNK) * quality.BLOCK], axis=0))
+        if at + quality.CHUNK >= blocks:
+            break
+        at += quality.HOP
+    z = np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0)]) @ net.weights + net.offset[0]
+    return 1 / (1 + np.exp(-z)) if text else 0.0
+
+
+def test_probabilities_against_brute_force(spark):
+    texts = [prose(n).encode() for n in (1, 3, 9, 60, 61, 62, 400)] + [b"x" * n for n in (0, 1, 59, 60, 61, 124, 508, 509, 900, 956, 957, 20_000)] + ["é日\n".encode() * 300]
+    for net in (quality.Network.initial(3), quality.fit(*sample(60), epochs=2)):
+        got = net.probability(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+        assert got == pytest.approx([brute_probability(net, t) for t in texts], rel=1e-4, abs=1e-6)
+        df = documents(spark, [(i, t.decode(), "a") for i, t in enumerate(texts)])
+        rows = {r.doc_id: r for r in quality.score(df, net).collect()}
+        assert [rows[i].probability for i in range(len(texts))] == pytest.approx(got, rel=1e-4, abs=1e-6)
+
+
+def test_labels_that_conflict_and_ids_that_repeat(spark):
+    seen = []
+    fit = quality.fit
+    df = documents(spark, [(1, "good one", "a"), (1, "another", "a"), (2, "bad", "a"), (3, "both", "a"), (4, "other label", "a"), (5, "x" * 100, "a")])
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0), (3, 1), (4, 7), (5, 1), (None, 0)], "doc_id bigint, quality int")
+    try:
+        quality.fit = lambda texts, good: seen.append((texts, good.tolist()))
+        quality.train(df, labels)
+        quality.train(df, labels, max_total=20)
+    finally:
+        quality.fit = fit
+    assert seen[0] == ([b"another", b"bad", b"x" * 100], [1, 0, 1])
+    assert sum(map(len, seen[1][0])) <= 20 and seen[1][0]
+
+
 def test_held_out_accuracy():
     net = quality.fit(*sample(300), epochs=8)
     texts, good = sample(100)
@@ -439,6 +542,27 @@ def test_prefilter_loses_nothing_and_overlaps_are_resolved():
             assert not (a < y and x < b) or licenses.rules()[n].priority == licenses.rules()[m].priority
 
 
+def test_overlaps_against_the_definition():
+    every = licenses.rules()
+    r = random.Random(8)
+    for _ in range(300):
+        found = [(r.randrange(len(every)), a := r.randrange(60), a + r.randrange(1, 25)) for _ in range(r.randrange(25))]
+        kept = []
+        for n, a, b in sorted(found, key=lambda d: (-every[d[0]].priority, d[1] - d[2], d[1], d[0])):
+            if not any((x <= a and b <= y) or (a < y and x < b and every[k].priority > every[n].priority) for k, x, y in kept):
+                kept.append((n, a, b))
+        assert licenses.resolve(found) == sorted(kept, key=lambda d: (d[1], d[2], d[0]))
+
+
+def test_many_detections_take_linear_time():
+    import time
+
+    text = "SPDX-License-Identifier: MIT\n" * 40_000
+    began = time.perf_counter()
+    assert len(licenses.resolve(licenses.matches(text, licenses.candidates(text)))) == 40_000
+    assert time.perf_counter() - began < 20
+
+
 def test_license_scan_of_awkward_rows(spark, docs, none):
     more = docs.union(documents(spark, [(20, "x " * 5000 + "MIT License", "a"), (20, "x " * 5000 + "MIT License", "a")]))
     rows = licenses.scan(more).collect()
@@ -483,9 +607,6 @@ def test_windows_of_awkward_rows(spark):
     assert chat.windows(df.limit(0)).count() == 0
 
 
-CHINESE = "数据管道把文档按来源混合，再把它们切成训练窗口。" * 8
-
-
 def test_windows_agree_with_the_tokenizer(spark):
     own = token_counts.encoding(token_counts.load_ranks())
     turns = [(c, t, ("user", "assistant")[t % 2], CHINESE[: 20 * t + c] if c % 2 else prose(10 * t + 1)) for c in range(6) for t in range(8)]
@@ -696,17 +817,48 @@ def test_embeddings_of_awkward_rows(spark):
 
 
 def test_round_trip_through_files(spark, tmp_path):
-    rows = [(1, "http://a/%41\n", "<p>é</p>"), (2, None, ""), (3, "u", None), (3, "u", "x" * 300_000), (None, "v", "\r\n\r\nWARC/1.1\r\n")]
+    rows = [(1, "http://a/%41%25b?c=a%20b", "<p>é</p>"), (2, None, ""), (3, "u", None), (3, "u", "x" * 300_000), (None, "v", "\r\n\r\nWARC/1.1\r\n")]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id bigint, url string, html string, payload string")
     got = warc.read_warc(warc.write_warc(pages, str(tmp_path / "w")))
     assert sorted(((r.url, bytes(r.payload).decode(), r.digest_ok, r.error) for r in got.collect()), key=str) == sorted(((u, h or "", True, None) for _, u, h in rows), key=str)
     assert warc.read_warc(warc.write_warc(pages.limit(0), str(tmp_path / "n"))).count() == 0
+    ends = spark.createDataFrame([(1, "http://a/\r\n%", "x")], "page_id bigint, url string, html string")
+    assert [r.url for r in warc.read_warc(warc.write_warc(ends, str(tmp_path / "e"))).collect()] == ["http://a/%0D%0A%"]
 
 
 def read(data):
     return [(r[4], r[8], r[9], r[10]) for r in warc.read_stream(io.BytesIO(data), "f")]
 
 
+def made(kind, fields, block, eol=b"\r\n"):
+    """A record as another writer would make it."""
+    head = [b"WARC/1.0", b"WARC-Type: " + kind, *fields, b"Content-Length: " + str(len(block)).encode()]
+    return gzip.compress(eol.join(head) + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+def test_files_of_other_writers():
+    import base64
+    import hashlib
+
+    http = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nbody"
+    b32 = lambda x, h=hashlib.sha1: base64.b32encode(h(x).digest())
+    ct = b"Content-Type: application/http; msgtype=response"
+    cases = [
+        (made(b"response", [b"WARC-Target-URI: http://x/a%25b%0Ac", b"WARC-Block-Digest: sha1:" + b32(http), b"WARC-Payload-Digest: sha1:" + b32(b"body"), ct], http), ("http://x/a%25b%0Ac", b"body", True)),
+        (made(b"response", [b"WARC-Target-URI: <http://x/y>", b"WARC-Payload-Digest: SHA1:" + hashlib.sha1(b"body").hexdigest().encode(), ct], http), ("http://x/y", b"body", True)),
+        (made(b"revisit", [b"warc-target-uri:http://x/z", b"WARC-Payload-Digest: sha1:" + b32(b"elsewhere"), ct], b"HTTP/1.1 304 Not Modified\r\n\r\n"), ("http://x/z", b"", None)),
+        (made(b"resource", [b"WARC-Block-Digest: sha-256:" + b32(b"data", hashlib.sha256).rstrip(b"=")], b"data"), (None, b"data", True)),
+        (made(b"resource", [b"WARC-Block-Digest: md5:" + hashlib.md5(b"other").hexdigest().encode()], b"data"), (None, b"data", False)),
+        (made(b"resource", [b"WARC-Block-Digest: blake9:abc", b"X-Folded: a", b"\tb"], b"data"), (None, b"data", None)),
+    ]
+    for data, want in cases:
+        assert read(data) == [(*want, None)]
+    assert [r[:3] for r in read(b"".join(d for d, _ in cases))] == [w for _, w in cases]
+    assert read(gzip.compress(zlib.decompress(warc.record("resource", "http://x/a%20b", b"z", "i", "d", "t"), 31)))[0][0] == "http://x/a%20b"
+    with pytest.raises(ValueError):
+        warc.record("resource", "a\nb", b"z", "i", "d", "t")
+
+
 def test_damaged_records():
     one, two, three = (warc.record("resource", u, u.encode() * 50, "id", "d", "text/plain") for u in ("a", "b", "c"))
     good = lambda u: (u, u.encode() * 50, True, None)
