@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from tracemill.llm import mixing, ngram_join
+from tests.llm.test_operators import brute_pairs, brute_positions, brute_probability
+from tracemill.llm import mixing, ngram_join, pieces, quality, token_counts
 
 R = random.Random(9)
 
@@ -42,10 +44,29 @@ def test_stages(spark, folder):
     c = corpus_pipeline.source_mixing(spark, b, folder)
     plan = mixing.positions(b).orderBy("position", "doc_id").collect()
     assert [r.doc_id for r in c.collect()] == [r.doc_id for r in plan] and c.columns == docs.columns
+    assert {r.part for r in corpus_pipeline.sentencepiece_encoding(spark, c.withColumnRenamed("n_chars", "part"), folder).select("part").collect()} == {None}
     assert ngram_join.similar_pairs(b).count() == 0
 
 
-def test_run(spark, folder):
+def test_run_against_brute_force(spark, folder):
+    """Every stage by its definition, in Python: the network position by position, all pairs, bisected demand, the library's ids."""
     rows = corpus_pipeline.run(spark, folder).collect()
-    assert rows and all(r.round_trip and len(r.ids) == r.n_tokens for r in rows)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "ngram_jaccard_join", "source_mixing", "sentencepiece_encoding"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    texts = {r.doc_id: r for r in docs if r.text}
+    known = sorted(texts.keys() & labels.keys())
+    net = quality.fit([texts[i].text.encode() for i in known], np.array([labels[i] for i in known]))
+    good = {i: r for i, r in texts.items() if brute_probability(net, r.text.encode()) >= quality.THRESHOLD}
+    group = {i: i for i in good}
+    for a, b in sorted(brute_pairs([(i, r.text) for i, r in good.items()], 3, 0.6)):
+        least, most = sorted((group[a], group[b]))
+        group = {i: least if g == most else g for i, g in group.items()}
+    kept = [i for i in good if group[i] == i]
+    own = token_counts.encoding(token_counts.load_ranks())
+    at = brute_positions([(i, good[i].source, len(own.encode_ordinary(good[i].text))) for i in kept])
+    library = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=pieces.MODEL)
+    want = [(i, library.encode(good[i].text)) for _, i in sorted((p, i) for (i, _), p in at.items())]
+    assert [(r.doc_id, r.ids) for r in sorted(rows, key=lambda r: (r.part, r.row))] == want
+    assert all(r.round_trip and r.n_tokens == len(r.ids) and r.source == good[r.doc_id].source for r in rows)
+    assert len(kept) < len(good) < len(texts)
