@@ -84,10 +84,10 @@ def test_usage_streams_to_the_same_totals(spark, tmp_path):
     for i, b in enumerate(BODIES):
         (tmp_path / "in").mkdir(exist_ok=True)
         (tmp_path / f"in/{i}.json").write_text(json.dumps({"body": b}))
-    q = ingest.start_usage(ingest.read_stream(spark, str(tmp_path / "in"), "body string", 1), "usage", str(tmp_path / "c"))
+    q = ingest.start_usage(ingest.read_stream(spark, str(tmp_path / "in"), "body string", 1), str(tmp_path / "usage"), str(tmp_path / "c"))
     q.processAllAvailable()
     q.stop()
-    assert {r.session_id: r.input_tokens for r in spark.table("usage").collect()} == {"s1": 1000, "s2": 5}
+    assert {r.session_id: r.input_tokens for r in ingest.usage_now(spark, str(tmp_path / "usage")).collect()} == {"s1": 1000, "s2": 5}
 
 
 def hook(kind, session="s", **k):

@@ -26,7 +26,8 @@ def lookup(key: Column, values: dict, default: float | None = 0.0) -> Column:
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """Between two bounds; null stays null, which the least and the greatest of several would pass over."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def n(x: Column) -> Column:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import score
 from tracemill.functions.hashing import held_out
-from tracemill.operators.ordering import running_sum
+from tracemill.operators.ordering import numbered, running_sum
+from tracemill.sources.store import materialised
 
 
 def audit(episodes: DataFrame) -> DataFrame:
@@ -136,29 +137,48 @@ def evaluation(rows: DataFrame, prediction: str, actual: str) -> DataFrame:
 NAMES = tuple("log_length keyword_hits question_marks code_fences avg_word_length".split())
 
 
-def learn_router(rows: DataFrame, epochs: int = 300, rate: float = 0.2, decay: float = 0.001) -> dict:
+def learn_router(rows: DataFrame, epochs: int = 300, rate: float = 0.2, decay: float = 0.001, in_memory: int = 100_000) -> dict:
     """Logistic regression over standardized text features by full-batch gradient descent.
 
-    ``rows(f array<double>, y double)``. Equal feature rows are merged with their counts before they come to the driver,
-    which needs the five numbers of each distinct row, not texts. Less than four rows or one class: the base rate alone."""
-    merged = rows.groupBy("f").agg(F.count("*").alias("n"), F.sum("y").alias("y")).collect()
-    n = sum(r.n for r in merged)
-    positive = sum(r.y for r in merged) / n if n else None
+    ``rows(f array<double>, y double)``. Up to ``in_memory`` distinct feature rows come to the driver with their counts; of
+    more, only the sums of each step's gradient do, out of one pass over the written numbers. The steps are the same. Less
+    than four rows or one class: the base rate alone."""
+    merged = materialised(rows.groupBy("f").agg(F.count("*").alias("n"), F.sum("y").alias("y")), "router")
     k = len(NAMES)
+    f = [F.col("f")[i] for i in range(k)]
+    sums = [F.sum(F.col("n") * x) for x in f]
+    n, y, distinct, *total = merged.agg(F.coalesce(F.sum("n"), F.lit(0)), F.sum("y"), F.count("*"), *sums).first()
+    positive = y / n if n else None
     model = {"mean": [0.0] * k, "std": [1.0] * k, "weights": [0.0] * k, "bias": 0.0, "trained_on": n, "positive_rate": positive, "fallback": True}
     if n < 4 or positive in (0.0, 1.0):
         if n:
             p = min(0.999, max(0.001, positive))
             model["bias"] = math.log(p / (1 - p))
         return model
-    x, c, y = np.array([r.f for r in merged]), np.array([r.n for r in merged], float), np.array([r.y for r in merged], float)
-    mean = (x * c[:, None]).sum(0) / n
-    std = np.sqrt(((x - mean) ** 2 * c[:, None]).sum(0) / n)
+    mean = np.array(total) / n
+    std = np.sqrt(np.array(merged.agg(*(F.sum(F.col("n") * (x - F.lit(float(a))) * (x - F.lit(float(a)))) for x, a in zip(f, mean))).first()) / n)
     std[std == 0] = 1.0
-    z, w, b = (x - mean) / std, np.zeros(k), 0.0
+    w, b = np.zeros(k), 0.0
+    if distinct <= in_memory:
+        held = merged.collect()
+        x, c, hits = np.array([r.f for r in held]), np.array([r.n for r in held], float), np.array([r.y for r in held], float)
+        x = (x - mean) / std
+
+        def gradient(w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
+            e = c / (1 + np.exp(-np.clip(x @ w + b, -60, 60))) - hits
+            return e @ x, e.sum()
+    else:
+        z = [(a - F.lit(float(m))) / F.lit(float(s)) for a, m, s in zip(f, mean, std)]
+
+        def gradient(w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
+            line = sum((a * F.lit(float(v)) for a, v in zip(z, w)), F.lit(float(b)))
+            e = F.col("n") / (1 + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), line)))) - F.col("y")
+            *g, whole = merged.select(e.alias("e"), *(a.alias(f"z{i}") for i, a in enumerate(z))).agg(*(F.sum(F.col("e") * F.col(f"z{i}")) for i in range(k)), F.sum("e")).first()
+            return np.array(g), whole
+
     for _ in range(epochs):
-        e = c / (1 + np.exp(-np.clip(z @ w + b, -60, 60))) - y
-        w, b = w - rate * (e @ z / n + decay * w), b - rate * e.sum() / n
+        g, whole = gradient(w, b)
+        w, b = w - rate * (g / n + decay * w), b - rate * whole / n
     return model | {"mean": mean.tolist(), "std": std.tolist(), "weights": w.tolist(), "bias": float(b), "fallback": False}
 
 
@@ -189,27 +209,36 @@ def outcome_of_pull_request() -> Column:
 def running_baseline(rows: DataFrame, key: str, order: str, reward: str, window: int = 8) -> DataFrame:
     """The mean of a prompt's last rewards before a row, else of the last ones at all, else 0.
 
-    ``order`` numbers the rows without gaps. The global window looks at a row's neighbours only, so it is taken within
-    ranges of ``order`` that overlap by ``window`` rows rather than over one partition of all rows."""
-    own = F.avg(reward).over(Window.partitionBy(key).orderBy(order).rowsBetween(-window, -1))
-    every = F.avg(reward).over(Window.partitionBy("__part").orderBy(order).rowsBetween(-window, -1))
+    No two rows share ``order``. Rows are numbered first; the global window looks at a row's neighbours only, so it is taken
+    within ranges of those numbers that overlap by ``window`` rows rather than over one partition of all rows."""
+    own = F.avg(reward).over(Window.partitionBy(key).orderBy("__n").rowsBetween(-window, -1))
+    every = F.avg(reward).over(Window.partitionBy("__part").orderBy("__n").rowsBetween(-window, -1))
     span = 10_000
-    parts = F.floor(F.col(order) / span)
-    spread = rows.withColumn("__own", own).withColumn("__part", F.explode(F.when(F.pmod(F.col(order), F.lit(span)) >= span - window, F.array(parts, parts + 1)).otherwise(F.array(parts))))
-    return spread.withColumn("__every", every).where(F.col("__part") == parts).withColumn("baseline", F.coalesce("__own", "__every", F.lit(0.0))).drop("__own", "__every", "__part")
+    parts = F.floor(F.col("__n") / span)
+    spread = numbered(rows, order, name="__n").withColumn("__own", own).withColumn("__part", F.explode(F.when(F.pmod(F.col("__n"), F.lit(span)) >= span - window, F.array(parts, parts + 1)).otherwise(F.array(parts))))
+    return spread.withColumn("__every", every).where(F.col("__part") == parts).withColumn("baseline", F.coalesce("__own", "__every", F.lit(0.0))).drop("__own", "__every", "__part", "__n")
+
 
+def gae(rewards: Column, values: Column, mask: Column, gamma: float = 1.0, lam: float = 1.0, chunk: int = 256) -> Column:
+    """Advantages from the end backwards; masked positions stay 0 and are stepped over.
 
-def gae(rewards: Column, values: Column, mask: Column, gamma: float = 1.0, lam: float = 1.0) -> Column:
-    """Advantages from the end backwards; masked positions stay 0 and are stepped over."""
+    An array that grows by one element is copied at each step, so it grows within chunks, and chunks are gathered whole: the
+    cost of a long trajectory is its length times ``chunk``, not its square."""
     zipped = F.reverse(F.arrays_zip(rewards.alias("r"), values.alias("v"), mask.alias("m")))
-    start = F.struct(F.lit(0.0).alias("run"), F.lit(0.0).alias("next"), F.array().cast("array<double>").alias("out"))
+    none = F.array().cast("array<double>")
 
     def step(s: Column, x: Column) -> Column:
         run = x["r"] + gamma * s["next"] - x["v"] + gamma * lam * s["run"]
         on = F.coalesce(x["m"], F.lit(0)) != 0
         return F.struct(F.when(on, run).otherwise(s["run"]).alias("run"), F.when(on, x["v"]).otherwise(s["next"]).alias("next"), F.concat(s["out"], F.array(F.when(on, run).otherwise(0.0))).alias("out"))
 
-    return F.reverse(F.aggregate(zipped, start, step, lambda s: s["out"]))
+    def chunked(s: Column, part: Column) -> Column:
+        done = F.aggregate(part, F.struct(s["run"].alias("run"), s["next"].alias("next"), none.alias("out")), step)
+        return F.get(F.transform(F.array(done), lambda d: F.struct(d["run"].alias("run"), d["next"].alias("next"), F.concat(s["out"], F.array(d["out"])).alias("out"))), F.lit(0))
+
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(zipped) - 1) / chunk).cast("int"))), lambda i: F.slice(zipped, i * chunk + 1, F.lit(chunk)))
+    start = F.struct(F.lit(0.0).alias("run"), F.lit(0.0).alias("next"), F.array().cast("array<array<double>>").alias("out"))
+    return F.when(zipped.isNotNull(), F.reverse(F.flatten(F.aggregate(parts, start, chunked, lambda s: s["out"]))))
 
 
 def dis_mask(advantages: Column, now: Column, then: Column, low: float = 0.2, high: float = 0.2) -> Column:

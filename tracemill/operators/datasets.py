@@ -64,7 +64,7 @@ def sft_segments(episodes: DataFrame, budget: int = 4000, intent_budget: int = 6
 
 def norm_intent() -> Column:
     """P12."""
-    return F.regexp_replace(F.lower(text("intent")), r"^\s+|\s+$", "")
+    return F.regexp_replace(F.lower(text("intent")), r"(?U)^\s+|\s+$", "")
 
 
 def _extreme(condition: Column, descending: bool) -> Column:
@@ -142,13 +142,16 @@ def rlds(steps: DataFrame, reward: Column) -> DataFrame:
 def unique_prompts(rows: DataFrame, content: str, *order: str) -> DataFrame:
     """The first row of each content; blank ones are passed over."""
     w = Window.partitionBy(content).orderBy(*order)
-    return rows.where(F.regexp_replace(F.coalesce(content, F.lit("")), r"\s+", "") != "").withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    return rows.where(F.regexp_replace(F.coalesce(content, F.lit("")), r"(?U)\s+", "") != "").withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
 def verifier() -> Column:
     """F8: the first successful test run's command, else the first successful test command's."""
     test = F.get(F.filter("tests", lambda t: F.coalesce(t["ok"], F.lit(False)) & (F.coalesce(t["command"], F.lit("")) != "")), F.lit(0))
-    return F.when(test.isNotNull(), F.struct(test["command"].alias("command"), F.coalesce(test["framework"], F.lit("unknown")).alias("framework"), test["passed"].alias("passed"), test["failed"].alias("failed"), test["total"].alias("total")))
+    run = F.get(F.filter("commands", lambda c: F.coalesce(c["is_test"], F.lit(False)) & (F.coalesce(c["command"], F.lit("")) != "") & F.coalesce(c["exit_code"] == 0, F.lit(False))), F.lit(0))
+    none = F.lit(None).cast("bigint")
+    tested = F.struct(test["command"].alias("command"), F.coalesce(test["framework"], F.lit("unknown")).alias("framework"), test["passed"].alias("passed"), test["failed"].alias("failed"), test["total"].alias("total"))
+    return F.when(test.isNotNull(), tested).when(run.isNotNull(), F.struct(run["command"].alias("command"), F.lit("unknown").alias("framework"), none.alias("passed"), none.alias("failed"), none.alias("total")))
 
 
 def skip_reason(needs_remote: bool = False) -> Column:

@@ -56,7 +56,7 @@ def gate(scores: DataFrame) -> DataFrame:
     return p.select("task", F.coalesce(clean, F.lit(False)).alias("clean"))
 
 
-def clipped(text: Column, limit: int = 4000, mark: str = "\n...[" + "trajectory truncated" + "]...\n") -> Column:
+def clipped(text: Column, limit: int = 4000, mark: str = "\n...[trajectory truncated]...\n") -> Column:
     """A third of what fits from the head, the rest from the tail."""
     room = limit - len(mark)
     head = room // 3
@@ -102,15 +102,22 @@ def first_prompt(messages: Column) -> Column:
     return F.coalesce(F.get(users, F.lit(0))["content"], F.get(messages, F.lit(0))["content"], F.lit(""))
 
 
-def with_regressions(episodes: DataFrame, hits: DataFrame) -> DataFrame:
-    """Marks episodes that ``hits(id, commit)`` implicate: the flag, the commit among their regression commits (S6),
-    and a label; rewards are to be computed anew, verdicts are not."""
-    by = hits.groupBy("id").agg(F.collect_set("commit").alias("__commits"))
+def with_regressions(episodes: DataFrame, hits: DataFrame, fix_commit: str | None = None, fuzzy: bool = False) -> DataFrame:
+    """Marks episodes that ``hits(id, via, commit)`` implicate: the flag, the fix's commit among their regression
+    commits (S6; without one, the commits of the hits), and a label. Hits by file alone count only if ``fuzzy``. Rewards that
+    the episodes have are computed anew where marked, verdicts are not."""
+    if "via" in hits.columns and not fuzzy:
+        hits = hits.where("via <> 'file'")
+    by = hits.groupBy("id").agg(F.collect_set(F.lit(fix_commit) if fix_commit else F.col("commit")).alias("__commits"))
     e = episodes.join(by, "id", "left")
     found = F.col("__commits").isNotNull()
     known = F.coalesce("outcome.regression_commits", F.array().cast("array<string>"))
     outcome = F.col("outcome").withField("caused_regression", found | F.coalesce("outcome.caused_regression", F.lit(False))).withField("regression_commits", F.array_sort(F.array_union(known, F.coalesce("__commits", F.array().cast("array<string>")))))
-    return e.withColumn("outcome", outcome).withColumn("labels", F.when(found, F.array_sort(F.array_union("labels", F.array(F.lit("regression"))))).otherwise(F.col("labels"))).drop("__commits")
+    e = e.withColumn("outcome", outcome).withColumn("labels", F.when(found, F.array_sort(F.array_union("labels", F.array(F.lit("regression"))))).otherwise(F.col("labels"))).drop("__commits")
+    if "reward_vector" not in e.columns:
+        return e
+    e = score.with_reward(e.withColumnRenamed("reward_vector", "__old"))
+    return e.withColumn("reward_vector", F.when(F.array_contains("labels", "regression"), F.col("reward_vector")).otherwise(F.col("__old"))).drop("__old")
 
 
 def refreshed_outcome(old: Column, new: Column) -> Column:

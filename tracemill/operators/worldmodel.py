@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.functions import score
 from tracemill.functions.fidelity import WEIGHTS
 from tracemill.functions.hashing import fraction, pick
 from tracemill.operators.datasets import tail_context, text
@@ -33,7 +34,7 @@ def samples(steps: DataFrame, action: Column, budget: int = 4000) -> DataFrame:
     s = tail_context(s.withColumn("prev_observation", F.coalesce(F.lag("observation").over(Window.partitionBy("episode_id").orderBy("index")), F.lit(""))), block, budget)
     head = F.concat(F.lit("INTENT: "), text("intent"))
     history = F.concat_ws("\n", head, F.nullif("context", F.lit("")), F.concat(F.lit("ACTION: "), F.col("action")), F.lit("OBSERVATION:"))
-    return s.where(F.regexp_replace(text("observation"), r"\s+", "") != "").withColumn("history", history).withColumn("target_observation", F.col("observation")).drop("context", "observation")
+    return s.where(F.regexp_replace(text("observation"), r"(?U)\s+", "") != "").withColumn("history", history).withColumn("target_observation", F.col("observation")).drop("context", "observation")
 
 
 def one_per_trajectory(samples_: DataFrame, seed: int = 0) -> DataFrame:
@@ -67,7 +68,7 @@ def bench(scored: DataFrame) -> DataFrame:
     flat = scored.select("domain", "source", *(F.col(f"score.{d}").alias(d) for d in DIMENSIONS), F.col("score.exact").cast("double").alias("exact_rate"))
     sets = flat.groupingSets([[], ["domain"], ["source"]], "domain", "source")
     level = F.when(F.grouping("domain") == 0, "domain").when(F.grouping("source") == 0, "source").otherwise("overall")
-    return sets.agg(level.alias("level"), F.count("*").alias("n"), *(F.round(F.avg(d), 4).alias(d) for d in (*DIMENSIONS, "exact_rate"))).select("level", F.coalesce("domain", "source", F.lit("")).alias("name"), "n", *DIMENSIONS, "exact_rate")
+    return sets.agg(level.alias("level"), F.count("*").alias("n"), *(score.r4(F.avg(d)).alias(d) for d in (*DIMENSIONS, "exact_rate"))).select("level", F.coalesce("domain", "source", F.lit("")).alias("name"), "n", *DIMENSIONS, "exact_rate")
 
 
 def turing(pairs: DataFrame, realness_real: Column, realness_fake: Column, sample_id: Column, seed: int = 0) -> DataFrame:

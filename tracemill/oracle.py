@@ -13,7 +13,7 @@ EPISODES = r"""ep_lines AS (
 ep_base AS (
   SELECT o.*, coalesce(lines, []) AS lines, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS created_at
   FROM orders o LEFT JOIN ep_lines ON o_orderkey = l_orderkey),
-ep AS (
+ep AS MATERIALIZED (
   SELECT o_orderkey AS ord, o_custkey, 'ep_' || lpad(o_orderkey::VARCHAR, 10, '0') AS id, created_at, (['claude-code', 'codex', 'unknown'])[o_orderkey % 3 + 1] AS agent,
     CASE WHEN o_custkey % 5 = 0 THEN ' Fix ' ELSE 'Please refactor the billing module and add tests for ' END || 'customer ' || o_custkey AS intent,
     CASE WHEN o_custkey % 7 = 6 THEN '' ELSE 'repo' || (o_custkey % 7) END AS repo, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'https://git.example.org/r.git' END AS remote_url, 'b' || (o_orderkey % 9) AS branch,
@@ -62,7 +62,7 @@ s4 AS (
     list_filter([CASE WHEN c1 < 1 THEN 'has_test_evidence' END, CASE WHEN c2 < 1 THEN 'not_blocked_on_env' END], lambda x: x IS NOT NULL) AS broken
   FROM s3),
 s5 AS (SELECT *, r4(CASE WHEN len(broken) > 0 THEN base * 0.5::DOUBLE ELSE base END) AS rub FROM s4),
-s6 AS (
+s6 AS MATERIALIZED (
   SELECT *, r4(0.25::DOUBLE * CASE WHEN has_tests THEN ts ELSE 0.5::DOUBLE END + 0.25::DOUBLE * ((oscore + 1) / 2) + 0.20::DOUBLE * rub + 0.15::DOUBLE * CASE WHEN has_feedback THEN (hl + 1) / 2 ELSE 0.5::DOUBLE END + 0.075::DOUBLE * ef + 0.075::DOUBLE * coalesce(ce, 0.5::DOUBLE)) AS composite
   FROM s5),
 s7 AS (
@@ -85,7 +85,7 @@ v AS (
   SELECT *, CASE WHEN len(list_filter(flags, lambda f: f.severity = 'high')) > 0 THEN 'low' WHEN len(flags) > 0 THEN 'medium' ELSE 'high' END AS trust,
     list_sort(list_distinct(list_transform(flags, lambda f: f.category))) AS categories, status = 'failed' OR regressed OR prio = '5' AS bad
   FROM sc),
-g AS (SELECT *, trust <> 'low' AS trusted, trust <> 'low' AND (composite >= 0.5 OR status = 'merged' OR prio IN ('1', '3')) AS good, lower(trim(intent)) AS key FROM v)"""
+g AS MATERIALIZED (SELECT *, trust <> 'low' AS trusted, trust <> 'low' AND (composite >= 0.5 OR status = 'merged' OR prio IN ('1', '3')) AS good, lower(trim(intent)) AS key FROM v)"""
 
 LINES = r"""
 lines_ AS (
@@ -103,7 +103,7 @@ SAMPLES = STEPS.replace("first(text ORDER BY turn) FILTER (WHERE role = 'user')
 acts AS (SELECT *, coalesce(tool, type) || ': ' || left(observation, 200) AS action FROM st),
 ctx AS (
   SELECT *, coalesce(lag(observation) OVER w, '') AS prev_observation,
-    right(coalesce(string_agg('ACTION: ' || action || chr(10) || 'OBSERVATION: ' || left(observation, 400), chr(10)) OVER (PARTITION BY episode_id ORDER BY index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''), 900) AS context
+    right(coalesce(string_agg('ACTION: ' || action || chr(10) || 'OBSERVATION: ' || left(observation, 400), chr(10)) OVER (PARTITION BY episode_id ORDER BY index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''), 4000) AS context
   FROM acts WINDOW w AS (PARTITION BY episode_id ORDER BY index)),
 samples AS (
   SELECT episode_id, index AS turn_index, action, 'INTENT: ' || coalesce(intent, '') || CASE WHEN context = '' THEN '' ELSE chr(10) || context END || chr(10) || 'ACTION: ' || action || chr(10) || 'OBSERVATION:' AS history, prev_observation, observation AS target_observation
@@ -139,7 +139,7 @@ evturns AS (
 
 OBSERVED = rf"""
 ob0 AS (
-  SELECT doc_id, source, lang AS domain, CASE WHEN doc_id % 5 = 0 THEN '2024-01-02 03:04:05 pid=77 took 12ms ' WHEN doc_id % 7 = 0 THEN 'error: not found ' ELSE '' END || left(text, 300) AS real FROM documents),
+  SELECT doc_id, source, lang AS domain, CASE WHEN doc_id % 5 = 0 THEN '2024-01-02 03:04:05 pid=77 took 12ms ' WHEN doc_id % 7 = 0 THEN 'error: not found ' ELSE '' END || text AS real FROM documents),
 ob1 AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN real WHEN 1 THEN left(real, 150) WHEN 2 THEN '' ELSE '2024-09-09 09:09:09 ' || substr(real, 20, 200) || chr(10) || 'more' END AS fake FROM ob0),
 ob2 AS (
   SELECT *, list_distinct(list_filter(regexp_split_to_array(regexp_replace(fake, '{RUNTIME_ANY}', '§RT§', 'g'), '\s+'), lambda x: x <> '')) AS pw, list_distinct(list_filter(regexp_split_to_array(regexp_replace(real, '{RUNTIME_ANY}', '§RT§', 'g'), '\s+'), lambda x: x <> '')) AS gw,
@@ -220,21 +220,21 @@ SQL = {
     "preference_pairs": f"WITH {PAIRS} SELECT {_PAIR} FROM pref",
     "trajectory_text": _e(f", {LINES.format(rows='ep')} SELECT ep.id, 'USER: ' || any_value(ep.intent) || coalesce(string_agg(chr(10) || line || chr(10) || 'OBS: ' || left(observation, 200), '' ORDER BY index), '') AS trajectory FROM ep LEFT JOIN lines_ ON ep.id = lines_.id GROUP BY ep.id"),
     "reward_rows": _s(f", {LINES.format(rows='ep')}, texts AS (SELECT ep.id, len('USER: ' || any_value(ep.intent) || coalesce(string_agg(chr(10) || line || chr(10) || 'OBS: ' || left(observation, 200), '' ORDER BY index), '')) AS t FROM ep LEFT JOIN lines_ ON ep.id = lines_.id GROUP BY ep.id) SELECT s6.id AS episode_id, intent AS prompt, t AS trajectory_chars, composite AS scalar_reward FROM s6 JOIN texts ON s6.id = texts.id"),
-    "sft_segments": _s(f", {LINES.format(rows='g WHERE good')}, h AS (SELECT *, right(coalesce(string_agg(line || CASE WHEN type = 'user_prompt' THEN '' ELSE chr(10) || 'OBS: ' || left(observation, 200) END, chr(10)) OVER (PARTITION BY id ORDER BY index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''), 120) AS context FROM lines_) SELECT h.id AS episode_id, index::INTEGER AS step_index, 'USER: ' || left(h.intent, 600) || CASE WHEN context = '' THEN '' ELSE chr(10) || context END AS user, line AS assistant, composite AS reward FROM h JOIN g ON g.id = h.id WHERE type <> 'user_prompt'"),
+    "sft_segments": _s(f", {LINES.format(rows='g WHERE good')}, h AS (SELECT *, right(coalesce(string_agg(line || CASE WHEN type = 'user_prompt' THEN '' ELSE chr(10) || 'OBS: ' || left(observation, 200) END, chr(10)) OVER (PARTITION BY id ORDER BY index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''), 4000) AS context FROM lines_) SELECT h.id AS episode_id, index::INTEGER AS step_index, 'USER: ' || left(h.intent, 600) || CASE WHEN context = '' THEN '' ELSE chr(10) || context END AS user, line AS assistant, composite AS reward FROM h JOIN g ON g.id = h.id WHERE type <> 'user_prompt'"),
     "flat_parquet": _s("SELECT id, intent, agent, branch, status AS outcome_status, composite, ts AS test_pass, edits::INTEGER AS file_edits, tests_run::INTEGER AS tests_run, coalesce(list_sum(list_transform(diffs, lambda d: d.additions)), 0)::BIGINT AS additions, coalesce(list_sum(list_transform(diffs, lambda d: d.deletions)), 0)::BIGINT AS deletions FROM s6"),
     "index_rows": _s("SELECT id, created_at, agent, CASE WHEN ord % 10 = 3 THEN 'again: ' ELSE '' END || left(intent, 140) AS intent, branch, status AS outcome, composite AS composite_reward, tests_run::INTEGER AS tests_run, edits::INTEGER AS file_edits, CASE WHEN ord % 10 = 3 THEN 2 ELSE 1 END AS version FROM s6"),
     "rl_transitions": f"WITH {STEPS.split(',' + chr(10) + '    first(')[0] + chr(10) + '  FROM conversations)'} SELECT episode_id, index AS step_index, coalesce(lag(observation) OVER w, '') AS prev_observation, type, observation AS next_observation, lag(index) OVER w IS NULL AS is_first, lead(index) OVER w IS NULL AS done, CASE WHEN lead(index) OVER w IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS reward, CASE WHEN lead(index) OVER w IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS discount FROM st WINDOW w AS (PARTITION BY episode_id ORDER BY index)",
     "rlds_steps": f"WITH {STEPS.split(',' + chr(10) + '    first(')[0] + chr(10) + '  FROM conversations)'} SELECT episode_id, count(*)::INTEGER AS n_steps, 0.5::DOUBLE AS total_reward, string_agg(type, ',' ORDER BY index) AS types, (sum(len(observation)) - arg_max(len(observation), index))::INTEGER AS prev_chars FROM st GROUP BY episode_id",
     "unique_prompts": "SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY conv_id, turn) AS rn FROM conversations WHERE role = 'user' AND trim(text) <> '') WHERE rn = 1",
-    "task_eligibility": _s("SELECT id, skip, coalesce(skip, CASE WHEN remote_url IS NULL THEN 'no_remote' END) AS skip_remote FROM (SELECT *, CASE WHEN NOT trusted THEN 'low_trust' WHEN bad THEN 'bad_outcome' WHEN tests_run - shells = 0 THEN 'no_verifier' END AS skip FROM g)"),
-    "captured_verifier": _e("SELECT id, 'pytest -q' AS command, 'pytest' AS framework, l.q AS passed, 0::BIGINT AS failed, CASE WHEN l.n = 7 THEN 0 ELSE l.q END AS total, 'python:3.12-slim' AS image, true AS portable FROM (SELECT 'ep_' || lpad(o_orderkey::VARCHAR, 10, '0') AS id, list_filter(lines, lambda l: l.f = 'A')[1] AS l FROM ep_base) WHERE l IS NOT NULL"),
+    "task_eligibility": _s("SELECT id, skip, coalesce(skip, CASE WHEN remote_url IS NULL THEN 'no_remote' END) AS skip_remote FROM (SELECT *, CASE WHEN NOT trusted THEN 'low_trust' WHEN bad THEN 'bad_outcome' WHEN tests_run - shells = 0 AND ord % 8 <> 3 THEN 'no_verifier' END AS skip FROM g)"),
+    "captured_verifier": _e("SELECT id, 'pytest -q' AS command, 'pytest' AS framework, l.q AS passed, 0::BIGINT AS failed, CASE WHEN l.n = 7 THEN 0 ELSE l.q END AS total, 'python:3.12-slim' AS image, true AS portable FROM (SELECT 'ep_' || lpad(o_orderkey::VARCHAR, 10, '0') AS id, list_filter(lines, lambda l: l.f = 'A')[1] AS l FROM ep_base) WHERE l IS NOT NULL UNION ALL SELECT id, 'make test', 'unknown', NULL, NULL, NULL, 'python:3.12-slim', true FROM ep WHERE edits = 0 AND ord % 8 = 3"),
     "wm_samples": f"WITH {SAMPLES} SELECT * FROM samples",
     "wm_one_per_trajectory": f"WITH {SAMPLES}, p AS (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY turn_index) - 1 AS k, count(*) OVER (PARTITION BY episode_id) AS n FROM samples) SELECT episode_id, turn_index, action FROM p WHERE k = ('0x' || substr(sha256('0:' || episode_id), 1, 8))::BIGINT % n",
     "wm_source_keys": _e("SELECT id, coalesce(nullif(repo, ''), nullif(remote_url, ''), label, 'unknown') AS source FROM ep"),
     "ood_split": "SELECT doc_id, source, CASE WHEN ('0x' || substr(sha256(source || ':0'), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.3 THEN 'holdout' ELSE 'train' END AS split FROM documents",
     "fidelity_score": f"WITH {OBSERVED} SELECT doc_id, format, factuality, consistency, realism, quality, composite, exact FROM ob",
-    "bench_grouping": f"WITH {OBSERVED} SELECT CASE WHEN grouping(domain) = 0 THEN 'domain' WHEN grouping(source) = 0 THEN 'source' ELSE 'overall' END AS level, coalesce(domain, source, '') AS name, count(*) AS n, round(avg(format), 4) AS format, round(avg(factuality), 4) AS factuality, round(avg(consistency), 4) AS consistency, round(avg(realism), 4) AS realism, round(avg(quality), 4) AS quality, round(avg(composite), 4) AS composite, round(avg(exact::INT), 4) AS exact_rate FROM ob GROUP BY GROUPING SETS ((), (domain), (source))",
-    "trajectory_scores": f"WITH {OBSERVED} SELECT source, count(*) AS n, round(avg(composite), 4) AS mean_composite, arg_max(composite, doc_id) AS final_composite, round(arg_min(composite, doc_id) - arg_max(composite, doc_id), 4) AS drift FROM ob GROUP BY source",
+    "bench_grouping": f"WITH {OBSERVED} SELECT CASE WHEN grouping(domain) = 0 THEN 'domain' WHEN grouping(source) = 0 THEN 'source' ELSE 'overall' END AS level, coalesce(domain, source, '') AS name, count(*) AS n, r4(avg(format)) AS format, r4(avg(factuality)) AS factuality, r4(avg(consistency)) AS consistency, r4(avg(realism)) AS realism, r4(avg(quality)) AS quality, r4(avg(composite)) AS composite, r4(avg(exact::INT)) AS exact_rate FROM ob GROUP BY GROUPING SETS ((), (domain), (source))",
+    "trajectory_scores": f"WITH {OBSERVED} SELECT source, count(*) AS n, r4(avg(composite)) AS mean_composite, arg_max(composite, doc_id) AS final_composite, r4(arg_min(composite, doc_id) - arg_max(composite, doc_id)) AS drift FROM ob GROUP BY source",
     "blended_scores": f"WITH {OBSERVED}, b AS (SELECT *, " + ", ".join(f"CASE WHEN doc_id % 3 = {i % 3} THEN r4(0.5::DOUBLE * {k} + 0.5::DOUBLE * ((doc_id % 10) / 10::DOUBLE)) ELSE {k} END AS b{i}" for i, k in enumerate(WEIGHTS)) + " FROM ob) SELECT doc_id, r4(0.15::DOUBLE * b0 + 0.35::DOUBLE * b1 + 0.20::DOUBLE * b2 + 0.15::DOUBLE * b3 + 0.15::DOUBLE * b4) AS composite FROM b",
     "mask_runtime": f"WITH {OBSERVED} SELECT doc_id, regexp_replace(real, '{RUNTIME_ANY}', '§RT§', 'g') AS masked FROM ob1",
     "classify_content": f"WITH {OBSERVED}, t AS (SELECT *, list_filter(regexp_split_to_array(real, '\\s+'), lambda x: x <> '') AS w FROM ob2) SELECT doc_id, (len(w) - len(list_filter(w, lambda x: regexp_matches(x, '{RUNTIME_ANY}'))))::INTEGER AS deterministic, 0 AS pre_existing, len(list_filter(w, lambda x: regexp_matches(x, '{RUNTIME_ANY}')))::INTEGER AS runtime_metadata, gl::INTEGER AS lines, len(real)::INTEGER AS chars, false AS is_json, gt AS response_type FROM t",
@@ -244,7 +244,7 @@ SQL = {
     "session_segments": _v("SELECT session_id, seq, segment::BIGINT AS segment FROM evseg"),
     "feedback_asof": _v(", starts AS (SELECT session_id, segment, min(ts) AS start FROM evseg GROUP BY session_id, segment) SELECT e.session_id, e.seq, (CASE WHEN e.seq % 9 = 0 THEN max(s.segment) ELSE coalesce(max(s.segment) FILTER (WHERE s.start <= e.ts - INTERVAL 3 HOUR), 0) END)::BIGINT AS segment FROM ev e JOIN starts s USING (session_id) WHERE e.type = 'denial' GROUP BY e.session_id, e.seq"),
     "feedback_turns": _v("SELECT session_id, turn::BIGINT AS turn, index::INTEGER AS index, prompt, edits, commands, reads, denials FROM evturns"),
-    "rendered_turns": _v("SELECT session_id, right(string_agg('[#' || index || '] USER: ' || prompt || CASE WHEN edits + commands + reads + denials > 0 THEN chr(10) || '    agent: ' || concat_ws(', ', CASE WHEN edits > 0 THEN edits || ' edit(s)' END, CASE WHEN commands > 0 THEN commands || ' command(s)' END, CASE WHEN reads > 0 THEN reads || ' read(s)' END, CASE WHEN denials > 0 THEN denials || ' denial(s)' END) ELSE '' END, chr(10) ORDER BY turn), 600) AS text FROM evturns GROUP BY session_id"),
+    "rendered_turns": _v("SELECT session_id, right(string_agg('[#' || index || '] USER: ' || prompt || CASE WHEN edits + commands + reads + denials > 0 THEN chr(10) || '    agent: ' || concat_ws(', ', CASE WHEN edits > 0 THEN edits || ' edit(s)' END, CASE WHEN commands > 0 THEN commands || ' command(s)' END, CASE WHEN reads > 0 THEN reads || ' read(s)' END, CASE WHEN denials > 0 THEN denials || ' denial(s)' END) ELSE '' END, chr(10) ORDER BY turn), 6000) AS text FROM evturns GROUP BY session_id"),
     "command_classes": _v(f"SELECT session_id, seq, framework, method, framework IS NOT NULL AS is_test, CASE WHEN method IS NOT NULL AND coalesce(exit_code, 0) <> 0 THEN false END AS verified FROM (SELECT *, CASE seq % {len(COMMANDS)} WHEN 0 THEN 'pytest' WHEN 1 THEN 'pytest' WHEN 3 THEN 'npm-test' WHEN 5 THEN 'go-test' WHEN 6 THEN 'make-test' WHEN 7 THEN 'npm-test' WHEN 14 THEN 'maven-test' END AS framework, CASE seq % {len(COMMANDS)} WHEN 8 THEN 'kubectl' WHEN 9 THEN 'wrangler' WHEN 10 THEN 'flyctl' WHEN 12 THEN 'helm' WHEN 13 THEN 'docker-push' END AS method FROM ev WHERE type = 'shell_command')"),
     "test_runs": _v(f"""SELECT session_id, seq, framework, c.p::BIGINT AS passed, c.f::BIGINT AS failed, c.s::BIGINT AS skipped, c.e::BIGINT AS errors, (c.p + c.f + c.s + c.e)::BIGINT AS total, coalesce(exit_code, 0) = 0 AND c.p + c.f + c.s + c.e > 0 AND c.f = 0 AND c.e = 0 AS ok
         FROM (SELECT *, CASE seq % {len(COMMANDS)} WHEN 0 THEN 'pytest' WHEN 1 THEN 'pytest' WHEN 3 THEN 'npm-test' WHEN 5 THEN 'go-test' WHEN 6 THEN 'make-test' WHEN 7 THEN 'npm-test' WHEN 14 THEN 'maven-test' END AS framework,
@@ -253,7 +253,7 @@ SQL = {
     "ordinal_backfill": _v(", a AS (SELECT *, row_number() OVER (PARTITION BY session_id, command ORDER BY seq) AS kk, count(*) OVER (PARTITION BY session_id, command) AS nn FROM ev WHERE type = 'shell_command'), b AS (SELECT session_id, command, seq % 3 AS code, row_number() OVER (PARTITION BY session_id, command ORDER BY seq) AS kk, count(*) OVER (PARTITION BY session_id, command) AS nn FROM ev WHERE type = 'shell_command' AND seq % 101 <> 0) SELECT a.session_id, a.seq, a.command, coalesce(a.exit_code, b.code)::INTEGER AS exit_code FROM a LEFT JOIN b ON a.session_id = b.session_id AND a.command = b.command AND a.kk = b.kk AND a.nn = b.nn"),
     "reconstructed_failures": _v(", c AS (SELECT *, seq % 4 = 1 AS bad FROM ev WHERE type = 'shell_command'), q AS (SELECT session_id, command, count(*) AS n, count_if(NOT bad) AS okays, count_if(NOT bad OR seq % 29 = 0) AS posts FROM c GROUP BY ALL) SELECT c.session_id, c.seq * 2 AS seq, c.command, 1 AS exit_code, c.output FROM c JOIN q ON c.session_id = q.session_id AND c.command = q.command WHERE bad AND posts = okays"),
     "merged_feedback": _v(", f AS (SELECT session_id, seq AS ord, 'label' || (k % 4) AS label, CASE WHEN k % 5 <> 0 THEN k % 3 END AS evidence_step_index, CASE source_type WHEN 'signup' THEN 0 ELSE 1 END AS p FROM ev WHERE source_type IN ('signup', 'error')) SELECT session_id, ord, label, evidence_step_index::INTEGER AS evidence_step_index FROM (SELECT *, row_number() OVER (PARTITION BY session_id, label, evidence_step_index ORDER BY p, ord) AS rn FROM f) WHERE p = 0 OR rn = 1"),
-    "resolved_intents": _v("SELECT session_id, coalesce(CASE WHEN session_id % 6 = 0 THEN 'task ' || session_id END, arg_min(prompt, seq) FILTER (WHERE type = 'user_prompt'), '') AS intent FROM ev GROUP BY session_id"),
+    "resolved_intents": _v("SELECT session_id, coalesce(CASE WHEN session_id % 6 = 0 THEN 'task ' || session_id END, arg_min(prompt, seq) FILTER (WHERE type = 'user_prompt'), '') AS intent, arg_min(CASE k % 3 WHEN 1 THEN '/w/app/sub' WHEN 2 THEN '/w/app' END, seq) AS cwd FROM ev GROUP BY session_id"),
     "usage_aggregate": "SELECT 's' || user_id AS session_id, coalesce(sum(floor(value)::BIGINT) FILTER (WHERE event_type = 'click'), 0)::BIGINT AS input_tokens, coalesce(sum(floor(value)::BIGINT) FILTER (WHERE event_type = 'view'), 0)::BIGINT AS output_tokens, round(coalesce(sum(value) FILTER (WHERE event_type = 'purchase'), 0), 4) AS cost_usd FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY user_id",
     "usage_merge": "WITH u AS (SELECT 's' || user_id AS session_id, coalesce(sum(floor(value)::BIGINT) FILTER (WHERE event_type = 'click'), 0)::BIGINT AS i, coalesce(sum(floor(value)::BIGINT) FILTER (WHERE event_type = 'view'), 0)::BIGINT AS o, coalesce(sum(value) FILTER (WHERE event_type = 'purchase'), 0) AS c FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY user_id) SELECT session_id, i + CASE WHEN i % 2 = 0 THEN 10 ELSE 0 END AS input_tokens, o + CASE WHEN i % 2 = 0 THEN 5 ELSE 0 END AS output_tokens, round(c + CASE WHEN i % 2 = 0 THEN 0.5::DOUBLE ELSE 0 END, 4) AS cost_usd FROM u",
     "hook_events": r"""WITH h AS (SELECT *, user_id::VARCHAR AS session_id, (['Bash', 'Edit', 'Write', 'Read', 'DeleteFile', 'Grep'])[event_id % 6 + 1] AS tool, event_type IN ('click', 'purchase') AS post, event_id % 11 = 0 AS denied, CASE WHEN event_id % 11 = 0 THEN 'Permission denied' ELSE 'ran ' || event_id END || CASE WHEN event_id % 4 = 0 THEN chr(10) || 'warn' ELSE '' END AS answer FROM events),
@@ -279,7 +279,7 @@ SQL = {
     "feedback_labels": _e("SELECT id, array_to_string(list_sort(list_filter([label, CASE WHEN regressed THEN 'regression' END, CASE prio WHEN '1' THEN 'useful' WHEN '3' THEN 'too_slow' WHEN '5' THEN 'wrong' END, CASE WHEN prio = '3' THEN 'accepted_after_edits' END], lambda x: x IS NOT NULL)), ',') AS labels FROM ep"),
     "patch_parts": "SELECT p_partkey, o.op, o.path, o.body, o.tool FROM (SELECT p_partkey, unnest([{'op': 'Add', 'path': 'a/' || trim(p_name), 'body': '+x', 'tool': 'Write'}, {'op': 'Delete', 'path': 'b', 'body': '', 'tool': 'DeleteFile'}, {'op': 'Update', 'path': 'c', 'body': '-y' || chr(10) || '+z', 'tool': 'Edit'}]) AS o FROM part)",
     "diff_files": "SELECT p_partkey, d.file, d.status, d.a AS additions, d.d AS deletions, 1 AS n_ranges FROM (SELECT p_partkey, unnest([{'file': 'f', 'status': 'modified', 'a': 2, 'd': 1}, {'file': 'g', 'status': 'added', 'a': 1, 'd': 0}]) AS d FROM part)",
-    "prompt_rows": _s("SELECT id AS episode_id, composite AS composite_reward, true AS portable, 'pytest -q' AS test_command, substr(md5(ord::VARCHAR), 1, 7) AS base_commit FROM g WHERE trusted AND NOT bad AND edits > 0 AND remote_url IS NOT NULL"),
+    "prompt_rows": _s("SELECT id AS episode_id, composite AS composite_reward, true AS portable, CASE WHEN edits > 0 THEN 'pytest -q' ELSE 'make test' END AS test_command, substr(md5(ord::VARCHAR), 1, 7) AS base_commit FROM g WHERE trusted AND NOT bad AND (edits > 0 OR ord % 8 = 3) AND remote_url IS NOT NULL"),
     "dataset_manifest": f"WITH {PAIRS} SELECT count(*) AS rows, (SELECT count(DISTINCT x) FROM (SELECT ch.id AS x FROM dpo UNION ALL SELECT re.id FROM dpo))::INTEGER AS episodes FROM dpo",
     "flat_export": _s("SELECT id, intent, agent, branch, status AS outcome_status, composite, ts AS test_pass, edits::INTEGER AS file_edits, tests_run::INTEGER AS tests_run, coalesce(list_sum(list_transform(diffs, lambda d: d.additions)), 0)::BIGINT AS additions, coalesce(list_sum(list_transform(diffs, lambda d: d.deletions)), 0)::BIGINT AS deletions FROM s6"),
     "verdict_majority": "WITH v AS (SELECT l_orderkey AS id, count(*) AS passes, count_if(l_returnflag = 'R') AS broken, avg(l_discount) AS c, count_if(l_linenumber % 2 = 1) AS odd FROM lineitem GROUP BY l_orderkey) SELECT id, passes, broken < passes // 2 + 1 AS trustworthy, CASE WHEN odd >= passes // 2 + 1 THEN 'low_coverage_tests,' ELSE '' END || 'misleading_intent' AS categories, CASE WHEN broken < passes // 2 + 1 THEN 'medium' ELSE 'high' END AS severity, round(c + 1e-9::DOUBLE, 3) AS confidence, round(greatest(broken, passes - broken) / passes::DOUBLE + 1e-9::DOUBLE, 3) AS agreement, greatest(broken, passes - broken) < passes AS escalate FROM v",
@@ -296,6 +296,31 @@ SQL = {
     "wm_messages": f"WITH {SAMPLES} SELECT episode_id, turn_index, m.place AS place, m.role AS role, md5(m.content) AS content_md5 FROM (SELECT episode_id, turn_index, unnest([{{'place': 0, 'role': 'system', 'content': '{SYSTEM}'}}, {{'place': 1, 'role': 'user', 'content': history}}, {{'place': 2, 'role': 'assistant', 'content': target_observation}}]) AS m FROM samples)",
     "built_episodes": _v(f", s AS (SELECT *, seq % {len(COMMANDS)} AS c, seq % {len(OUTPUTS)} AS o FROM ev) SELECT session_id, 'ep_' || substr(sha1(session_id::VARCHAR), 1, 12) AS id, coalesce(arg_min(prompt, seq) FILTER (WHERE type = 'user_prompt'), '') AS intent, count(*)::INTEGER AS n_steps, count_if(type = 'shell_command')::INTEGER AS n_commands, count_if(type = 'shell_command' AND c IN (0, 1, 3, 5, 6, 7, 14) AND NOT (o = 6 AND exit_code IS NULL))::INTEGER AS n_tests, count_if(type = 'shell_command' AND c IN (8, 9, 10, 12, 13))::INTEGER AS n_deployments, count(DISTINCT file_path) FILTER (WHERE type = 'file_edit')::INTEGER AS n_diffs, count_if(type IN ('file_edit', 'file_read', 'shell_command')) AS tool_calls FROM s GROUP BY session_id"),
     "target_environments": _v(f"SELECT command, m AS method, t AS target_env, count(*) AS n FROM (SELECT command, CASE seq % {len(COMMANDS)} WHEN 8 THEN 'kubectl' WHEN 9 THEN 'wrangler' WHEN 10 THEN 'flyctl' WHEN 12 THEN 'helm' WHEN 13 THEN 'docker-push' END AS m, CASE seq % {len(COMMANDS)} WHEN 9 THEN 'prod' WHEN 10 THEN 'prod' WHEN 12 THEN 'staging' ELSE 'unknown' END AS t FROM ev WHERE type = 'shell_command') WHERE m IS NOT NULL GROUP BY ALL"),
+    "built_heads": _v(f", s AS (SELECT *, seq % {len(COMMANDS)} AS c, seq % {len(OUTPUTS)} AS o, session_id % 2 = 0 AS m FROM ev) SELECT session_id, 'ep_' || substr(sha1(session_id::VARCHAR), 1, 12) AS id, CASE WHEN session_id % 4 = 0 THEN 'codex' ELSE 'unknown' END AS agent, coalesce(CASE WHEN session_id % 6 = 0 THEN 'task ' || session_id END, arg_min(prompt, seq) FILTER (WHERE type = 'user_prompt'), '') AS intent, CASE WHEN session_id % 2 = 0 THEN '2024-05-01T00:00:00' ELSE min(ts)::VARCHAR END AS created_at, CASE WHEN session_id % 2 = 0 THEN 'main' END AS branch, CASE WHEN session_id % 2 = 0 THEN 'area' || (session_id % 3) || CASE WHEN session_id % 10 = 0 THEN ',mined_feedback,useful' ELSE '' END || ',zone' ELSE '' END AS labels, 'events' AS diff_source, CASE WHEN session_id % 12 = 0 THEN 'merged' ELSE 'open' END AS status, count_if(type IN ('file_edit', 'file_read', 'shell_command')) AS tool_calls, count_if(type = 'file_read') AS file_reads, count_if(type = 'file_edit') AS file_edits, count_if(type = 'shell_command') AS shell_commands, count_if(type = 'shell_command' AND c IN (0, 1, 3, 5, 6, 7, 14) AND NOT (o = 6 AND exit_code IS NULL)) AS tests_run, count_if(source_type <> 'error') AS approvals, count_if(type = 'denial') AS denials, CASE WHEN session_id % 2 = 0 THEN session_id * 10 ELSE 0 END AS input_tokens, CASE WHEN session_id % 2 = 0 THEN session_id ELSE 0 END AS output_tokens, CASE WHEN session_id % 2 = 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS cost_usd FROM s GROUP BY session_id"),
+    "built_steps": _v("SELECT e.session_id, index::INTEGER AS index, e.type, CASE e.type WHEN 'file_edit' THEN 'Edit' WHEN 'file_read' THEN 'Read' WHEN 'user_prompt' THEN NULL ELSE 'Bash' END AS tool, CASE WHEN e.type = 'denial' THEN 'denied Bash' ELSE replace(s.intent, ' src/', ' /w/app/src/') END AS intent, CASE WHEN e.type = 'user_prompt' THEN '{\"prompt\":\"' || e.prompt || '\"}' WHEN e.type = 'shell_command' THEN '{\"command\":\"' || replace(e.command, '\"', '\\\"') || '\"}' WHEN e.type = 'denial' THEN '{}' ELSE '{\"file_path\":\"/w/app/' || e.file_path || '\"}' END AS input, coalesce(nullif(e.output, ''), e.prompt, '') AS observation, e.source_type <> 'error' AS approved, CASE k % 3 WHEN 1 THEN '/w/app/sub' WHEN 2 THEN '/w/app' END AS cwd FROM ev e JOIN evsteps s ON e.session_id = s.session_id AND e.seq = s.seq"),
+    "built_commands": _v(f"SELECT session_id, (row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1)::INTEGER AS place, command, CASE k % 3 WHEN 1 THEN '/w/app/sub' WHEN 2 THEN '/w/app' END AS cwd, exit_code::INTEGER AS exit_code, output AS output_excerpt, seq % {len(COMMANDS)} IN (0, 1, 3, 5, 6, 7, 14) AS is_test, false AS reconstructed FROM ev WHERE type = 'shell_command'"),
+    "built_files": _v(", d AS (SELECT session_id, arg_min(CASE k % 3 WHEN 1 THEN '/w/app/sub' WHEN 2 THEN '/w/app' END, seq) AS folder FROM ev GROUP BY session_id), p AS (SELECT ev.session_id, '/w/app/' || file_path AS f, CASE WHEN ev.session_id % 8 = 0 THEN '/w/app/src' ELSE folder END AS base FROM ev JOIN d ON d.session_id = ev.session_id WHERE type = 'file_edit') SELECT DISTINCT session_id, CASE WHEN base IS NOT NULL AND starts_with(f, base || '/') THEN substr(f, len(base) + 2) ELSE f END AS file, 'modified' AS status, 0::BIGINT AS additions FROM p"),
+    "session_listing": "SELECT user_id AS session_id, count(*) AS n_events, user_id % 2 = 0 AS has_meta FROM events GROUP BY user_id",
+    "meta_patches": _v("SELECT session_id, 'k' || (seq % 3) AS key, arg_max(k::VARCHAR, seq) AS value FROM ev GROUP BY ALL"),
+    "index_fallback": _s("SELECT id, created_at, agent, status AS outcome, composite AS composite_reward FROM s6"),
+    "renormalised_episodes": _v("SELECT session_id, 'ep_' || substr(sha1(session_id::VARCHAR), 1, 12) AS id, CASE WHEN session_id % 5 > 0 THEN 1 ELSE 0 END AS version, count(*)::INTEGER AS n_steps FROM ev GROUP BY session_id"),
+    "command_folders": _e("SELECT id, CASE ord % 8 WHEN 3 THEN '/w/app' WHEN 5 THEN '/w' END AS cwd FROM ep"),
+    "low_trust_list": _s("SELECT id, 'high' AS severity, array_to_string(categories, ',') AS categories, array_to_string(list_transform(flags, lambda f: f.code), ',') AS codes FROM v WHERE trust = 'low' ORDER BY id LIMIT 15"),
+    "culprit_order": _e("SELECT (ord % 50)::VARCHAR AS sha, sum(ord % 13 + 1)::BIGINT AS blamed_lines FROM ep WHERE ord % 4 = 1 GROUP BY ALL"),
+    "limited_rows": "SELECT p_partkey, p_size FROM part ORDER BY p_size, p_partkey LIMIT 50",
+    "linked_outcomes": _e("SELECT id, CASE WHEN NOT pr THEN 'open' WHEN ord % 2 = 0 THEN 'merged' WHEN pr_state = 'CLOSED' THEN 'abandoned' ELSE 'open' END AS status, pr AND ord % 2 = 0 AS merged, CASE WHEN pr THEN 'h' ELSE substr(commit_id, 1, 7) END AS commit, CASE WHEN pr THEN 'topic' ELSE branch END AS branch, CASE WHEN pr THEN 'm' END AS merge_commit, CASE WHEN pr THEN pr_state END AS pr_state, CASE WHEN pr THEN CASE ord % 4 WHEN 1 THEN 'success' WHEN 2 THEN 'failure' END END AS ci_status, NULL::VARCHAR AS review_decision, CASE WHEN pr THEN ord END AS pr_number, ord % 5 = 0 AND ord % 2 > 0 AS manual_edits_after_agent, ord % 5 = 0 AND ord % 4 > 0 AS reverted FROM (SELECT * REPLACE (CASE WHEN ord % 3 > 0 AND ord % 31 > 0 THEN pr_state END AS pr_state), ord % 3 > 0 AND ord % 31 > 0 AS pr FROM ep)"),
+    "pipeline_sft": _s(f", {LINES.format(rows='g WHERE composite >= 0.5 AND NOT bad')}, texts AS (SELECT g.id, any_value(g.intent) AS intent, any_value(g.composite) AS c, 'USER: ' || any_value(g.intent) || coalesce(string_agg(chr(10) || line || chr(10) || 'OBS: ' || left(observation, 200), '' ORDER BY index), '') AS t FROM g LEFT JOIN lines_ ON g.id = lines_.id WHERE g.composite >= 0.5 AND NOT g.bad GROUP BY g.id) SELECT id AS episode_id, intent AS prompt, md5(t) AS answer_md5, c AS reward FROM texts"),
+    "reward_pairs": _s("SELECT intent AS prompt, composite AS target FROM s6 WHERE intent <> ''"),
+    "minted_sft": _e("SELECT id, md5(intent || chr(10) || chr(10) || 'Answer with a unified diff in a ```diff block.') AS user_md5, md5('```diff' || chr(10) || coalesce(array_to_string(list_transform(list_filter(diffs, lambda d: d.todo IS NOT NULL), lambda d: '+++ b/x' || chr(10) || '+# ' || replace(d.todo, 'TODO', 'TODO:') || chr(10) || '-old' || chr(10)), ''), '') || '```') AS assistant_md5 FROM ep"),
+    "run_summary": "SELECT count(*) AS steps, count_if(event_type = 'click') AS updates, round(avg(value) FILTER (WHERE event_id % 3 <> 0), 6) AS mean_reward, round(avg((event_id % 10) / 10.0::DOUBLE), 6) AS clip_fraction FROM events",
+    "response_texts": "SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'out ' || event_id || chr(10) || 'bad' WHEN 1 THEN 'a' || chr(10) || 'b' || event_id || chr(10) || 'c' || chr(10) || '7' || chr(10) WHEN 2 THEN 'said ' || event_id WHEN 3 THEN '{\"count\": ' || event_id || '}' WHEN 4 THEN '' WHEN 5 THEN 'plain ' || event_id WHEN 6 THEN 'm' ELSE repeat('x', 6000) || chr(10) || '... [truncated 10 chars]' END AS text FROM events",
+    "relative_commands": _v("SELECT session_id, seq, 'cd ./src && ls .; cat /w/a.bc/' || seq AS command FROM ev WHERE type = 'shell_command'"),
+    "first_prompts": "SELECT conv_id, coalesce(arg_min(text, turn) FILTER (WHERE role = 'user'), arg_min(text, turn), '') AS prompt FROM conversations GROUP BY conv_id",
+    "terminal_rewards": "SELECT o_orderkey, (o_orderkey % 5)::INTEGER AS n, CASE WHEN o_orderkey % 5 = 0 THEN 0.0::DOUBLE ELSE o_totalprice END AS last, CASE WHEN o_orderkey % 5 = 0 THEN 0.0::DOUBLE ELSE o_totalprice END AS total FROM orders",
+    "verdict_scores": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN least(1.0::DOUBLE, event_id % 30 / 10.0::DOUBLE) WHEN 1 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score FROM events",
+    "fenced_diffs": "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '+' || p_name || chr(10) WHEN 1 THEN 'diff --git a b' || chr(10) || '+' || p_name || chr(10) WHEN 2 THEN p_name || chr(10) ELSE p_name END AS diff FROM part",
+    "refreshed_verdicts": _s("SELECT id, CASE WHEN ord % 6 = 0 THEN 'low' ELSE trust END AS trust FROM v"),
+    "refreshed_outcomes": _e("SELECT id, 'merged' AS status, true AS merged, regressed AS caused_regression, ord % 2 = 0 AS manual_edits_after_agent, 'r' AS commits FROM ep"),
     "first_json_objects": "SELECT event_id, props AS object FROM events",
 }
 

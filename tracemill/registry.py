@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracemill import schema
 from tracemill.functions import commands, fidelity, hashing, score, summary
-from tracemill.operators import analytics, datasets, review, rollouts, sessions, worldmodel
+from tracemill.operators import analytics, datasets, library, review, rollouts, sessions, worldmodel
 from tracemill.sources import logs, sinks, store, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,9 +27,17 @@ def rewarded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.with_reward(e.withColumn("deployments", score.verified_deployments()))
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """And with validity; materialised, as their predicates read scores."""
-    return store.materialised(score.with_validity(rewarded(spark, sf_dir)))
+HEAVY = ("steps", "diffs", "tests", "commands", "deployments", "repo_state")
+
+
+def narrow(e: DataFrame, *keep: str) -> DataFrame:
+    """Written without the parts of episodes that hold texts, but for those named; read back, as predicates read scores."""
+    return store.materialised(e.drop(*(c for c in HEAVY if c not in keep)))
+
+
+def scored(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    """And with validity: the scores and what is short; ``keep`` names parts that the query reads besides."""
+    return narrow(score.with_validity(rewarded(spark, sf_dir)), *keep)
 
 
 def conversation_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,12 +115,12 @@ def good_and_bad(spark, sf_dir):
 
 @query
 def quality_filter(spark, sf_dir):
-    return store.materialised(rewarded(spark, sf_dir)).where(score.quality_kept()).select("id", F.col("reward_vector.composite").alias("composite"))
+    return narrow(rewarded(spark, sf_dir)).where(score.quality_kept()).select("id", F.col("reward_vector.composite").alias("composite"))
 
 
 @query
 def quality_stats(spark, sf_dir):
-    return analytics.quality_stats(store.materialised(rewarded(spark, sf_dir)))
+    return analytics.quality_stats(narrow(rewarded(spark, sf_dir)))
 
 
 @query
@@ -163,7 +171,7 @@ def dpo_pairs_strict(spark, sf_dir):
 @query
 def dpo_texts(spark, sf_dir):
     e = scored(spark, sf_dir)
-    p = datasets.with_trajectories(datasets.dpo_pairs(e), e)
+    p = datasets.with_trajectories(datasets.dpo_pairs(e), tables.episodes(spark, sf_dir))
     return p.select("chosen_id", "rejected_id", "prompt", F.md5("chosen").alias("chosen_md5"), F.md5("rejected").alias("rejected_md5"))
 
 
@@ -184,7 +192,7 @@ def reward_rows(spark, sf_dir):
 
 @query
 def sft_segments(spark, sf_dir):
-    return datasets.sft_segments(scored(spark, sf_dir), budget=120)
+    return datasets.sft_segments(scored(spark, sf_dir, "steps"))
 
 
 @query
@@ -222,7 +230,7 @@ def unique_prompts(spark, sf_dir):
 
 @query
 def task_eligibility(spark, sf_dir):
-    return scored(spark, sf_dir).select("id", datasets.skip_reason().alias("skip"), datasets.skip_reason(True).alias("skip_remote"))
+    return scored(spark, sf_dir, "tests", "commands", "repo_state").select("id", datasets.skip_reason().alias("skip"), datasets.skip_reason(True).alias("skip_remote"))
 
 
 @query
@@ -246,7 +254,7 @@ def summary_text(spark, sf_dir):
 # world model
 
 
-def turn_samples(spark, sf_dir, budget: int = 900) -> DataFrame:
+def turn_samples(spark, sf_dir, budget: int = 4000) -> DataFrame:
     s = conversation_steps(spark, sf_dir)
     return worldmodel.samples(s, F.concat(F.coalesce("tool", "type"), F.lit(": "), F.substring("observation", 1, 200)), budget)
 
@@ -280,7 +288,7 @@ def ood_split(spark, sf_dir):
 def observations(spark, sf_dir) -> DataFrame:
     """Documents as real observations; a prediction is a bent copy of one."""
     d = tables.table(spark, sf_dir, "documents")
-    real = F.concat(F.when(F.col("doc_id") % 5 == 0, "2024-01-02 03:04:05 pid=77 took 12ms ").when(F.col("doc_id") % 7 == 0, "error: not found ").otherwise(""), F.substring("text", 1, 300))
+    real = F.concat(F.when(F.col("doc_id") % 5 == 0, "2024-01-02 03:04:05 pid=77 took 12ms ").when(F.col("doc_id") % 7 == 0, "error: not found ").otherwise(""), F.col("text"))
     fake = F.when(F.col("doc_id") % 4 == 0, real).when(F.col("doc_id") % 4 == 1, F.substring(real, 1, 150)).when(F.col("doc_id") % 4 == 2, "").otherwise(F.concat(F.lit("2024-09-09 09:09:09 "), F.substring(real, 20, 200), F.lit("\nmore")))
     return d.select("doc_id", F.col("source"), F.col("lang").alias("domain"), real.alias("real"), fake.alias("fake"))
 
@@ -299,7 +307,7 @@ def bench_grouping(spark, sf_dir):
 def trajectory_scores(spark, sf_dir):
     """Mean, last value and drift of a source's scores in the order of documents."""
     s = fidelity.scored(observations(spark, sf_dir), "fake", "real").select("source", "doc_id", F.col("score.composite").alias("c"))
-    return s.groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg("c"), 4).alias("mean_composite"), F.max_by("c", "doc_id").alias("final_composite"), F.round(F.min_by("c", "doc_id") - F.max_by("c", "doc_id"), 4).alias("drift"))
+    return s.groupBy("source").agg(F.count("*").alias("n"), score.r4(F.avg("c")).alias("mean_composite"), F.max_by("c", "doc_id").alias("final_composite"), score.r4(F.min_by("c", "doc_id") - F.max_by("c", "doc_id")).alias("drift"))
 
 
 @query
@@ -379,7 +387,7 @@ def feedback_turns(spark, sf_dir):
 
 @query
 def rendered_turns(spark, sf_dir):
-    return sessions.rendered_turns(sessions.turns(sessions.steps(tables.session_events(spark, sf_dir))), budget=600)
+    return sessions.rendered_turns(sessions.turns(sessions.steps(tables.session_events(spark, sf_dir))))
 
 
 @query
@@ -427,7 +435,7 @@ def merged_feedback(spark, sf_dir):
 
 @query
 def resolved_intents(spark, sf_dir):
-    ev = tables.session_events(spark, sf_dir)
+    ev = tables.hooked_events(spark, sf_dir)
     meta = ev.where("session_id % 3 = 0").select("session_id").distinct().withColumn("intent", F.when(F.col("session_id") % 2 == 0, F.concat(F.lit("task "), F.col("session_id").cast("string"))).otherwise(""))
     return sessions.resolved(ev, meta)
 
@@ -506,13 +514,13 @@ def ranked_holdout(spark, sf_dir):
 
 @query
 def promote_decision(spark, sf_dir):
-    e = store.materialised(rewarded(spark, sf_dir)).where(hashing.held_out(F.col("id")))
+    e = narrow(rewarded(spark, sf_dir)).where(hashing.held_out(F.col("id")))
     return analytics.promotion(e.select(F.when(F.col("ord") % 7 != 0, F.col("reward_vector.composite")).alias("candidate"), F.col("reward_vector.rubric").alias("base")))
 
 
 @query
 def correlate(spark, sf_dir):
-    e = store.materialised(rewarded(spark, sf_dir))
+    e = narrow(rewarded(spark, sf_dir))
     a = e.select("id", F.when(F.col("ord") % 11 != 0, F.col("reward_vector.edit_focus")).alias("x"))
     return analytics.correlate(a, e.where("ord % 5 <> 0").select("id", F.col("reward_vector.composite").alias("y")))
 
@@ -530,7 +538,7 @@ def stratified_split(spark, sf_dir):
 
 @query
 def lift_rollup(spark, sf_dir):
-    e = store.materialised(rewarded(spark, sf_dir))
+    e = narrow(rewarded(spark, sf_dir))
     return analytics.lift(e.select(F.col("outcome.status").alias("class"), (F.col("reward_vector.rubric") >= 0.6).alias("base"), (F.col("reward_vector.composite") >= 0.5).alias("tuned")))
 
 
@@ -633,12 +641,12 @@ def first_json_objects(spark, sf_dir):
 
 @query
 def task_bundles(spark, sf_dir):
-    return sinks.task_files(scored(spark, sf_dir)).select("path", F.md5("content").alias("content_md5"))
+    return sinks.task_files(scored(spark, sf_dir, "diffs", "tests", "commands", "repo_state")).select("path", F.md5("content").alias("content_md5"))
 
 
 @query
 def prompt_rows(spark, sf_dir):
-    return sinks.prompt_rows(scored(spark, sf_dir)).select("episode_id", "composite_reward", "portable", F.get_json_object("label", "$.test_command").alias("test_command"), F.get_json_object("label", "$.base_commit").alias("base_commit"))
+    return sinks.prompt_rows(scored(spark, sf_dir, "tests", "commands", "repo_state")).select("episode_id", "composite_reward", "portable", F.get_json_object("label", "$.test_command").alias("test_command"), F.get_json_object("label", "$.base_commit").alias("base_commit"))
 
 
 @query
@@ -719,3 +727,237 @@ def applied_regressions(spark, sf_dir):
 def turn_notices(spark, sf_dir):
     ev = tables.table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "signup", "turn-start").when(F.col("event_type") == "error", "turn-complete").otherwise("other").alias("kind"), F.when(F.col("event_id") % 2 == 0, "go").alias("prompt"))
     return review.notifications(ev)
+
+
+# the store, links, reports
+
+
+def built_hooked(spark, sf_dir) -> DataFrame:
+    return sessions.built(tables.hooked_events(spark, sf_dir), tables.session_meta(spark, sf_dir))
+
+
+@query
+def built_heads(spark, sf_dir):
+    """What an episode takes of its session's meta data, and its counts."""
+    b = built_hooked(spark, sf_dir)
+    return b.select("session_id", "id", "agent", "intent", "created_at", F.col("repo_state.branch").alias("branch"), F.array_join("labels", ",").alias("labels"), "diff_source", F.col("outcome.status").alias("status"), *(F.col(f"stats.{k}").alias(k) for k in ("tool_calls", "file_reads", "file_edits", "shell_commands", "tests_run", "approvals", "denials", "input_tokens", "output_tokens", "cost_usd")))
+
+
+@query
+def built_steps(spark, sf_dir):
+    """The steps of sessions' episodes with all they hold."""
+    s = built_hooked(spark, sf_dir).select("session_id", F.explode("steps").alias("s"))
+    return s.select("session_id", *(F.col(f"s.{k}").alias(k) for k in ("index", "type", "tool", "intent", "input", "observation", "approved", "cwd")))
+
+
+@query
+def built_commands(spark, sf_dir):
+    """Commands with folder and excerpt, relative to the repository."""
+    c = built_hooked(spark, sf_dir).select("session_id", F.posexplode("commands").alias("place", "c"))
+    return c.select("session_id", "place", *(F.col(f"c.{k}").alias(k) for k in ("command", "cwd", "exit_code", "output_excerpt", "is_test", "reconstructed")))
+
+
+@query
+def built_files(spark, sf_dir):
+    """Changed files relative to the repository, else to the session's folder."""
+    return built_hooked(spark, sf_dir).select("session_id", F.explode("diffs").alias("d")).select("session_id", "d.file", "d.status", "d.additions")
+
+
+@query
+def session_rewards(spark, sf_dir):
+    """E1/R5/Q5 on captured sessions."""
+    e = store.materialised(sessions.with_scores(built_hooked(spark, sf_dir)))
+    return e.select("id", F.col("reward_vector.composite").alias("composite"), F.col("reward_vector.test_pass").alias("test_pass"), F.col("reward_vector.rubric").alias("rubric"), "validity.trust", F.array_join("labels", ",").alias("labels"))
+
+
+@query
+def session_sft(spark, sf_dir):
+    """E8 on captured sessions."""
+    return datasets.sft_segments(store.materialised(sessions.with_scores(built_hooked(spark, sf_dir))))
+
+
+@query
+def session_summaries(spark, sf_dir):
+    """U1 on captured sessions."""
+    s = summary.summarised(built_hooked(spark, sf_dir))
+    return s.select("episode_id", F.array_join("what_changed", "; ").alias("what_changed"), "suggested_pr_title")
+
+
+@query
+def session_listing(spark, sf_dir):
+    return library.listed(tables.hooked_events(spark, sf_dir), tables.session_meta(spark, sf_dir))
+
+
+@query
+def meta_patches(spark, sf_dir):
+    ev = tables.session_events(spark, sf_dir)
+    patch = F.concat(F.lit('{"k'), (F.col("seq") % 3).cast("string"), F.lit('": "'), F.col("k").cast("string"), F.lit('"}'))
+    return library.merged_meta(ev.select("session_id", F.col("seq").alias("ord"), patch.alias("patch")))
+
+
+@query
+def index_fallback(spark, sf_dir):
+    """SRC7: an index without rows is made up for by the episodes."""
+    e = rewarded(spark, sf_dir)
+    return library.listing(datasets.index_rows(e).where("id is null"), e).select("id", "created_at", "agent", "outcome", "composite_reward")
+
+
+@query
+def renormalised_episodes(spark, sf_dir):
+    """Rebuilt sessions in place of older versions; those that the rebuild lacks stay."""
+    ev = tables.hooked_events(spark, sf_dir)
+    old = sessions.with_scores(sessions.built(ev.where("session_id % 5 < 2"))).withColumn("version", F.lit(0))
+    r = library.renormalised(ev.where("session_id % 5 > 0"), tables.session_meta(spark, sf_dir), old)
+    return r.select("session_id", "id", "version", F.size("steps").alias("n_steps"))
+
+
+@query
+def validity_prompts(spark, sf_dir):
+    return rewarded(spark, sf_dir).select("id", library.validity_prompt().alias("prompt"))
+
+
+@query
+def command_folders(spark, sf_dir):
+    return tables.episodes(spark, sf_dir).select("id", library.command_cwd(F.lit("make test")).alias("cwd"))
+
+
+@query
+def low_trust_list(spark, sf_dir):
+    return library.low_trust(scored(spark, sf_dir))
+
+
+@query
+def culprit_order(spark, sf_dir):
+    e = tables.episodes(spark, sf_dir)
+    return library.ranked_culprits(e.where("ord % 4 = 1").select((F.col("ord") % 50).cast("string").alias("sha"), F.lit("x").alias("path"), (F.col("ord") % 13 + 1).alias("blamed_lines")))
+
+
+@query
+def limited_rows(spark, sf_dir):
+    return library.limited(tables.table(spark, sf_dir, "part").select("p_partkey", "p_size"), 50, "p_size", "p_partkey")
+
+
+@query
+def linked_outcomes(spark, sf_dir):
+    """SRC23/O3: pull requests out of JSON snapshots; a third of the episodes has none."""
+    e = tables.episodes(spark, sf_dir)
+    checks = F.when(F.col("ord") % 4 == 1, F.array(F.struct(F.lit("").alias("conclusion"), F.lit("SUCCESS").alias("state")))).when(F.col("ord") % 4 == 2, F.array(F.struct(F.lit("FAILURE").alias("conclusion"), F.lit("x").alias("state")))).otherwise(F.array().cast("array<struct<conclusion:string,state:string>>"))
+    snap = F.struct(F.col("outcome.pr_state").alias("state"), F.when(F.col("ord") % 2 == 0, "2024-01-01").alias("mergedAt"), F.col("ord").alias("number"), F.lit("u").alias("url"), F.lit("topic").alias("headRefName"), F.lit("h").alias("headRefOid"), F.struct(F.lit("m").alias("oid")).alias("mergeCommit"), checks.alias("statusCheckRollup"))
+    rows = e.where("ord % 3 > 0").select("id", F.when(F.col("ord") % 31 == 0, "not json").otherwise(F.to_json(snap)).alias("snapshot"))
+    history = e.where("ord % 5 = 0").select("id", (F.col("ord") % 2).alias("commits_after"), (F.col("ord") % 4).alias("reverts"))
+    return library.linked(e, library.snapshots(rows), history)
+
+
+@query
+def pipeline_sft(spark, sf_dir):
+    r = library.pipeline_sft(narrow(rewarded(spark, sf_dir), "steps"))
+    return r.select("episode_id", F.col("messages")[0]["content"].alias("prompt"), F.md5(F.col("messages")[1]["content"]).alias("answer_md5"), "reward")
+
+
+@query
+def reward_pairs(spark, sf_dir):
+    return library.reward_pairs(datasets.reward_rows(rewarded(spark, sf_dir)))
+
+
+@query
+def minted_sft(spark, sf_dir):
+    return library.minted_sft(tables.episodes(spark, sf_dir)).select("id", F.md5("user").alias("user_md5"), F.md5("assistant").alias("assistant_md5"))
+
+
+@query
+def stage_files(spark, sf_dir):
+    """SNK15: the six outputs written, with how many rows each has."""
+    e = store.materialised(score.with_validity(rewarded(spark, sf_dir)))
+    paths = library.write_stages(e, f"{store.shared_folder(spark)}/stages-{uuid.uuid4().hex}")
+    rows = None
+    for name, path in paths.items():
+        n = spark.read.text(path).agg(F.count("*").alias("rows")).select(F.lit(name).alias("stage"), "rows")
+        rows = n if rows is None else rows.union(n)
+    return rows
+
+
+@query
+def rollout_turing(spark, sf_dir):
+    s = turn_samples(spark, sf_dir).select("episode_id", F.col("index").alias("turn_index"), "intent", "action", "target_observation")
+    return library.turing_of_rollouts(rollouts.rollout(s, rollouts.named("prefix"), max_turns=5))
+
+
+@query
+def wm_report(spark, sf_dir):
+    s = turn_samples(spark, sf_dir).select("episode_id", F.col("index").alias("turn_index"), "intent", "action", "target_observation")
+    return library.report(store.materialised(s, "samples"))
+
+
+@query
+def run_summary(spark, sf_dir):
+    ev = tables.table(spark, sf_dir, "events")
+    r = library.run_summary(ev.select(F.col("event_id").alias("step"), F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("reward_mean"), ((F.col("event_id") % 10) / 10).alias("clip_fraction"), (F.col("event_type") == "click").alias("updated")))
+    return r.select("steps", "updates", F.round("mean_reward", 6).alias("mean_reward"), F.round("clip_fraction", 6).alias("clip_fraction"))
+
+
+# small functions
+
+
+@query
+def response_texts(spark, sf_dir):
+    """Answers as plain text, objects, lists and texts too long."""
+    k = F.col("event_id")
+    n = k.cast("string")
+    raw = F.when(k % 8 == 0, F.concat(F.lit('{"stdout": {"a": 1}, "output": "out '), n, F.lit('", "stderr": "bad"}'))).when(k % 8 == 1, F.concat(F.lit('["a", {"text": "b'), n, F.lit('"}, ["c", 7], null]'))).when(k % 8 == 2, F.concat(F.lit('"said '), n, F.lit('"'))).when(k % 8 == 3, F.concat(F.lit('{"count": '), n, F.lit("}"))).when(k % 8 == 4, F.lit("null")).when(k % 8 == 5, F.concat(F.lit("plain "), n)).when(k % 8 == 6, F.concat(F.lit('{"stdout": 5, "message": "m", "stderr": " "}'))).otherwise(F.to_json(F.struct(F.repeat(F.lit("x"), 6010).alias("result"))))
+    return tables.table(spark, sf_dir, "events").select("event_id", logs.response_text(raw).alias("text"))
+
+
+@query
+def relative_commands(spark, sf_dir):
+    """N7."""
+    s = tables.session_events(spark, sf_dir).where("type = 'shell_command'")
+    c = F.concat(F.lit("cd /w/a.b/src && ls /w/a.b; cat /w/a.bc/"), F.col("seq").cast("string"))
+    return s.select("session_id", "seq", commands.relativize(c, F.lit("/w/a.b/")).alias("command"))
+
+
+@query
+def first_prompts(spark, sf_dir):
+    """P20."""
+    c = tables.table(spark, sf_dir, "conversations")
+    m = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("m"))
+    return m.select("conv_id", review.first_prompt(F.col("m")).alias("prompt"))
+
+
+@query
+def terminal_rewards(spark, sf_dir):
+    """W11."""
+    r = tables.table(spark, sf_dir, "orders").select("o_orderkey", review.terminal_rewards(F.col("o_totalprice"), (F.col("o_orderkey") % 5).cast("int")).alias("r"))
+    return r.select("o_orderkey", F.size("r").alias("n"), F.coalesce(F.try_element_at("r", F.lit(-1)), F.lit(0.0)).alias("last"), F.aggregate("r", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query
+def verdict_scores(spark, sf_dir):
+    """C30/C32."""
+    k = F.col("event_id")
+    answer = F.concat(F.lit("fine.\n"), F.when(k % 4 == 0, F.concat(F.lit("Score: "), (k % 30 / 10).cast("string"))).when(k % 4 == 1, "SCORE:.5").when(k % 4 == 2, "score: none").otherwise(""))
+    return tables.table(spark, sf_dir, "events").select("event_id", review.verdict_score(answer).alias("score"))
+
+
+@query
+def fenced_diffs(spark, sf_dir):
+    """C33."""
+    k = F.col("p_partkey")
+    n = F.col("p_name")
+    answer = F.when(k % 4 == 0, F.concat(F.lit("so:\n```diff\n+"), n, F.lit("\n```\nand\n```diff\n-x\n```"))).when(k % 4 == 1, F.concat(F.lit("```\ndiff --git a b\n+"), n, F.lit("\n```"))).when(k % 4 == 2, F.concat(F.lit("```patch\n"), n, F.lit("\n```"))).otherwise(n)
+    return tables.table(spark, sf_dir, "part").select("p_partkey", review.fenced_diff(answer).alias("diff"))
+
+
+@query
+def refreshed_verdicts(spark, sf_dir):
+    """Q6: a model's downgrade outlasts the rules."""
+    e = scored(spark, sf_dir)
+    prior = F.struct(F.lit("high").alias("trust"), F.when(F.col("ord") % 6 == 0, False).when(F.col("ord") % 6 == 1, True).alias("llm_trustworthy"))
+    return e.select("id", review.refreshed_validity(prior, F.col("validity")).alias("trust"))
+
+
+@query
+def refreshed_outcomes(spark, sf_dir):
+    """O2."""
+    e = tables.episodes(spark, sf_dir).withColumn("outcome", F.col("outcome").withField("regression_commits", F.array(F.lit("r"))).withField("manual_edits_after_agent", F.col("ord") % 2 == 0).withField("reverted", F.lit(False)))
+    new = F.struct(F.lit("merged").alias("status"), F.lit(True).alias("merged"))
+    return e.select("id", review.refreshed_outcome(F.col("outcome"), new).alias("o")).select("id", "o.status", "o.merged", "o.caused_regression", "o.manual_edits_after_agent", F.array_join("o.regression_commits", ",").alias("commits"))

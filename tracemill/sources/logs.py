@@ -27,13 +27,34 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 DENIED = r"(?i)permission denied|user denied|operation not permitted|request was rejected|tool use was rejected"
 
 
+STRINGS = "stdout output content result text message".split()
+
+
+def _is_text(v: Column) -> Column:
+    return F.schema_of_variant(v) == "STRING"
+
+
+def _first_text(v: Column, keys) -> Column:
+    """Of a variant's fields, the first that holds a text."""
+    return F.coalesce(*(F.when(_is_text(F.try_variant_get(v, f"$.{k}", "variant")), F.try_variant_get(v, f"$.{k}", "string")) for k in keys))
+
+
+def _spoken(v: Column, depth: int) -> Column:
+    """A variant as text: texts themselves, objects by their first text field and error output, lists line by line."""
+    kind = F.schema_of_variant(v)
+    first, err = _first_text(v, STRINGS), _first_text(v, ["stderr"])
+    said = F.when(F.regexp_replace(F.coalesce(err, F.lit("")), r"(?U)\s+", "") != "", F.concat(first, F.lit("\n"), err)).otherwise(first)
+    out = F.when(v.isNull() | (kind == "VOID"), F.lit("")).when(kind == "STRING", F.try_variant_get(v, "$", "string")).when(kind == "BOOLEAN", F.initcap(F.try_variant_get(v, "$", "string"))).when(kind.startswith("OBJECT") & first.isNotNull(), said)
+    if depth:
+        out = out.when(kind.startswith("ARRAY"), F.array_join(F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: _spoken(x, depth - 1)), "\n"))
+    return out.otherwise(F.to_json(v))
+
+
 def response_text(raw: Column) -> Column:
-    """A tool's answer as text: the first text field of an object with its error output; long ones cut with a note."""
-    get = lambda k: F.when(F.get_json_object(raw, f"$.{k}").isNotNull(), F.get_json_object(raw, f"$.{k}"))
-    first = F.coalesce(*(get(k) for k in "stdout output content result text message".split()))
-    err = F.get_json_object(raw, "$.stderr")
-    obj = F.coalesce(F.when(F.trim(F.coalesce(err, F.lit(""))) != "", F.concat(first, F.lit("\n"), err)).otherwise(first), raw)
-    whole = F.when(raw.isNull() | (raw == "null"), "").when(raw.startswith("{"), obj).when(raw.startswith('"'), F.get_json_object(F.concat(F.lit('{"x":'), raw, F.lit("}")), "$.x")).otherwise(raw)
+    """A tool's answer, given as JSON, as text: of an object the first field that is a text, with its error output; a
+    list line by line (lists within a list of lists as JSON); what isn't JSON as it is. Long ones are cut with a note."""
+    v = F.try_parse_json(raw)
+    whole = F.when(raw.isNull(), "").when(v.isNull(), raw).when(raw.startswith("{") & _first_text(v, STRINGS).isNull(), raw).otherwise(_spoken(v, 2))
     return F.when(F.length(whole) > 6000, F.concat(F.substring(whole, 1, 6000), F.lit("\n... [truncated "), (F.length(whole) - 6000).cast("string"), F.lit(" chars]"))).otherwise(whole)
 
 
@@ -44,21 +65,21 @@ def exit_code(raw: Column) -> Column:
 
 
 def file_path(tool_input: Column) -> Column:
-    """N5."""
-    return F.coalesce(*(F.get_json_object(tool_input, f"$.{k}") for k in "file_path notebook_path path filePath".split()))
+    """The first of four fields that is a text."""
+    return _first_text(F.try_parse_json(tool_input), "file_path notebook_path path filePath".split())
 
 
 def events_of_hooks(payloads: DataFrame) -> DataFrame:
     """SRC8/N1/N2: ``payloads(payload, seq)`` of JSON as session events."""
     get = lambda k: F.get_json_object("payload", f"$.{k}")
-    p = payloads.select("seq", F.coalesce(F.nullif(get("session_id"), F.lit("")), F.lit("unknown-session")).alias("session_id"), F.coalesce(get("hook_event_name"), get("hook"), F.lit("")).alias("hook"), get("cwd").alias("cwd"), get("ts").alias("ts"), get("prompt").alias("prompt"), get("tool_name").alias("tool_name"), get("tool_input").alias("tool_input"), get("tool_response").alias("raw"))
+    p = payloads.select("seq", F.coalesce(F.nullif(get("session_id"), F.lit("")), F.lit("unknown-session")).alias("session_id"), F.coalesce(get("hook_event_name"), get("hook"), F.lit("")).alias("hook"), get("cwd").alias("cwd"), get("ts").alias("ts"), get("prompt").alias("prompt"), get("tool_name").alias("tool_name"), get("tool_input").alias("tool_input"), F.to_json(F.try_variant_get(F.try_parse_json("payload"), "$.tool_response", "variant")).alias("raw"), get("transcript_path").alias("transcript_path"), get("source").alias("source"))
     p = p.withColumn("response", response_text(F.col("raw")))
     denied, tool = F.col("response").rlike(DENIED), F.col("tool_name")
     post = F.when(denied, "denial").when(tool.isin("Bash", "BashOutput"), "shell_command").when(tool.isin("Edit", "MultiEdit", "NotebookEdit"), "file_edit").when(tool == "Write", "file_write").when(tool == "DeleteFile", "file_delete").when(tool.isin("Read", "NotebookRead"), "file_read").otherwise("tool_post")
     h = F.col("hook")
     kind = F.when(h == "SessionStart", "session_start").when(h == "SessionEnd", "session_end").when(h == "UserPromptSubmit", "user_prompt").when(h == "PreToolUse", "tool_pre").when(h == "PostToolUse", post).otherwise("note")
     after = h == "PostToolUse"
-    return p.withColumn("type", kind).select("session_id", "seq", "ts", "type", "hook", "cwd", F.when(h.isin("PreToolUse", "PostToolUse"), tool).alias("tool_name"), F.when(h == "UserPromptSubmit", F.coalesce("prompt", F.lit(""))).alias("prompt"), F.when(after, F.col("response")).alias("response"), F.when(after, ~denied).alias("approved"), F.when(F.col("type") == "shell_command", F.coalesce(F.get_json_object("tool_input", "$.command"), F.lit(""))).alias("command"), F.when(F.col("type") == "shell_command", exit_code(F.col("raw"))).alias("exit_code"), F.when(F.col("type").startswith("file_"), file_path(F.col("tool_input"))).alias("file_path"))
+    return p.withColumn("type", kind).select("session_id", "seq", "ts", "type", "hook", "source", "cwd", "transcript_path", F.when(h.isin("PreToolUse", "PostToolUse"), F.col("tool_input")).alias("tool_input"), F.when(h.isin("PreToolUse", "PostToolUse"), tool).alias("tool_name"), F.when(h == "UserPromptSubmit", F.coalesce("prompt", F.lit(""))).alias("prompt"), F.when(after, F.col("response")).alias("response"), F.when(after, ~denied).alias("approved"), F.when(F.col("type") == "shell_command", F.coalesce(F.get_json_object("tool_input", "$.command"), F.lit(""))).alias("command"), F.when(F.col("type") == "shell_command", exit_code(F.col("raw"))).alias("exit_code"), F.when(F.col("type").startswith("file_"), file_path(F.col("tool_input"))).alias("file_path"))
 
 
 _VALUE = "struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean>"
@@ -133,6 +154,8 @@ def patch_parts(rows: DataFrame, patch: str = "patch") -> DataFrame:
     b = rows.withColumn("__b", block)
     op = F.regexp_extract("__b", r"^\*{3} (Delete|Update|Add) File: ", 1)
     tool = F.when(op == "Add", "Write").when(op == "Update", "Edit").otherwise("DeleteFile")
+    if "exit_code" in rows.columns:  # a patch that failed is no change of its files
+        tool = F.when(F.coalesce("exit_code", F.lit(0)) != 0, "ApplyPatch").otherwise(tool)
     body = F.regexp_replace(F.regexp_replace("__b", r"^[^\n]*\n?", ""), r"\n?\*\*\* End Patch\s*$", "")
     return b.select(*rows.columns, op.alias("op"), F.trim(F.regexp_extract("__b", r"File: ([^\n]*)", 1)).alias("path"), body.alias("body"), tool.alias("tool")).drop("__b")
 

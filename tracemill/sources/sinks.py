@@ -8,10 +8,12 @@ import pandas as pd
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracemill.functions import score
 from tracemill.functions.commands import relativize
 from tracemill.operators import datasets, worldmodel
+from tracemill.operators.ordering import numbered
 
 FORMATS = tuple("dpo harbor jsonl molt parquet reward rlds sft wm".split())
 SAFE_REF = r"^[A-Za-z\d][\w./-]*\z"
@@ -72,16 +74,45 @@ def prompt_rows(episodes: DataFrame) -> DataFrame:
     return e.select(ask.alias("input"), label.alias("label"), F.col("id").alias("episode_id"), F.col("reward_vector.composite").alias("composite_reward"), datasets.portable(command).alias("portable"))
 
 
+def _scrubbed(c: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(score.finite(c), c)
+    if not _has_floats(kind):
+        return c
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*(_scrubbed(c[f.name], f.dataType).alias(f.name) for f in kind.fields)))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _scrubbed(x, kind.elementType))
+    return F.transform_values(c, lambda _, v: _scrubbed(v, kind.valueType))
+
+
+def _has_floats(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_floats(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _has_floats(kind.elementType)
+    return _has_floats(kind.valueType) if isinstance(kind, T.MapType) else isinstance(kind, (T.DoubleType, T.FloatType))
+
+
 def finite_or_null(df: DataFrame) -> DataFrame:
-    """SNK14: numbers that JSON can't hold become null."""
-    return df.select(*(F.when(score.finite(c), F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
+    """SNK14: numbers that JSON can't hold become null, however deep they lie."""
+    return df.select(*(_scrubbed(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields))
 
 
 def manifest(rows: DataFrame, *id_columns: str) -> DataFrame:
-    """SNK13: number of rows, of distinct episodes, and one hash over all rows that doesn't depend on their order."""
-    ids = F.array_distinct(F.flatten(F.collect_set(F.array(*id_columns))))
-    row_hash = F.xxhash64(*(F.col(c) if not t.startswith("map") else F.map_entries(c) for c, t in rows.dtypes))
-    return rows.select(row_hash.alias("h"), *id_columns).agg(F.count("*").alias("rows"), F.size(ids).alias("episodes"), F.sum(F.col("h").cast("decimal(38,0)")).cast("string").alias("dataset_hash"))
+    """SNK13: number of rows, of distinct episodes, and one hash over all rows that doesn't depend on their order: the sum of
+    their SHA-256 hashes' first 15 digits. Ids are counted as rows, never gathered in one; ``manifest_ids`` gives them."""
+    row_hash = F.conv(F.substring(F.sha2(F.to_json(F.struct(*rows.columns)), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    counts = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(row_hash), F.lit(0)).cast("string").alias("dataset_hash"))
+    ids = rows.select(F.explode(F.array(*id_columns)).alias("id")).where("id is not null").distinct().agg(F.count("*").alias("episodes"))
+    return counts.crossJoin(ids).select("rows", F.col("episodes").cast("int").alias("episodes"), "dataset_hash")
+
+
+def manifest_ids(rows: DataFrame, order: str, *id_columns: str) -> DataFrame:
+    """SNK13: the distinct episodes of a dataset in the order in which they first come: ``(ordinal, id)``."""
+    each = rows.select(F.col(order).alias("o"), F.posexplode(F.array(*id_columns)).alias("pos", "id")).where("id is not null")
+    first = each.groupBy("id").agg(F.min(F.struct("o", "pos")).alias("f")).select("id", "f.o", "f.pos")
+    return numbered(first, "o", "pos", "id", name="ordinal").select("ordinal", "id")
 
 
 def exported(episodes: DataFrame, fmt: str) -> DataFrame:
@@ -104,8 +135,15 @@ def exported(episodes: DataFrame, fmt: str) -> DataFrame:
 
 
 def export(episodes: DataFrame, fmt: str, path: str) -> None:
-    """SNK1/SNK5/SNK6/SNK12: writes an export; folders of files for ``harbor``, Parquet for ``parquet``, else JSON lines."""
+    """SNK1/SNK5/SNK6/SNK12: writes an export; folders of files for ``harbor``, Parquet for ``parquet``, else JSON lines;
+    these go to the standard output for the path "-"."""
+    if path == "-" and fmt in ("parquet", "harbor", "molt"):
+        raise ValueError(f"format {fmt!r} is written to a folder, not to the standard output")
     rows = exported(episodes, fmt)
+    if path == "-":
+        for line in finite_or_null(rows).toJSON().toLocalIterator():
+            print(line)
+        return
     if fmt == "harbor":
         write_files(rows, path)
     elif fmt == "parquet":

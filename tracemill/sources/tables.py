@@ -51,12 +51,16 @@ def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         when '5' then array({one(later, 'wrong', 'mined', '0.8', 'o_orderkey % 3')}) else {none_yet} end"""
     deployments = """case when o_orderkey % 5 = 0 then array(struct(created_at as ts, 'fly deploy' as command, 'flyctl' as method, if(o_orderkey % 2 = 0, 'prod', 'staging') as target_env, cast(o_orderkey % 3 as int) as exit_code, if(o_orderkey % 3 = 0, cast(null as boolean), false) as verified, false as reconstructed))
         else cast(array() as array<struct<ts:string,command:string,method:string,target_env:string,exit_code:int,verified:boolean,reconstructed:boolean>>) end"""
+    ran = "named_struct('ts', created_at, 'command', '{}', 'cwd', {}, 'exit_code', {}, 'output_excerpt', '', 'is_test', {}, 'reconstructed', false)".format
+    ran_none = "cast(array() as array<struct<ts:string,command:string,cwd:string,exit_code:int,output_excerpt:string,is_test:boolean,reconstructed:boolean>>)"
+    commands = f"""case o_orderkey % 8 when 3 then array({ran('ls src', "'/w'", 0, 'false')}, {ran('make test', "'/w/app'", 0, 'true')}, {ran('npm test', 'null', 0, 'true')})
+        when 5 then array({ran('make test', "'/w'", 1, 'true')}) else {ran_none} end"""
     return o.select(
         F.col("o_orderkey").alias("ord"),
         e("concat('ep_', lpad(o_orderkey, 10, '0'))").alias("id"), F.lit("0.1.0").alias("schema_version"), "created_at", e("element_at(array('claude-code', 'codex', 'unknown'), cast(o_orderkey % 3 as int) + 1)").alias("agent"),
         e("concat(if(o_custkey % 5 = 0, ' Fix ', 'Please refactor the billing module and add tests for '), 'customer ', o_custkey)").alias("intent"),
         e("struct('/w' as root, if(o_custkey % 7 = 6, '', concat('repo', o_custkey % 7)) as repo, if(o_orderkey % 4 = 0, null, 'https://git.example.org/r.git') as remote_url, concat('b', o_orderkey % 9) as branch, substr(md5(cast(o_orderkey as string)), 1, 7) as base_commit, false as dirty)").alias("repo_state"),
-        e(steps).alias("steps"), e(diffs).alias("diffs"), e(tests).alias("tests"), e(feedback).alias("human_feedback"),
+        e(steps).alias("steps"), e(diffs).alias("diffs"), e(commands).alias("commands"), e(tests).alias("tests"), e(feedback).alias("human_feedback"),
         e("struct(case o_orderstatus when 'F' then 'merged' when 'O' then 'open' else 'failed' end as status, substr(md5(cast(o_orderkey as string)), 1, 12) as commit, o_orderkey % 17 = 0 as caused_regression, if(o_orderkey % 3 = 0, null, cast(o_orderkey % 1000 as bigint)) as pr_number, if(o_orderstatus = 'O', 'OPEN', 'CLOSED') as pr_state, case o_orderkey % 4 when 0 then null when 1 then 'pending' else 'success' end as ci_status)").alias("outcome"),
         e(f"struct({count('A')} as file_edits, {count('N')} as file_reads, {count('R')} as shell_commands, size(filter(lines, l -> l.f <> 'N')) as tests_run, size(filter(lines, l -> l.tax > 0.07)) as denials, round(aggregate(lines, 0D, (a, l) -> a + l.c), 2) as cost_usd)").alias("stats"),
         e("case when o_orderkey % 2 = 0 then array(concat('area', o_orderkey % 6)) else cast(array() as array<string>) end").alias("labels"),
@@ -86,3 +90,24 @@ def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == "signup", F.concat(F.when(k % 3 == 0, "yes, ").otherwise(""), F.lit("work on item "), k.cast("string"), F.when(k % 2 == 0, " and describe in detail what has changed there").otherwise(""))).alias("prompt"),
         (F.col("event_type") != "error").alias("approved"),
     )
+
+
+def hooked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session events with tools, folders and inputs, as hooks give them; files lie below a root."""
+    ev = session_events(spark, sf_dir)
+    tool = F.when(F.col("type") == "file_edit", "Edit").when(F.col("type") == "file_read", "Read").when(F.col("type").isin("shell_command", "denial"), "Bash")
+    path = F.concat(F.lit("/w/app/"), F.col("file_path"))
+    given = F.when(F.col("type") == "shell_command", F.to_json(F.struct("command"))).when(path.isNotNull(), F.to_json(F.struct(path.alias("file_path"))))
+    return ev.withColumns({"tool_name": tool, "tool_input": given, "file_path": path, "cwd": F.when(F.col("k") % 3 != 0, F.concat(F.lit("/w/app"), F.when(F.col("k") % 3 == 1, "/sub").otherwise("")))})
+
+
+def session_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Meta data of every other session."""
+    s = table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id")).distinct().where("session_id % 2 = 0")
+    e = F.expr
+    return s.select(
+        "session_id", e("if(session_id % 4 = 0, 'codex', '')").alias("agent"), e("if(session_id % 6 = 0, concat('task ', session_id), null)").alias("intent"), F.lit("2024-05-01T00:00:00").alias("created_at"),
+        e("named_struct('root', if(session_id % 8 = 0, '/w/app/src', null), 'repo', 'app', 'branch', 'main')").alias("repo_state"), e("array('zone', concat('area', session_id % 3))").alias("labels"),
+        e("named_struct('input_tokens', session_id * 10, 'output_tokens', session_id, 'cost_usd', 0.5D)").alias("usage"), e("if(session_id % 10 = 0, array(named_struct('ts', '2024-01-01', 'label', 'useful', 'source', 'mined')), null)").alias("human_feedback"),
+        e("if(session_id % 12 = 0, named_struct('status', 'merged'), null)").alias("outcome"),
+    )

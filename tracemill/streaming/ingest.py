@@ -14,6 +14,8 @@ from tracemill.operators import sessions
 from tracemill.sources import logs
 from tracemill.sources.store import upserted
 
+SHARDS = 64
+
 
 def read_stream(spark: SparkSession, folder: str, schema: str, files_per_trigger: int = 1000) -> DataFrame:
     """JSON files that land in a folder."""
@@ -28,30 +30,36 @@ def usage_totals(bodies: DataFrame, deduplicate: str | None = None) -> DataFrame
     return logs.usage(logs.usage_points(bodies))
 
 
-def start_usage(bodies: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    return usage_totals(bodies).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).start()
+def start_usage(bodies: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Running totals as files: each micro-batch appends the sessions that it changed, with its epoch as version."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.withColumn("version", F.lit(epoch).cast("bigint")).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    return usage_totals(bodies).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).start()
+
+
+def usage_now(spark: SparkSession, out: str) -> DataFrame:
+    """The latest totals of each session."""
+    return upserted(None, spark.read.parquet(out), "session_id", "version").drop("version", "epoch")
 
 
 def finalise(batch: DataFrame, epoch: int, events: str, out: str) -> None:
     """E1/SRC9 for one micro-batch: appends its events, and rebuilds the sessions that it ended, from all their events.
 
-    Both writes are keyed by the epoch and overwrite their own folder, so a batch that is run again changes nothing. Events
-    lie in folders by a hash of their session, so that a rebuild reads only those of the sessions concerned."""
+    Both writes are keyed by the epoch and overwrite their own folders, so a batch that is run again changes nothing. Events
+    lie in folders by a hash of their session and then by epoch, so that a rebuild lists and reads those of the sessions
+    concerned only."""
     spark = batch.sparkSession
-    batch = batch.withColumn("shard", F.pmod(F.xxhash64("session_id"), F.lit(64)).cast("int"))
-    batch.write.mode("overwrite").partitionBy("shard").parquet(f"{events}/epoch={epoch}")
+    batch = batch.withColumns({"shard": F.pmod(F.xxhash64("session_id"), F.lit(SHARDS)).cast("int"), "epoch": F.lit(epoch).cast("bigint")})
+    batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard", "epoch").parquet(events)
     ended = batch.where(F.col("hook").isin("Stop", "SessionEnd")).select("session_id", "shard").distinct()
-    if ended.isEmpty():
+    shards = sorted(r.shard for r in ended.select("shard").distinct().collect())
+    if not shards:
         return
-    every = spark.read.option("basePath", events).parquet(*_folders(spark, events))
+    every = spark.read.option("basePath", events).parquet(*(f"{events}/shard={s}" for s in shards))
     mine = every.join(ended, ["session_id", "shard"], "left_semi").drop("shard", "epoch")
-    sessions.built(mine).withColumn("version", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-
-
-def _folders(spark: SparkSession, root: str) -> list[str]:
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return [str(s.getPath()) for s in fs.listStatus(fs_path) if s.getPath().getName().startswith("epoch=")]
+    sessions.built(mine).withColumn("version", F.lit(epoch).cast("bigint")).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
 
 def start_finalising(events: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
