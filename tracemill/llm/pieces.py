@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding with a batched numpy Viterbi search.
 
-Texts split into words before each run of spaces that follows something else; no piece crosses there. Words with characters
-beyond ASCII, and long ones, are cut besides between two characters that stand side by side in no piece. A worker keeps the
+Texts split into words before each run of spaces that follows something else; no piece crosses there. Long words are cut
+besides between two characters that stand side by side in no piece. A worker keeps the
 ids of words it has seen; new words of equal length advance together: hashes of all their substrings probe the
 sorted hashes of the pieces, and for each end position a vectorised maximum over the candidates stores the length of the best
 last piece as backpointer.
@@ -195,7 +195,7 @@ class PieceModel:
 
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of each word as little-endian int32."""
-        cuts = {w: parts for w in words if (len(w) > CACHED_CHARS or not w.isascii()) and len(parts := self._cut(w)) > 1}
+        cuts = {w: parts for w in words if len(w) > CACHED_CHARS and len(parts := self._cut(w)) > 1}
         short = {p for w in words for p in cuts.get(w, (w,))} if cuts else set(words)
         out: dict[str, bytes] = {}
         by: dict[int, list[str]] = {}
