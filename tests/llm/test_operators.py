@@ -131,6 +131,37 @@ def test_one_of_each_group_stays(docs):
     assert sorted(ids, key=str) == sorted([1, 4, 5, 6, 8, 9, 10, None], key=str)
 
 
+@pytest.mark.parametrize("tile, tokens", [(1024, 40), (16, 40), (16, 400)])
+def test_tiles_of_overlaps(monkeypatch, tile, tokens):
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    monkeypatch.setattr(ngram_join, "CHUNK", 50)
+    r = np.random.default_rng(tokens)
+    sets = [np.unique(np.minimum(r.integers(0, tokens, size), r.integers(0, tokens, size))).astype(np.uint64) for size in r.integers(1, 25, 150)]
+    seen = [x[x < 2] for x in sets]
+
+    def want(left, right, near):
+        return {(i, j) for i, x in enumerate(left) for j, y in enumerate(right) if near(i, j) and len(np.intersect1d(x, y)) / len(np.union1d(x, y)) >= 0.3}
+
+    def got(*a):
+        pairs = [p for i, j in ngram_join.near_tiles(*a) for p in zip(i.tolist(), j.tolist())]
+        assert len(pairs) == len(set(pairs))
+        return set(pairs)
+
+    assert got(sets, None, 0.3) == want(sets, sets, lambda i, j: i < j)
+    assert got(sets, None, 0.3, [seen]) == want(sets, sets, lambda i, j: i < j and not len(np.intersect1d(seen[i], seen[j])))
+    assert got(sets[:70], sets[70:], 0.3, [seen[:70], seen[70:]]) == want(sets[:70], sets[70:], lambda i, j: not len(np.intersect1d(seen[i], seen[70 + j])))
+
+
+def test_groups_need_no_list_of_their_pairs(spark, monkeypatch):
+    """60 near copies, all different, have 1,770 pairs; the groups are made of links as many as the documents."""
+    edges = []
+    monkeypatch.setattr(ngram_join, "connected_components", lambda e: edges.append(e.count()) or connected_components(e))
+    words = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join(words[:k] + [f"new{k}"] + words[k + 1 :]), "s") for k in range(60)]
+    assert [r.doc_id for r in ngram_join.first_of_groups(documents(spark, rows)).collect()] == [0]
+    assert edges[-1] <= 3 * len(rows)
+
+
 def test_trie_against_brute_force():
     r = np.random.default_rng(5)
     sets = [np.unique(r.integers(0, 40, r.integers(1, 25))).astype(np.uint64) for _ in range(60)]

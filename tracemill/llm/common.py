@@ -263,3 +263,41 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         before = after
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+
+
+LINKS = "a bigint, b bigint, n bigint"
+
+
+class Links:
+    """Links and connected groups of the items of one block (or two), out of the pairs found there, bit by bit.
+
+    ``weight``: the ids an item stands for; ``mixed``: whether it also stands for ids that have other items."""
+
+    def __init__(self, names: np.ndarray, weight: np.ndarray, mixed: np.ndarray):
+        self.names, self.weight, self.mixed = names, weight, mixed
+        self.count, self.met, self.root = np.zeros(len(names)), np.zeros(len(names), bool), np.arange(len(names))
+        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Pairs (i, j) of items; each pair comes once."""
+        self.met[i] = self.met[j] = True
+        self.count += np.bincount(i, self.weight[j], len(self.names)) + np.bincount(j, self.weight[i], len(self.names))
+        if self.mixed.any() and (own := self.mixed[i] | self.mixed[j]).any():
+            self.pairs.append((self.names[i[own]], self.names[j[own]]))
+        while True:
+            a, b = self.root[i], self.root[j]
+            apart = a != b
+            if not apart.any():
+                return
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            np.minimum.at(self.root, np.maximum(a, b), np.minimum(a, b))
+            while ((up := self.root[self.root]) != self.root).any():
+                self.root = up
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """Of ``LINKS``: (item, root of its group here, links here), and (item, item, null) for pairs with a mixed item."""
+        at = np.flatnonzero(self.met)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(self.names[at]), pa.array(self.names[self.root[at]]), pa.array(self.count[at].astype(np.int64))], ["a", "b", "n"])
+        for a, b in self.pairs:
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "n"])

@@ -30,9 +30,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
-from tracemill.llm.common import U64, checked, connected_components, cut, documents, expanded, groups, mix64, ngram_hashes, partitions, slices, text_buffers
+from tracemill.llm.common import LINKS, U64, Links, checked, connected_components, cut, documents, expanded, groups, mix64, ngram_hashes, partitions, slices, text_buffers
 
 N, THRESHOLD, SHARE, BLOCK, FLUSH = 3, 0.6, 0.55, 400_000, 3_000_000
+TILE, SPARSE, CHUNK = 1024, 200, 1 << 21
 _PACK = "key int, kind int, blob binary"
 KEYS = ["by_gram", "unit", "one", "two"]
 
@@ -312,6 +313,100 @@ def _join_blocks(threshold: float):
     return run
 
 
+class Overlaps:
+    """Sizes of the intersections of sets, a tile of ``TILE`` times ``TILE`` sets at a time: within ``left``, or between it and ``right``.
+
+    Tokens of many sets are columns of a matrix, whose product counts them; of the others, each pair of sets is counted one by
+    one. A token is of the first kind if its pairs are more than one in ``SPARSE`` of all."""
+
+    def __init__(self, left: list[np.ndarray], right: list[np.ndarray] | None):
+        sides = [left] if right is None else [left, right]
+        sizes = [np.array([len(x) for x in side], np.int64) for side in sides]
+        tokens = np.unique(np.concatenate([x for side in sides for x in side]), return_inverse=True)[1]
+        owner = [np.repeat(np.arange(len(n)), n) for n in sizes]
+        own = np.split(tokens, [len(owner[0])])[: len(sides)]
+        df = [np.bincount(x, minlength=int(tokens.max(initial=-1)) + 1) for x in own]
+        pairs = df[0] * (df[0] - 1) if right is None else df[0] * df[1]
+        every = len(left) * len(sides[-1])
+        dense = (pairs > 0) & ((pairs * SPARSE > every) | (every <= 4096))
+        number = np.cumsum(dense) - 1
+        self.dense, self.sparse = [], []
+        for x, at, side in zip(own, owner, sides):
+            m = np.zeros((len(side), int(dense.sum())), np.float32)
+            d = dense[x]
+            m[at[d], number[x[d]]] = 1
+            self.dense.append(m)
+            rare = ~d & (pairs[x] > 0)
+            x, at = x[rare], at[rare]
+            order = np.lexsort((x, at // TILE))
+            x, at = x[order], at[order]
+            cuts = np.searchsorted(at // TILE, np.arange(-(-len(side) // TILE) + 1))
+            self.sparse.append([(x[a:b], at[a:b] % TILE) for a, b in zip(cuts, cuts[1:])])
+
+    def tile(self, a: int, b: int) -> np.ndarray:
+        left, right = self.dense[0][a * TILE : (a + 1) * TILE], self.dense[-1][b * TILE : (b + 1) * TILE]
+        out = left @ right.T
+        (x, i), (y, j) = self.sparse[0][a], self.sparse[-1][b]
+        start = np.searchsorted(y, x)
+        count = np.searchsorted(y, x, side="right") - start
+        some = count > 0
+        i, start, count = i[some], start[some], count[some]
+        ends = np.cumsum(count)
+        cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1:].sum(), CHUNK)), len(count)))
+        for p, q in zip(cuts, cuts[1:]):
+            cell = np.repeat(i[p:q] * len(right), count[p:q]) + j[Trie._ranges(start[p:q], count[p:q])]
+            out += np.bincount(cell, minlength=out.size).reshape(out.shape)
+        return out
+
+
+def near_tiles(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float, seen: list[list[np.ndarray]] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices (i, j) of all pairs with a Jaccard of at least the threshold, by tiles: within ``left`` (i < j), or between it and ``right``.
+
+    ``seen``: another set for each one in the same order; pairs that share any of those are left out."""
+    two = left if right is None else right
+    if not left or not two:
+        return
+    m, n = (np.array([len(x) for x in side], np.float64) for side in (left, two))
+    overlaps = Overlaps(left, right)
+    others = Overlaps(seen[0], None if right is None else seen[1]) if seen else None
+    rate = threshold / (1 + threshold)
+    for a in range(-(-len(left) // TILE)):
+        for b in range(a if right is None else 0, -(-len(two) // TILE)):
+            p, q = a * TILE, b * TILE
+            shared = overlaps.tile(a, b)
+            least = (rate * m[p : p + TILE, None]).astype(np.float32) + (rate * n[None, q : q + TILE] - 0.1).astype(np.float32)
+            i, j = np.nonzero(shared >= least)
+            o = shared[i, j].astype(np.float64)
+            ok = o / (m[p + i] + n[q + j] - o) >= threshold
+            if right is None and a == b:
+                ok &= i < j
+            if others is not None and ok.any():
+                ok &= others.tile(a, b)[i, j] == 0
+            if ok.any():
+                yield p + i[ok], q + j[ok]
+
+
+def _link_blocks(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, KEYS):
+            one, two, unit = t["one"][0].as_py(), t["two"][0].as_py(), t["unit"][0].as_py()
+            # Of two blocks, the sets of the first come first.
+            block = t["block"].to_numpy()
+            order = np.argsort(block != one, kind="stable")
+            t, at = t.take(pa.array(order)), int((block == one).sum())
+            split = (lambda x: [x]) if one == two else (lambda x: [x[:at], x[at:]])
+            left, right = [*split([np.frombuffer(x.as_buffer(), np.uint64) for x in t["grams"]]), None][:2]
+            seen = None
+            if t["by_gram"][0].as_py():  # a pair counts in the first unit that both are in
+                seen = split([u[u < unit] for u in (np.array(x, np.int64) for x in t["units"].to_pylist())])
+            links = Links(t["doc"].to_numpy(), t["weight"].to_numpy(), t["mixed"].to_numpy(zero_copy_only=False))
+            for i, j in near_tiles(left, right, threshold, seen):
+                links.add(i, j if right is None else at + j)
+            yield from links.rows()
+
+    return run
+
+
 def _sets(n: int):
     """Sets, their sizes, and two sums over differently mixed grams: equal for equal sets only, but for 128-bit collisions."""
 
@@ -377,27 +472,54 @@ def _placed(units: DataFrame, threshold: float, block: int) -> DataFrame:
     return ranked.join(tasks.withColumn("block", F.explode(F.array_distinct(F.array("one", "two")))), ["by_gram", "unit", "block"]).select("doc", "block", *KEYS)
 
 
-def _row_pairs(docs: DataFrame, n: int, threshold: float, share: float, block: int, all_pairs: bool) -> DataFrame:
-    """``similar_pairs`` of rows whose doc_id is unique up to equal rows."""
+def _prepared(docs: DataFrame, n: int, threshold: float, share: float, block: int) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """Of rows whose doc_id is unique up to equal rows: ``(doc, size, first)``, the documents that may have a partner and the
+    least one of an equal set; ``(doc, grams)`` of each first; their units; and whether any unit is a gram."""
     parts = partitions(docs.sparkSession)
     buckets = _buckets(parts)
     partnered = _exchange(docs.mapInArrow(_emit(_text_sets(n), threshold, share, buckets), _PACK), False, _partnered, "doc_id bigint")
     sets = cut(docs.join(checked(partnered), "doc_id").select("doc_id", "text").mapInArrow(_sets(n), "doc bigint, sig1 bigint, sig2 bigint, size int, grams binary"))
     names = sets.select("doc", "size", F.min("doc").over(Window.partitionBy("sig1", "sig2", "size")).alias("first"))
-    equal = names.where("doc <> first").select(F.col("first").alias("doc_a"), F.col("doc").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
     firsts = cut(names.where("doc = first").select("doc", "size").distinct())
     stored = sets.select("doc", "grams").join(checked(firsts.select("doc")), "doc")
     if not sets.groupBy("doc").count().where("count > 1").isEmpty():
         stored = stored.dropDuplicates(["doc"])
     entries = cut(_exchange(stored.mapInArrow(_emit(_stored_sets, threshold, 1.0, buckets), _PACK), True, _prefixes, "gram bigint, doc bigint"))
-    units, by_gram = _units(entries, firsts, block)
+    return names, stored, *_units(entries, firsts, block)
+
+
+def _row_pairs(docs: DataFrame, n: int, threshold: float, share: float, block: int, all_pairs: bool) -> DataFrame:
+    """``similar_pairs`` of rows whose doc_id is unique up to equal rows."""
+    names, stored, units, by_gram = _prepared(docs, n, threshold, share, block)
+    equal = names.where("doc <> first").select(F.col("first").alias("doc_a"), F.col("doc").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
     placed = _placed(units, threshold, block)
-    near = stored.join(checked(placed), "doc").repartition(parts, *KEYS).sortWithinPartitions(*KEYS).mapInArrow(_join_blocks(threshold), "doc_a bigint, doc_b bigint, jaccard double")
+    near = stored.join(checked(placed), "doc").repartition(partitions(docs.sparkSession), *KEYS).sortWithinPartitions(*KEYS).mapInArrow(_join_blocks(threshold), "doc_a bigint, doc_b bigint, jaccard double")
     if by_gram:  # a pair may share more than one gram
         near = near.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
     return expanded(near, equal) if all_pairs else near.union(equal)
 
 
+def _row_links(docs: DataFrame, rows: DataFrame | None, n: int, threshold: float, share: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """``members`` and ``found`` of ``class_links``: all links of ``docs``, whose doc_id is the row of ``rows`` unless that is None."""
+    names, stored, units, by_gram = _prepared(docs, n, threshold, share, block)
+    members = names.select(F.col("first").alias("rep"), F.col("doc").alias("id")).distinct()
+    if rows is None:
+        members = members.withColumn("multi", F.lit(False))
+    else:
+        members = members.join(rows.select(F.col("row").alias("id"), "doc_id"), "id").select("rep", F.col("doc_id").alias("id")).distinct()
+        again = rows.groupBy(F.col("doc_id").alias("id")).agg((F.count("*") > 1).alias("multi"))
+        members = members.join(again, "id")
+    members = cut(members.select("rep", "id", "multi", F.sum((~F.col("multi")).cast("int")).over(Window.partitionBy("rep")).alias("weight")))
+    weights = members.groupBy(F.col("rep").alias("doc")).agg(F.first("weight").alias("weight"), F.max("multi").alias("mixed"))
+    placed = _placed(units, threshold, block).join(weights, "doc")
+    held = F.lit(None).cast("array<bigint>")
+    if by_gram:
+        placed, held = placed.join(units.where("by_gram").groupBy("doc").agg(F.collect_list("unit").alias("held")), "doc", "left"), F.col("held")
+    placed = checked(placed.withColumn("units", F.when(F.col("by_gram"), held)).drop("held"))
+    found = stored.join(placed, "doc").repartition(partitions(docs.sparkSession), *KEYS).sortWithinPartitions(*KEYS).mapInArrow(_link_blocks(threshold), LINKS)
+    return members, found
+
+
 def _clean(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
 
@@ -438,8 +560,8 @@ def first_of_groups(docs: DataFrame, **options) -> DataFrame:
     text are in no group and stay."""
     own = _clean(docs)
     rows = _numbered(own)
-    pairs = similar_pairs(docs, **options) if rows is None else similar_pairs(rows.select(F.col("row").alias("doc_id"), "text"), **options)
-    grouped = connected_components(pairs.select(F.col("doc_a").alias("src"), F.col("doc_b").alias("dst")))
+    members, found = _row_links(own if rows is None else rows.select(F.col("row").alias("doc_id"), "text"), None, **{"n": N, "threshold": THRESHOLD, "share": SHARE, "block": BLOCK} | options)
+    grouped = connected_components(found.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(members.select("rep", "id")))
     gone = grouped.where("node <> component")
     id_, text = docs["doc_id"].cast("bigint"), F.xxhash64(docs["text"].cast("string"))
     if rows is None:
