@@ -131,6 +131,63 @@ def test_one_of_each_group_stays(docs):
     assert sorted(ids, key=str) == sorted([1, 4, 5, 6, 8, 9, 10, None], key=str)
 
 
+def brute_links(rows, n, threshold):
+    """id: (least id reached, number of linked ids)."""
+    texts = {}
+    for i, t in ((i, t) for i, t, *_ in rows if i is not None):
+        texts.setdefault(i, []).append(grams(t, n))
+    near = {i: {j for j in texts if j != i and any(a & b and len(a & b) / len(a | b) >= threshold for a in texts[i] for b in texts[j])} for i in texts}
+
+    def least(i):
+        seen, todo = {i}, [i]
+        while todo:
+            more = near[todo.pop()] - seen
+            seen |= more
+            todo += more
+        return min(seen)
+
+    return {i: (least(i), len(near[i])) for i in texts}
+
+
+def found_links(df, **k):
+    rows = ngram_join.document_links(df, **k).collect()
+    assert len(rows) == len({r.doc_id for r in rows})
+    return {r.doc_id: (r.class_id, r.links) for r in rows}
+
+
+def test_links_of_copies_and_awkward_rows(docs, none):
+    """Texts of equal sets are linked with the near copies of each other, each of them."""
+    got = found_links(docs)
+    assert got == brute_links([(r.doc_id, r.text) for r in docs.collect()], 3, 0.6)
+    assert got[2] == (1, 2) and got[3] == (1, 2) and got[4] == (4, 0)
+    assert found_links(none) == {}
+
+
+@pytest.mark.parametrize("threshold, n, share, block", [(0.6, 3, 0.55, 400_000), (0.5, 2, 0.1, 200), (0.8, 1, 1.0, 90)])
+def test_links_against_brute_force(spark, threshold, n, share, block):
+    """With copies, and with ids that have several texts."""
+    rows = []
+    for _ in range(12):
+        base = prose(R.randrange(5, 60)).split()
+        for _ in range(R.randrange(1, 9)):
+            copy = [R.choice(WORDS) if R.random() < 0.04 else w for w in base]
+            rows += [(len(rows) + k, " ".join(copy).upper() if k else " ".join(copy), "s") for k in range(R.choice([1, 1, 1, 3]))]
+    once = documents(spark, rows)
+    assert found_links(once, n=n, threshold=threshold, share=share, block=block) == brute_links(rows, n, threshold)
+    rows += [(i, t, "s") for i, t, _ in R.sample(rows, 12)] + [(i + 3, t + " x", "s") for i, t, _ in R.sample(rows, 6)] + [(2, rows[0][1], "s")]
+    assert found_links(documents(spark, rows), n=n, threshold=threshold, share=share, block=block) == brute_links(rows, n, threshold)
+
+
+def test_links_of_units_by_gram_count_once(spark, monkeypatch):
+    used = []
+    units = ngram_join._units
+    monkeypatch.setattr(ngram_join, "_units", lambda *a: used.append(units(*a)) or used[-1])
+    parts = [" ".join(f"w{k}x{i}" for i in range(12)) for k in range(61)]
+    rows = [(k, parts[k] + " " + parts[k + 1], "s") for k in range(60)] + [(100 + k, parts[k] + " " + parts[k + 1] + f" end{k}", "s") for k in range(0, 60, 7)]
+    assert found_links(documents(spark, rows), threshold=0.25, block=120) == brute_links(rows, 3, 0.25)
+    assert used[0][1]
+
+
 @pytest.mark.parametrize("tile, tokens", [(1024, 40), (16, 40), (16, 400)])
 def test_tiles_of_overlaps(monkeypatch, tile, tokens):
     monkeypatch.setattr(ngram_join, "TILE", tile)
@@ -152,6 +209,24 @@ def test_tiles_of_overlaps(monkeypatch, tile, tokens):
     assert got(sets[:70], sets[70:], 0.3, [seen[:70], seen[70:]]) == want(sets[:70], sets[70:], lambda i, j: not len(np.intersect1d(seen[i], seen[70 + j])))
 
 
+def test_rows_of_links_follow_the_documents(spark, tmp_path):
+    """A cluster of near copies, all different: a row for each document, however many pairs there are."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join(words[:k] + [f"new{k}"] + words[k + 1 :]), "s") for k in range(60)]
+    documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = ngram_join.op5_ngram_jaccard_join(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(k, 0, 59) for k in range(60)]
+
+
+def test_links_equal_the_sql(spark, tmp_path, docs):
+    duckdb = pytest.importorskip("duckdb")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    rel = c.sql(ngram_join.ORACLE)
+    assert rel.columns == ["doc_id", "class_id", "links"] and sorted(rel.fetchall()) == sorted((i, *v) for i, v in found_links(docs).items())
+
+
 def test_groups_need_no_list_of_their_pairs(spark, monkeypatch):
     """60 near copies, all different, have 1,770 pairs; the groups are made of links as many as the documents."""
     edges = []

@@ -301,3 +301,27 @@ class Links:
             yield pa.RecordBatch.from_arrays([pa.array(self.names[at]), pa.array(self.names[self.root[at]]), pa.array(self.count[at].astype(np.int64))], ["a", "b", "n"])
         for a, b in self.pairs:
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "n"])
+
+
+def class_links(ids: DataFrame, members: DataFrame, found: DataFrame) -> DataFrame:
+    """``(id, class_id, links)`` for each of ``ids(id)``: the least id that links lead to, and the number of ids linked with it.
+
+    ``members(rep, id, multi, weight)``: each distinct item ``rep`` with its ids, all linked with each other; multi: the id has
+    other items too; weight: the ids of the item that don't. ``found``: ``LINKS`` between items."""
+    found = cut(found)
+    sums = found.where("n is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
+    least = members.groupBy("rep").agg(F.min("id").alias("least"))
+    one, two = least.select(F.col("rep").alias("a"), F.col("least").alias("src")), least.select(F.col("rep").alias("b"), F.col("least").alias("dst"))
+    edges = found.where("n is not null and a <> b").select("a", "b").distinct().join(one, "a").join(two, "b").select("src", "dst")
+    groups_ = connected_components(edges.union(members.join(least, "rep").select("id", "least")))
+    counts = members.where("not multi").join(sums, "rep", "left").select("id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("links"))
+    if not members.where("multi").isEmpty():
+        # An id with several items may meet another by more than one of them: these pairs are told apart by id.
+        met = found.where("n is null").select("a", "b")
+        met = met.union(met.select("b", "a")).union(members.where("multi").select("rep", F.col("rep").alias("b"))).distinct()
+        x = members.select(F.col("rep").alias("a"), F.col("id").alias("x"), F.col("multi").alias("mx"))
+        y = members.select(F.col("rep").alias("b"), F.col("id").alias("y"), F.col("multi").alias("my"))
+        pairs = met.join(x, "a").join(y, "b").where("x <> y and (mx or my)").select("x", "y").distinct()
+        counts = counts.union(pairs.groupBy("x").agg(F.count("*").alias("links"))).groupBy("id").agg(F.sum("links").alias("links"))
+    linked = counts.where("links > 0").join(groups_, F.col("id") == F.col("node")).select("id", "component", "links")
+    return ids.join(checked(linked), "id", "left").select("id", F.coalesce("component", "id").alias("class_id"), F.coalesce("links", F.lit(0).cast("bigint")).alias("links"))

@@ -1,4 +1,4 @@
-"""N-gram Jaccard self-join by prefix trees.
+"""N-gram Jaccard self-join by prefixes, and by matrices or prefix trees of sets.
 
 All pairs of documents whose sets of word n-grams have a Jaccard similarity of at least ``threshold``, exactly.
 
@@ -13,7 +13,9 @@ All pairs of documents whose sets of word n-grams have a Jaccard similarity of a
 4. A component is one unit of work if that is cheap. One so large that all its blocks would have to be compared is left
    to its prefix grams, each a unit, if shipping its documents once a gram costs less; so documents that only hang together
    over many links aren't compared all with all. Units beyond ``block`` grams are cut by length and hash.
-5. Each block is stored in a trie of its sets in one order for all (by frequency in the block), compressed to its
+5. Links and classes (``document_links``, ``first_of_groups``) come of overlaps counted by tiles of a block, of which each
+   document keeps its number of links and a root only.
+   A list of pairs (``similar_pairs``) comes of tries: each block is stored in a trie of its sets in one order for all (by frequency in the block), compressed to its
    branchings. Every set walks the trie level by level; sets below a node share the overlap counted on the way to it, and
    a subtree is pruned when the lengths that remain can't reach the threshold.
 """
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
-from tracemill.llm.common import LINKS, U64, Links, checked, connected_components, cut, documents, expanded, groups, mix64, ngram_hashes, partitions, slices, text_buffers
+from tracemill.llm.common import LINKS, U64, Links, checked, class_links, connected_components, cut, documents, expanded, groups, mix64, ngram_hashes, partitions, slices, text_buffers
 
 N, THRESHOLD, SHARE, BLOCK, FLUSH = 3, 0.6, 0.55, 400_000, 3_000_000
 TILE, SPARSE, CHUNK = 1024, 200, 1 << 21
@@ -552,6 +554,21 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, sha
     return found.join(one, "doc_a").join(two, "doc_b").where("a <> b").groupBy(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b")).agg(F.max("jaccard").alias("jaccard"))
 
 
+def document_links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, share: float = SHARE, block: int = BLOCK) -> DataFrame:
+    """``(doc_id, class_id, links)`` for each doc_id of ``docs(doc_id, text)``.
+
+    links: the number of other ids with a word n-gram Jaccard similarity of at least ``threshold``, all of them, copies too;
+    class_id: the least id of all that links lead to, step by step (its own without links). Which rows take part is as in
+    ``similar_pairs``; an id of several texts is linked if any of them is, and once. A null text has no links; a null
+    doc_id has no row. An empty table gives no rows. Other columns are ignored. ``share`` and ``block`` influence the cost
+    only. Pairs are counted where they are found, so that what is exchanged grows with the documents and not with the pairs."""
+    own = _clean(docs)
+    rows = _numbered(own)
+    members, found = _row_links(own if rows is None else rows.select(F.col("row").alias("doc_id"), "text"), rows, n, threshold, share, block)
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("id")).where("id is not null").distinct()
+    return class_links(ids, members, found).withColumnRenamed("id", "doc_id")
+
+
 def first_of_groups(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without all but one document of each group that pairs connect: the least doc_id stays.
 
@@ -581,23 +598,29 @@ def first_of_groups(docs: DataFrame, **options) -> DataFrame:
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_pairs(documents(spark, sf_dir))
+    return document_links(documents(spark, sf_dir))
 
 
 ORACLE = f"""
-WITH words AS (
+WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+'), lambda x: x <> '') AS w
   FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
 grams AS (
   SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= {N} THEN list_transform(range(1, len(w) - {N - 2}), lambda i: array_to_string(w[i:i + {N - 1}], ' ')) ELSE [array_to_string(w, ' ')] END)) AS g
   FROM words WHERE len(w) > 0),
-classes AS (SELECT g, min(doc_id) AS first, list(doc_id) AS ids FROM grams GROUP BY g),
-flat AS (SELECT first, len(g) AS size, unnest(g) AS gram FROM classes),
+classes AS MATERIALIZED (SELECT row_number() OVER () AS c, g, list(DISTINCT doc_id) AS ids FROM grams GROUP BY g),
+flat AS (SELECT c, len(g) AS size, unnest(g) AS gram FROM classes),
 shared AS (
-  SELECT a.first AS doc_a, b.first AS doc_b, a.size AS sa, b.size AS sb, count(*) AS n
-  FROM flat a JOIN flat b ON a.gram = b.gram AND a.first < b.first AND b.size >= {THRESHOLD} * a.size - 1e-9 AND a.size >= {THRESHOLD} * b.size - 1e-9
-  GROUP BY ALL)
-SELECT doc_a, doc_b, n::DOUBLE / (sa + sb - n) AS jaccard FROM shared WHERE n::DOUBLE / (sa + sb - n) >= {THRESHOLD}
-UNION ALL
-SELECT first AS doc_a, doc_b, 1.0::DOUBLE AS jaccard FROM (SELECT first, unnest(ids) AS doc_b FROM classes) WHERE doc_b <> first
+  SELECT a.c AS one, b.c AS two, a.size AS sa, b.size AS sb, count(*) AS n
+  FROM flat a JOIN flat b ON a.gram = b.gram AND b.size >= {THRESHOLD} * a.size - 1e-9 AND a.size >= {THRESHOLD} * b.size - 1e-9
+  GROUP BY ALL),
+members AS (SELECT c, unnest(ids) AS id FROM classes),
+pairs AS MATERIALIZED (
+  SELECT DISTINCT a.id AS a, b.id AS b FROM shared JOIN members a ON a.c = one JOIN members b ON b.c = two
+  WHERE n::DOUBLE / (sa + sb - n) >= {THRESHOLD} AND a.id <> b.id),
+reached AS (SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM reached r JOIN pairs p ON r.b = p.a),
+links AS (SELECT a, count(*) AS links FROM pairs GROUP BY a),
+least AS (SELECT a, min(b) AS b FROM reached GROUP BY a)
+SELECT doc_id, least(doc_id, coalesce(b, doc_id)) AS class_id, coalesce(links, 0)::BIGINT AS links
+FROM (SELECT DISTINCT doc_id::BIGINT AS doc_id FROM documents WHERE doc_id IS NOT NULL) LEFT JOIN links ON links.a = doc_id LEFT JOIN least ON least.a = doc_id
 """
