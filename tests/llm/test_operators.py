@@ -902,6 +902,64 @@ def test_a_bucket_with_half_of_the_vectors(spark):
     assert whole == cut and {p for p in itertools.combinations(range(90), 2)} <= whole
 
 
+def brute_vector_links(rows, threshold):
+    """id: (least id reached, number of linked ids)."""
+    by = {}
+    for i, v in ((i, v) for i, v in rows if i is not None):
+        by.setdefault(i, []).append(np.array(v, np.float32).astype(np.float64) if v else np.zeros(0))
+    cosine = lambda a, b: len(a) == len(b) and a.any() and b.any() and a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= threshold
+    near = {i: {j for j in by if j != i and any(cosine(a, b) for a in by[i] for b in by[j])} for i in by}
+    root = {i: i for i in by}
+    for _ in by:
+        root = {i: min([root[i], *(root[j] for j in near[i])]) for i in by}
+    return {i: (root[i], len(near[i])) for i in by}
+
+
+def test_all_links_right_at_the_threshold(spark):
+    """Pairs of a cosine just over and just below 0.95: hashing missed some of them."""
+    r = np.random.default_rng(8)
+    x, y = r.normal(size=(2, 3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    cosine = np.where(np.arange(3000) % 5 > 0, 0.95001, 0.94999)[:, None]
+    y = cosine * x + (1 - cosine**2) ** 0.5 * y / np.linalg.norm(y, axis=1, keepdims=True)
+    got = {p.vec_id: (p.class_id, p.links) for p in embedding_dedup.vector_links(vectors(spark, enumerate(np.vstack([x, y]))), file_rows=2500).collect()}
+    assert got == {k: (k % 3000, 1) if k % 3000 % 5 else (k, 0) for k in range(6000)}
+
+
+@pytest.mark.parametrize("width, spread", [(24, 0.12), (24, 0.001), (3, 0.12)])
+def test_tiles_of_vectors(monkeypatch, width, spread):
+    monkeypatch.setattr(embedding_dedup, "TILE", 32)
+    r = np.random.default_rng(width)
+    base = r.normal(size=(10, width))
+    x = np.vstack([base + r.normal(scale=spread, size=base.shape) for _ in range(9)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = lambda *a: sorted(p for i, j in embedding_dedup.near_tiles(*a, 0.95) for p in zip(i.tolist(), j.tolist()))
+    assert got(x, None) == sorted(brute_cosines(x, 0.95))
+    assert got(x[:40], x[40:]) == sorted((i, j - 40) for i, j in brute_cosines(x, 0.95) if i < 40 <= j)
+
+
+@pytest.mark.parametrize("file_rows", [10_000, 45])
+def test_vector_links_against_brute_force(spark, file_rows):
+    """With copies, ids of several vectors, and vectors of two lengths."""
+    r = np.random.default_rng(6)
+    base = r.normal(size=(40, 24))
+    rows = [(k, v.tolist()) for k, v in enumerate(np.vstack([base, base + r.normal(scale=0.12, size=base.shape), base[:20], base[:8] + 0.1]))]
+    rows += [(300 + k, [*r.normal(size=3).tolist(), 0.0, 0.0]) for k in range(30)]
+    df = lambda rows: spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = lambda rows: {p.vec_id: (p.class_id, p.links) for p in embedding_dedup.vector_links(df(rows), file_rows=file_rows).collect()}
+    assert got(rows) == brute_vector_links(rows, 0.95)
+    rows += [(i + 1, v) for i, v in rows[:100:9]] + [(5, rows[300 - 260][1]), (7, None), (8, []), (400, [0.0] * 24), (None, rows[0][1]), (401, None), rows[3], rows[3]]
+    assert got(rows) == brute_vector_links(rows, 0.95)
+    assert embedding_dedup.vector_links(df(rows).limit(0)).count() == 0
+
+
+def test_rows_of_vector_links_follow_the_vectors(spark, tmp_path):
+    r = np.random.default_rng(3)
+    vectors(spark, enumerate(1 + r.normal(scale=0.01, size=(90, 12)))).write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert sorted(map(tuple, embedding_dedup.op8_embedding_near_dedup(spark, str(tmp_path)).collect())) == [(k, 0, 89) for k in range(90)]
+
+
 def test_huge_and_tiny_numbers(spark):
     r = np.random.default_rng(1)
     x = r.normal(size=64).astype(np.float32)

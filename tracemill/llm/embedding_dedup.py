@@ -1,5 +1,10 @@
-"""Near-duplicate embeddings by cross-polytope hashing.
+"""Near-duplicate embeddings: all links by bounds on parts of vectors, or pairs by cross-polytope hashing.
 
+``vector_links`` compares all with all, exactly. Vectors are rotated at random; by Cauchy-Schwarz a cosine is at most the
+product of the first quarter of the coordinates plus that of the lengths of the rest, which one matrix product over a
+quarter of the width gives for a tile of pairs. Only pairs whose bound reaches the threshold get their cosine computed.
+
+``near_pairs`` hashes, and misses some pairs right at the threshold.
 Three rounds of random sign flips and fast Hadamard transforms rotate each unit vector at random; its hash is the
 coordinate of greatest size with its sign, for ``hashes`` rotations together. Equal vectors are found first and stand for
 each other. The others go to their own bucket in each of ``tables`` tables, and probe besides the buckets that are next
@@ -17,12 +22,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import U64, cut, expanded, groups, mix64, partitions, table
+from tracemill.llm.common import LINKS, U64, Links, class_links, cut, expanded, groups, mix64, partitions, shared_path, table
 
 THRESHOLD, RECALL, HASHES, SEED, BLOCK, TRIALS = 0.95, 0.98, 3, 5, 2048, 4000
+TILE, FILE_ROWS, MARGIN = 1024, 16_384, 1e-4
 PAIRS = "vec_a bigint, vec_b bigint, cosine double"
 
 
@@ -161,6 +169,14 @@ def _verify(threshold: float):
     return run
 
 
+def _clean(vectors: DataFrame) -> DataFrame:
+    v = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    fine = (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
+    v = v.where(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)))
+    # A class is told by its hash and then its numbers, with -0 as 0; ids are never gathered in one row.
+    return v.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0).cast("float")))
+
+
 def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES, tables: int | None = None, probes: int | None = None, seed: int = SEED, part: int = 8 * BLOCK, all_pairs: bool = False) -> DataFrame:
     """``(vec_a, vec_b, cosine)``: pairs of ``vectors(vec_id, embedding array<float>)`` with a cosine of at least ``threshold``.
 
@@ -172,11 +188,7 @@ def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, recall: float =
     its rounding of the threshold may fall on either side), so pairs may be missed but none is wrong: of pairs right at the
     threshold about ``recall`` are found, of closer ones more. A bucket of more than ``part`` rows is cut into parts, which
     are compared pair by pair in tasks of their own; that changes the cost only."""
-    v = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
-    fine = (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    v = v.where(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)))
-    # A class is told by its hash and then its numbers, with -0 as 0; ids are never gathered in one row.
-    v = v.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0).cast("float")))
+    v = _clean(vectors)
     classes = cut(v.withColumn("first", F.min("vec_id").over(Window.partitionBy("embedding"))))
     equal = classes.where("vec_id <> first").select(F.col("first").alias("vec_a"), F.col("vec_id").alias("vec_b"), F.lit(1.0).alias("cosine")).distinct()
     firsts = cut(classes.where("vec_id = first").select("vec_id", "embedding").distinct())
@@ -204,5 +216,95 @@ def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, recall: float =
     return expanded(near, equal) if all_pairs else near.union(equal)
 
 
+def _bounding(x: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """Rows (first quarter of the rotated coordinates, length of the rest): their products bound the cosines of unit vectors."""
+    n, dim = x.shape
+    width = max(2, 1 << (dim - 1).bit_length())
+    y = np.zeros((n, width), np.float32)
+    y[:, :dim] = x
+    for flip in rotations(width, 1, seed)[0]:
+        y = hadamard(y * flip)
+    k = max(1, width // 4)
+    rest = np.linalg.norm(y[:, k:], axis=1, keepdims=True)
+    return np.ascontiguousarray(np.hstack([y[:, :k], rest]), np.float32)
+
+
+def near_tiles(left: np.ndarray, right: np.ndarray | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices (i, j) of all pairs of unit vectors with a cosine of at least the threshold, by tiles: within ``left`` (i < j), or between it and ``right``."""
+    two = left if right is None else right
+    a, b = _bounding(left), _bounding(two)
+    for p in range(0, len(left), TILE):
+        for q in range(p if right is None else 0, len(two), TILE):
+            i, j = np.nonzero(a[p : p + TILE] @ b[q : q + TILE].T >= threshold - MARGIN)
+            if right is None and p == q:
+                i, j = i[i < j], j[i < j]
+            if not len(i):
+                continue
+            x, y = left[p : p + TILE], two[q : q + TILE]
+            if len(i) * 50 > len(x) * len(y):
+                cosine = (x @ y.T)[i, j]
+            else:
+                cosine = np.einsum("ij,ij->i", x[i], y[j])
+            ok = cosine >= threshold
+            if ok.any():
+                yield p + i[ok], q + j[ok]
+
+
+def _vectors(uri: str) -> pa.Table:
+    fs, at = pyarrow.fs.FileSystem.from_uri(uri)
+    with fs.open_input_file(at) as f:
+        return pq.read_table(f)
+
+
+def _link_files(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, two in zip(batch.column("one").to_pylist(), batch.column("two").to_pylist()):
+                sides = [_vectors(u) for u in ([one] if one == two else [one, two])]
+                rep, weight, mixed = (np.concatenate([t[c].to_numpy() for t in sides]) for c in ("rep", "weight", "mixed"))
+                links, at = Links(rep, weight, mixed), sides[0].num_rows
+                x = [_unit(t["embedding"]) for t in sides]
+                for i, j in near_tiles(x[0], x[1] if x[1:] else None, threshold):
+                    links.add(i, at + j if x[1:] else j)
+                yield from links.rows()
+
+    return run
+
+
+def vector_links(vectors: DataFrame, threshold: float = THRESHOLD, file_rows: int = FILE_ROWS) -> DataFrame:
+    """``(vec_id, class_id, links)`` for each vec_id of ``vectors(vec_id, embedding array<float>)``.
+
+    links: the number of other ids with a cosine of at least ``threshold``, all of them, equal vectors too; class_id: the
+    least id of all that links lead to, step by step (its own without links). No pair is missed; a cosine within its
+    rounding in double precision of the threshold may fall on either side. Which embeddings take part is as in ``near_pairs``; the others have
+    no links. An id of several embeddings is linked if any of them is, and once. Repeated rows count as one; a null vec_id
+    has no row. An empty table gives no rows. Other columns are ignored.
+
+    Distinct vectors are written to files of at most ``file_rows`` rows in the shared folder, and each pair of files is a
+    piece of work: time grows with the square of the vectors, what is exchanged with the vectors that have links."""
+    spark = vectors.sparkSession
+    v = _clean(vectors)
+    by_id, by_vector = Window.partitionBy("vec_id"), Window.partitionBy("embedding")
+    if v.groupBy("vec_id").count().where("count > 1").isEmpty():
+        rows = v.withColumns({"row": F.col("vec_id"), "multi": F.lit(False)})
+    else:
+        rows = cut(v.distinct().withColumn("row", F.monotonically_increasing_id())).withColumn("multi", F.count("*").over(by_id) > 1)
+    single = (~F.col("multi")).cast("int")
+    rows = cut(rows.withColumns({"rep": F.min("row").over(by_vector), "weight": F.sum(single).over(by_vector), "mixed": F.max("multi").over(by_vector)}))
+    found = None
+    for (dim,) in sorted(rows.select(F.size("embedding")).distinct().collect()):
+        path = shared_path(spark, f"vectors-{dim}")
+        rows.where((F.col("row") == F.col("rep")) & (F.size("embedding") == dim)).select("rep", "embedding", "weight", "mixed").write.option("maxRecordsPerFile", file_rows).parquet(path)
+        files = sorted(spark.read.parquet(path).inputFiles())
+        work = [(a, b) for k, a in enumerate(files) for b in files[k:]]
+        pairs = spark.createDataFrame(work, "one string, two string").repartition(min(len(work), 1000))
+        some = pairs.mapInArrow(_link_files(threshold), LINKS)
+        found = some if found is None else found.union(some)
+    ids = vectors.select(F.col("vec_id").cast("bigint").alias("id")).where("id is not null").distinct()
+    if found is None:
+        return ids.select(F.col("id").alias("vec_id"), F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("links"))
+    return class_links(ids, rows.select("rep", F.col("vec_id").alias("id"), "multi", "weight"), found).withColumnRenamed("id", "vec_id")
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_pairs(table(spark, sf_dir, "embeddings"))
+    return vector_links(table(spark, sf_dir, "embeddings"))
