@@ -198,3 +198,29 @@ def test_exports(spark, tmp_path):
 def test_validation(spark):
     rows = {r.id: r.e for r in frame(spark, episode("ok"), {**episode("bent", human_feedback=[{"label": "meh"}]), "outcome": {"status": "lost"}, "intent": None}).select("id", schema.validation_errors().alias("e")).collect()}
     assert rows["ok"] == [] and len(rows["bent"]) == 3
+
+
+def test_scores_read_arrays_once(spark):
+    """Steps, runs and diffs aren't carried beyond the step that reads them, and a score alone is computed without the others."""
+    e = score.with_scores(frame(spark, GOOD, BAD)).select("id", "reward_vector.composite", "validity.trust")
+    levels = [line for line in e._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Project" in line]
+    assert sum("steps#" in line for line in levels) <= 3 and sum("tests#" in line for line in levels) <= 3
+    assert not any("AS normalized" in line or "AS criteria" in line for line in levels)
+    both = score.with_validity(score.with_reward(frame(spark, GOOD, BAD)))
+    assert score.with_scores(frame(spark, GOOD, BAD)).select(both.columns).collect() == both.collect()
+
+
+def test_filters_of_exploded_scores_compute_nothing_again(spark):
+    from tracemill import registry
+
+    for name in ("rubric_criteria", "validity_flags"):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("get_json_object") <= 1
+
+
+def test_test_runs_written_with_escapes_count(spark):
+    """A runner's name may hide behind codes of its letters in JSON text; other text is told without parsing it."""
+    e = episode("e", tests=[run(3)], steps=[step(0, "shell_command", input='{"command": "py\\u0074es\\u0074 -q"}'), step(1, "file_edit")])
+    other = episode("o", tests=[run(3)], steps=[step(0, "shell_command", input='{"command": "ls src"}'), step(1, "file_edit")])
+    rows = score.with_rubric(score.with_test_signal(frame(spark, e, other))).select("id", F.expr("filter(_r.criteria, c -> c.id = 'reproduce_before_fix')[0].satisfied").alias("s"))
+    assert dict(rows.collect()) == {"e": 1.0, "o": None}

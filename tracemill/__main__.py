@@ -24,7 +24,7 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 def scored(spark: SparkSession, path: str) -> DataFrame:
     e = load(spark, path)
-    return store.materialised(score.with_validity(score.with_reward(e.withColumn("deployments", score.verified_deployments()))))
+    return store.materialised(score.with_scores(e.withColumn("deployments", score.verified_deployments())))
 
 
 def show(rows: DataFrame) -> None:

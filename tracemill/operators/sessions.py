@@ -264,8 +264,8 @@ def with_scores(episodes: DataFrame, prior: DataFrame | None = None) -> DataFram
     ``prior(id, validity)``: verdicts that were kept; they are merged with the rules' (J10)."""
     e = score.with_test_signal(episodes.withColumn("deployments", score.verified_deployments()))
     blocked = F.when(F.coalesce("_t.blocked", F.lit(False)), F.array(F.lit("blocked_on_env"))).otherwise(F.array().cast("array<string>"))
-    e = e.withColumn("labels", F.array_sort(F.array_union("labels", blocked))).drop("_t", "_runs")
-    e = score.with_validity(score.with_reward(e))
+    e = e.withColumn("labels", F.array_sort(F.array_union("labels", blocked))).drop("_t")
+    e = score.with_scores(e)
     if prior is None:
         return e
     e = e.join(prior.select("id", F.col("validity").alias("__prior")), "id", "left")
